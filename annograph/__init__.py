@@ -1 +1,8 @@
 """Annotation graphs on Spark: normalise, check, export, plan, build features, link and score."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to Python workers by value, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
