@@ -4,7 +4,7 @@ import importlib
 
 from annograph.catalog.registry import ORACLES, QUERIES
 
-for _area in ("validation", "planning", "documents", "graph"):
+for _area in ("validation", "planning", "documents", "graph", "links", "edits", "images", "streams"):
     importlib.import_module(f"annograph.catalog.{_area}")
 
 __all__ = ["ORACLES", "QUERIES"]

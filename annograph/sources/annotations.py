@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from annograph.functions import documents as D
-from annograph.functions.text import base_name, stem_of
+from annograph.functions.text import base_name, stem_of, suffix_of
 from annograph.schemas import SCHEMA_VERSION
 
 
@@ -18,6 +18,15 @@ def read_annotations(spark: SparkSession, folder: str, case_sensitive: bool = Fa
     return files.select("path", stem_of(F.col("path")).alias("stem"), "raw")
 
 
+def annotation_files(files: DataFrame, suffix: str = ".json", case_sensitive: bool = False, skip_hidden: bool = False) -> DataFrame:
+    """(path, stem) of the annotation files in a listing. Spark's own readers never list names that start with a dot."""
+    tail = suffix_of(F.col("path"))
+    kept = files.where((tail if case_sensitive else F.lower(tail)) == suffix)
+    if skip_hidden:
+        kept = kept.where(~base_name(F.col("path")).startswith("."))
+    return kept.select("path", stem_of(F.col("path")).alias("stem"))
+
+
 def parse_annotations(raw: DataFrame) -> DataFrame:
     """Typed documents from (path, stem, raw); both dialects. Unreadable text keeps its row with readable=false.
 

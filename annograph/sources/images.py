@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from annograph.functions.text import stem_of, suffix_of
 from annograph.operators.corpus import image_files
@@ -99,7 +99,10 @@ def header_info(data: bytes) -> tuple[int, int, int] | None:
     return None
 
 
-@F.pandas_udf("width int, height int, channels int, orientation int")
+HEADER = T.StructType([T.StructField(n, T.IntegerType()) for n in ("width", "height", "channels", "orientation")])
+
+
+@F.pandas_udf(HEADER)
 def _header_columns(head: pd.Series) -> pd.DataFrame:
     rows = []
     for data in head:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import udtf
 
 KEYS = ("roi", "rois")
@@ -14,7 +14,13 @@ def _numbers(value) -> bool:
     return isinstance(value, list) and len(value) == 4 and all(isinstance(v, (int, float)) for v in value)
 
 
-@udtf(returnType="path string, side string, multi boolean, roi_no int, x1 int, y1 int, x2 int, y2 int")
+RECTANGLE = T.StructType(
+    [T.StructField("path", T.StringType()), T.StructField("side", T.StringType()), T.StructField("multi", T.BooleanType())]
+    + [T.StructField(n, T.IntegerType()) for n in ("roi_no", "x1", "y1", "x2", "y2")]
+)
+
+
+@udtf(returnType=RECTANGLE)
 class roi_fields:
     """One row per rectangle under a key `roi` / `rois` (any case)."""
 
