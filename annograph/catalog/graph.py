@@ -237,10 +237,13 @@ def augmented_points(spark, d):
     return out.select("sample_id", "copy", "id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
-@query("a19_heatmap_targets", with_ctes("""SELECT sample_id, px + dx AS x, py + dy AS y, round(max(exp(-(dx * dx + dy * dy) / 2.0)), 6) AS v FROM (
+@query("a19_heatmap_targets", with_ctes("""SELECT sample_id, count(*) AS pixels, round(sum(v), 4) AS mass, max(x) AS right_edge, max(y) AS low_edge FROM (
+  SELECT sample_id, px + dx AS x, py + dy AS y, max(exp(-(dx * dx + dy * dy) / 2.0)) AS v FROM (
   SELECT DISTINCT sample_id, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py, CAST(200 + o_custkey % 60 AS INTEGER) AS width FROM raw_points JOIN orders ON o_orderkey = sample_id),
   (SELECT CAST(unnest(range(-3, 4)) AS INTEGER) AS dx) a, (SELECT CAST(unnest(range(-3, 4)) AS INTEGER) AS dy) b
-  WHERE px + dx >= 0 AND px + dx < width AND py + dy >= 0 AND py + dy < 240 GROUP BY 1, 2, 3""", *BASE))
+  WHERE px + dx >= 0 AND px + dx < width AND py + dy >= 0 AND py + dy < 240 GROUP BY 1, 2, 3) GROUP BY 1""", *BASE))
 def heatmap_targets(spark, d):
     points = placed_points(spark, d).join(sample_sizes(spark, d), "sample_id")
-    return A.heatmap_targets(points, sigma=1.0).withColumn("v", r6("v"))
+    return A.heatmap_targets(points, sigma=1.0).groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.sum("v"), 4).alias("mass"), F.max("x").alias("right_edge"), F.max("y").alias("low_edge")
+    )

@@ -169,23 +169,58 @@ def within_radius(points: DataFrame, radius: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- nodes, candidates, features
 
 
+def sample_rows(points: DataFrame, radius_multiplier: float, k: int) -> DataFrame:
+    """One row per bounded sample: spacing and nodes with their statistics and the neighbours in reach.
+
+    Points are shuffled once, by sample; everything else happens inside the row.
+    """
+    packed = points.groupBy("sample_id").agg(F.collect_list(F.struct("id", "x", "y", "score")).alias("p")).where("size(p) >= 2")
+
+    def near_of(a: Column, p: Column) -> Column:
+        gap = lambda b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
+        return F.array_sort(F.transform(F.filter(p, lambda b: b["id"] != a["id"]), lambda b: F.struct(gap(b).alias("d"), b["id"].alias("j"))))
+
+    def measured(p: Column) -> Column:
+        def one(a: Column) -> Column:
+            def facts(near: Column) -> Column:
+                first = F.slice(near, 1, NEAR)
+                total = F.aggregate(first, F.lit(0.0), lambda acc, n: acc + n["d"])
+                return F.struct(
+                    a["id"].alias("id"), a["x"].alias("x"), a["y"].alias("y"), a["score"].alias("score"),
+                    F.get(near, F.lit(0))["d"].alias("nearest"), (total / F.greatest(F.size(first), F.lit(1))).alias("mean3"), near.alias("near"),
+                )
+
+            return let(near_of(a, p), facts)
+
+        return F.transform(p, one)
+
+    def finished(nodes: Column) -> Column:
+        def with_spacing(space: Column) -> Column:
+            def node(n: Column) -> Column:
+                within = lambda factor: F.size(F.filter(n["near"], lambda m: m["d"] <= space * factor))
+                reach = F.filter(n["near"], lambda m, i: (m["d"] <= space * radius_multiplier) | (i < k))
+                return F.struct(
+                    n["id"].alias("id"), n["x"].alias("x"), n["y"].alias("y"), n["score"].alias("score"), n["nearest"].alias("nearest"),
+                    n["mean3"].alias("mean3"), within(RING_1).alias("ring1"), within(RING_2).alias("ring2"), F.size(n["near"]).alias("others"),
+                    F.transform(reach, lambda m: m["j"]).alias("reach"),
+                )
+
+            return F.struct(space.alias("spacing"), F.transform(nodes, node).alias("nodes"))
+
+        return let(let(F.array_sort(F.transform(nodes, lambda n: n["nearest"])), _fenced_median), with_spacing)
+
+    done = packed.withColumn("g", let(let(F.array_sort("p"), measured), finished))
+    return done.select("sample_id", "g.spacing", "g.nodes")
+
+
+NODE_STATS = ("nearest", "mean3", "spacing", "ring1", "ring2", "others")
+
+
 def _small_graph(points: DataFrame, radius_multiplier: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, neighbour pairs) of bounded samples. One exchange on sample_id serves all steps."""
-    ranked = neighbour_ranks(point_pairs(points))
-    per_point = ranked.groupBy("sample_id", "i").agg(
-        F.min("d").alias("nearest"), F.avg(F.when(F.col("rank") <= NEAR, F.col("d"))).alias("mean3"),
-        F.collect_list(F.struct("j", "d", "rank")).alias("near"),
-    )
-    all_nearest = F.array_sort(F.collect_list("nearest").over(W.partitionBy("sample_id")))
-    spaced = per_point.withColumn("nn", all_nearest).withColumn("spacing", let(F.col("nn"), _fenced_median)).drop("nn")
-    ring = lambda factor: F.size(F.filter("near", lambda n: n["d"] <= F.col("spacing") * factor))
-    nodes = spaced.select(
-        "sample_id", F.col("i").alias("id"), "nearest", "mean3", "spacing", ring(RING_1).alias("ring1"), ring(RING_2).alias("ring2"),
-        F.size("near").alias("others"),
-    )
-    reach = F.filter("near", lambda n: (n["d"] <= F.col("spacing") * radius_multiplier) | (n["rank"] <= k))
-    pairs = spaced.select("sample_id", "i", F.explode(F.transform(reach, lambda n: n["j"])).alias("j"))
-    return nodes, pairs
+    """(nodes, neighbour pairs) of bounded samples."""
+    rows = sample_rows(points, radius_multiplier, k)
+    each = rows.select("sample_id", "spacing", F.inline("nodes"))
+    return each.select("sample_id", "id", *NODE_STATS), each.select("sample_id", F.col("id").alias("i"), F.explode("reach").alias("j"))
 
 
 def _large_graph(points: DataFrame, radius_multiplier: float, k: int) -> tuple[DataFrame, DataFrame]:
@@ -243,7 +278,10 @@ def candidate_edges(pairs: DataFrame, truth: DataFrame | None = None, points: Da
 
 def node_features(points: DataFrame, nodes: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """The eight node features. `sizes` may name (sample_id, width, height); the default side is 256."""
-    full = points.select("sample_id", "id", "x", "y", "score").join(nodes, ["sample_id", "id"])
+    return _feature_columns(points.select("sample_id", "id", "x", "y", "score").join(nodes, ["sample_id", "id"]), sizes)
+
+
+def _feature_columns(full: DataFrame, sizes: DataFrame | None) -> DataFrame:
     full = full.join(sizes, "sample_id", "left") if sizes is not None else full.withColumn("width", F.lit(DEFAULT_SIDE)).withColumn("height", F.lit(DEFAULT_SIDE))
     side = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(DEFAULT_SIDE)), F.lit(1))
     gap = F.greatest("spacing", F.lit(1e-6))
@@ -260,31 +298,78 @@ def node_features(points: DataFrame, nodes: DataFrame, sizes: DataFrame | None =
 def edge_features(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """The ten link features of the candidates; `nodes` comes from `node_features`."""
     end = lambda s: nodes.select(
-        "sample_id", F.col("id").alias(s), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"), F.col("score").alias(f"s_{s}"),
-        F.col("f_ring1").alias(f"r_{s}"), *(["spacing", "width", "height"] if s == "u" else []),
+        "sample_id", F.col("id").alias(s), F.struct("x", "y", "score", F.col("f_ring1").alias("ring1")).alias(f"n{s}"),
+        *(["spacing", "width", "height"] if s == "u" else []),
     )
-    both = candidates.join(end("u"), ["sample_id", "u"]).join(end("v"), ["sample_id", "v"])
-    dx, dy = F.col("x_v") - F.col("x_u"), F.col("y_v") - F.col("y_u")
+    return _link_columns(candidates.join(end("u"), ["sample_id", "u"]).join(end("v"), ["sample_id", "v"]))
+
+
+def _link_columns(both: DataFrame) -> DataFrame:
+    """Features from rows with u, v, label, the end structs nu / nv (x, y, score, ring1 share), spacing, width, height."""
+    a, b = F.col("nu"), F.col("nv")
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     gap = F.greatest("spacing", F.lit(1e-6))
     return both.select(
         "sample_id", "u", "v", "label",
         (dx / gap).alias("e_dx"), (dy / gap).alias("e_dy"), (F.sqrt(dx * dx + dy * dy) / gap).alias("e_d"),
         (F.abs(dx) / F.col("width")).alias("e_abs_dx"), (F.abs(dy) / F.col("height")).alias("e_abs_dy"),
-        F.col("s_u").alias("e_score_u"), F.col("s_v").alias("e_score_v"), F.abs(F.col("s_u") - F.col("s_v")).alias("e_score_gap"),
-        F.col("r_u").alias("e_ring1_u"), F.col("r_v").alias("e_ring1_v"),
+        a["score"].alias("e_score_u"), b["score"].alias("e_score_v"), F.abs(a["score"] - b["score"]).alias("e_score_gap"),
+        a["ring1"].alias("e_ring1_u"), b["ring1"].alias("e_ring1_v"),
     )
 
 
+def _small_edge_features(rows: DataFrame, edges: DataFrame | None, sizes: DataFrame | None) -> DataFrame:
+    """Candidates and their features straight from `sample_rows`: the ends are looked up in the row, nothing is joined.
+
+    Ids are dense, so a truth link is known exactly when both ends are below the number of nodes.
+    """
+    key = lambda a, b: F.least(a, b).cast("long") * 4294967296 + F.greatest(a, b)
+    if edges is not None:
+        proper = edges.where("src is not null and dst is not null and src <> dst and least(src, dst) >= 0")
+        truth = proper.groupBy("sample_id").agg(F.collect_set(key(F.col("src"), F.col("dst"))).alias("truth"))
+        rows = rows.join(truth, "sample_id", "left")
+        n = F.size("nodes")
+        rows = rows.withColumn("truth", F.filter(F.coalesce("truth", F.expr("cast(array() as array<bigint>)")), lambda t: t % 4294967296 < n))
+    else:
+        rows = rows.withColumn("truth", F.expr("cast(array() as array<bigint>)"))
+    rows = rows.join(sizes, "sample_id", "left") if sizes is not None else rows.withColumn("width", F.lit(DEFAULT_SIDE)).withColumn("height", F.lit(DEFAULT_SIDE))
+    side = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(DEFAULT_SIDE)), F.lit(1)).alias(c)
+    near = F.flatten(F.transform("nodes", lambda a: F.transform(a["reach"], lambda j: key(a["id"], j))))
+    listed = rows.select("sample_id", "spacing", side("width"), side("height"), "nodes", "truth", F.explode(F.array_distinct(F.concat(near, "truth"))).alias("key"))
+    u, v = F.shiftright("key", 32).cast("int"), (F.col("key") % 4294967296).cast("int")
+    end = lambda i: let(F.get("nodes", i), lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), m["score"].alias("score"), (m["ring1"] / F.greatest(m["others"], F.lit(1))).alias("ring1")))
+    ends = listed.select(
+        "sample_id", "spacing", "width", "height", u.alias("u"), v.alias("v"), F.array_contains("truth", F.col("key")).cast("int").alias("label"),
+        end(u).alias("nu"), end(v).alias("nv"),
+    )
+    return _link_columns(ends)
+
+
 def graph_features(
     points: DataFrame, edges: DataFrame | None = None, sizes: DataFrame | None = None, k: int = 8,
     radius_multiplier: float = 2.5, limit: int = PAIR_LIMIT,
 ) -> tuple[DataFrame, DataFrame]:
     """(node features, link features) of a corpus. Samples with fewer than two points drop out."""
-    nodes, pairs = neighbour_graph(points, k, radius_multiplier, limit)
+    small, large = split_hot(points, ["sample_id"], limit)
+    if k <= 0:
+        return _joined_features(points, edges, sizes, *neighbour_graph(points, k, radius_multiplier, limit), k)
+    rows = sample_rows(small, radius_multiplier, k)
+    bounded = edges
+    if large is not None and edges is not None:
+        names = materialize(large.select("sample_id").distinct(), "large")
+        bounded, edges = edges.join(names, "sample_id", "left_anti"), edges.join(names, "sample_id", "left_semi")
+    each = rows.select("sample_id", "spacing", F.inline("nodes")).drop("reach")
+    nodes, links = _feature_columns(each, sizes), _small_edge_features(rows, bounded, sizes)
+    if large is None:
+        return nodes, links
+    more_nodes, more_links = _joined_features(large, edges, sizes, *_large_graph(large, radius_multiplier, k), k)
+    return nodes.unionByName(more_nodes), links.unionByName(more_links)
+
+
+def _joined_features(points, edges, sizes, stats: DataFrame, pairs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     truth = known_edges(points, edges) if edges is not None else None
-    features = node_features(points, nodes, sizes)
-    candidates = candidate_edges(pairs, truth, points if k <= 0 else None)
-    return features, edge_features(candidates, features)
+    features = materialize(node_features(points, stats, sizes), "nodes")
+    return features, edge_features(candidate_edges(pairs, truth, points if k <= 0 else None), features)
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:

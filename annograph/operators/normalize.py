@@ -361,7 +361,7 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     first = proper.groupBy("sample_id", "u", "v").agg(
         F.min_by(F.struct("pos", "edge_id", "label", "source"), "pos").alias("e")
     ).select("sample_id", "u", "v", "e.*")
-    return rank_rows(first, ["sample_id"], ["pos"], "number").select(
+    return rank_rows(first, ["sample_id"], ["pos"], "number", check=edges.select("sample_id")).select(
         "sample_id",
         F.when(F.coalesce("edge_id", F.lit("")) == "", numbered("edge_", F.col("number"))).otherwise(F.col("edge_id")).alias("edge_id"),
         F.col("u").alias("src"), F.col("v").alias("dst"), F.coalesce("label", F.lit(1)).alias("label"),

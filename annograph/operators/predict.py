@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from annograph.functions.text import numbered
 from annograph.plans.groups import map_groups
 from annograph.plans.session import materialize
-from annograph.plans.skew import running, split_hot
+from annograph.plans.skew import hot_groups, rank_rows, running, split_hot
 from annograph.schemas import LINK_SOURCE, POSTPROCESS_PRESETS
 
 MERGE_LIMIT = 512    # points of one image merged inside one task call
@@ -212,10 +212,11 @@ def resolve_preset(preset: str = "balanced", **overrides) -> dict:
 
 
 def above_threshold(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Links with score >= threshold, numbered in (u, v) order. Input: sample_id, u, v, score."""
-    from annograph.plans.skew import rank_rows
+    """Links with score >= threshold, numbered in (u, v) order. Input: sample_id, u, v, score.
 
-    kept = scored.where(F.col("score") >= threshold)
+    The kept links are written first, so that a model behind `scored` runs once.
+    """
+    kept = materialize(scored.where(F.col("score") >= threshold), "scored")
     return rank_rows(kept, ["sample_id"], ["u", "v"], "n").select(
         "sample_id", numbered("pred_edge_", F.col("n")).alias("edge_id"), F.col("u").alias("src"), F.col("v").alias("dst"), "score",
         F.lit(1).alias("label"), F.lit(LINK_SOURCE).alias("source"), (F.col("n") - 1).alias("pos"),
@@ -361,49 +362,61 @@ def select_links(
     `cycle_penalty` is accepted but cannot change the result: a link it would lower is never kept.
     """
     p = resolve_preset(preset, **overrides)
-    if p["max_degree"] <= 0:
-        return _numbered_links(links.where("false").withColumn("floor", F.col("score")))
     rows = links.select("sample_id", "pos", "src", "dst", F.col("score").cast("double").alias("score"))
-    if points is not None:
-        xy = lambda s: points.select("sample_id", F.col("id").alias(s), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
-        rows = rows.join(xy("src"), ["sample_id", "src"], "left").join(xy("dst"), ["sample_id", "dst"], "left")
-        rows = rows.select("sample_id", "pos", "src", "dst", "score", "x_src", "y_src", "x_dst", "y_dst")
-    small, large = split_hot(rows, ["sample_id"], limit)
-    out = _pick(small, ["sample_id"], p, points is not None)
-    if large is not None:
-        large = materialize(large, "select")
-        groups = connected_groups(large).withColumnRenamed("node", "src")
-        out = out.unionByName(_pick(large.join(groups, ["sample_id", "src"]), ["sample_id", "component"], p, points is not None))
-    return _numbered_links(out)
-
-
-def _pick(rows: DataFrame, keys: list[str], p: dict, with_points: bool) -> DataFrame:
+    if p["max_degree"] <= 0:
+        return _numbered_links(rows.where("false").withColumn("floor", F.col("score")))
+    heavy = hot_groups(rows.select("sample_id"), ["sample_id"], limit)
+    if heavy is None:
+        return _numbered_links(_pick(rows, points, ["sample_id"], p))
+    part = lambda t, how: None if t is None else t.join(heavy, "sample_id", how)
+    small = _numbered_links(_pick(part(rows, "left_anti"), part(points, "left_anti"), ["sample_id"], p))
+    large, spots = materialize(part(rows, "left_semi"), "select"), part(points, "left_semi")
+    groups = materialize(connected_groups(large), "component")
+    grouped = large.join(groups.withColumnRenamed("node", "src"), ["sample_id", "src"])
+    if spots is not None:
+        spots = spots.join(groups.withColumnRenamed("node", "id"), ["sample_id", "id"])
+    picked = materialize(_pick(grouped, spots, ["sample_id", "component"], p), "select")
+    return small.unionByName(_numbered_large(picked))
+
+
+def _pick(links: DataFrame, points: DataFrame | None, keys: list[str], p: dict) -> DataFrame:
+    """Greedy choice per group. Points travel in the same stream as the links of their group, so nothing is joined."""
     degree, cycle, weight = int(p["max_degree"]), int(p["max_small_cycle_length"]), float(p["continuity_weight"])
+    none = F.lit(None)
+    rows = links.select(*keys, F.lit(1).alias("kind"), "pos", "src", "dst", "score", none.cast("double").alias("x"), none.cast("double").alias("y"))
+    if points is not None:
+        spots = points.select(*keys, F.lit(0).alias("kind"), F.lit(0).alias("pos"), F.col("id").alias("src"), F.lit(0).alias("dst"), F.lit(0.0).alias("score"), "x", "y")
+        rows = rows.unionByName(spots)
+    with_points = points is not None
 
     def run(key, c):
-        xy = None
-        if with_points:
-            xy = {i: (x, y) for i, x, y in zip(c["src"], c["x_src"], c["y_src"]) if x is not None and y is not None}
-            xy.update({i: (x, y) for i, x, y in zip(c["dst"], c["x_dst"], c["y_dst"]) if x is not None and y is not None})
-        for i, floor in pick_links(c["src"], c["dst"], c["score"], xy, degree, cycle, weight):
-            yield key[0], c["pos"][i], c["src"][i], c["dst"][i], c["score"][i], floor
+        first = c["kind"].index(1) if 1 in c["kind"] else len(c["kind"])
+        xy = {i: (x, y) for i, x, y in zip(c["src"][:first], c["x"][:first], c["y"][:first])} if with_points else None
+        src, dst, score, pos = (c[n][first:] for n in ("src", "dst", "score", "pos"))
+        for i, floor in pick_links(src, dst, score, xy, degree, cycle, weight):
+            yield key[0], pos[i], src[i], dst[i], score[i], floor
 
-    kind = rows.schema["sample_id"].dataType.simpleString()
-    return map_groups(rows, keys, ["pos"], run, f"sample_id {kind}, pos int, src int, dst int, score double, floor double")
+    kind = links.schema["sample_id"].dataType.simpleString()
+    return map_groups(rows, keys, ["kind", "pos"], run, f"sample_id {kind}, pos int, src int, dst int, score double, floor double")
 
 
 def _numbered_links(picked: DataFrame) -> DataFrame:
     """Number kept links by score; equal scores keep the order of picking (value first, then list order)."""
-    heavy_safe = W.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("floor"), "pos")
-    small, large = split_hot(picked, ["sample_id"], 10 * SELECT_LIMIT)
-    out = small.withColumn("n", F.row_number().over(heavy_safe))
-    if large is not None:
-        top = large.groupBy("sample_id").agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
-        share = (F.col("hi") - F.col("score")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-        keyed = materialize(large.join(top, "sample_id").withColumn("k", (share * 2147483000).cast("int")).withColumn("s", -F.col("score")).withColumn("f", -F.col("floor")), "select")
-        ranked = running(keyed, ["sample_id"], "k", [("n", "sum", F.lit(1), True)], ["s", "f", "pos"])
-        out = out.unionByName(ranked.select(*small.columns, F.col("n").cast("int").alias("n")))
-    return out.select(
+    order = W.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("floor"), "pos")
+    return _link_rows(picked.withColumn("n", F.row_number().over(order)))
+
+
+def _numbered_large(picked: DataFrame) -> DataFrame:
+    """The same numbering through running counts over the score range of each sample."""
+    top = picked.groupBy("sample_id").agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
+    share = (F.col("hi") - F.col("score")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
+    keyed = picked.join(top, "sample_id").withColumn("k", (share * 2147483000).cast("int")).withColumn("s", -F.col("score")).withColumn("f", -F.col("floor"))
+    ranked = running(materialize(keyed, "select"), ["sample_id"], "k", [("n", "sum", F.lit(1), True)], ["s", "f", "pos"])
+    return _link_rows(ranked.withColumn("n", F.col("n").cast("int")))
+
+
+def _link_rows(numbered_links: DataFrame) -> DataFrame:
+    return numbered_links.select(
         "sample_id", numbered("pred_edge_", F.col("n")).alias("edge_id"), "src", "dst", "score", F.lit(1).alias("label"),
         F.lit(LINK_SOURCE).alias("source"),
     )
