@@ -170,7 +170,7 @@ def within_radius(points: DataFrame, radius: DataFrame) -> DataFrame:
 
 
 def sample_rows(points: DataFrame, radius_multiplier: float, k: int) -> DataFrame:
-    """One row per bounded sample: spacing and nodes with their statistics and the neighbours in reach.
+    """One row per bounded sample: nodes with their statistics, the sample's spacing and the neighbours in reach.
 
     Points are shuffled once, by sample; everything else happens inside the row.
     """
@@ -201,16 +201,15 @@ def sample_rows(points: DataFrame, radius_multiplier: float, k: int) -> DataFram
                 reach = F.filter(n["near"], lambda m, i: (m["d"] <= space * radius_multiplier) | (i < k))
                 return F.struct(
                     n["id"].alias("id"), n["x"].alias("x"), n["y"].alias("y"), n["score"].alias("score"), n["nearest"].alias("nearest"),
-                    n["mean3"].alias("mean3"), within(RING_1).alias("ring1"), within(RING_2).alias("ring2"), F.size(n["near"]).alias("others"),
+                    n["mean3"].alias("mean3"), space.alias("spacing"), within(RING_1).alias("ring1"), within(RING_2).alias("ring2"), F.size(n["near"]).alias("others"),
                     F.transform(reach, lambda m: m["j"]).alias("reach"),
                 )
 
-            return F.struct(space.alias("spacing"), F.transform(nodes, node).alias("nodes"))
+            return F.transform(nodes, node)
 
         return let(let(F.array_sort(F.transform(nodes, lambda n: n["nearest"])), _fenced_median), with_spacing)
 
-    done = packed.withColumn("g", let(let(F.array_sort("p"), measured), finished))
-    return done.select("sample_id", "g.spacing", "g.nodes")
+    return packed.select("sample_id", let(let(F.array_sort("p"), measured), finished).alias("nodes"))
 
 
 NODE_STATS = ("nearest", "mean3", "spacing", "ring1", "ring2", "others")
@@ -219,7 +218,7 @@ NODE_STATS = ("nearest", "mean3", "spacing", "ring1", "ring2", "others")
 def _small_graph(points: DataFrame, radius_multiplier: float, k: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, neighbour pairs) of bounded samples."""
     rows = sample_rows(points, radius_multiplier, k)
-    each = rows.select("sample_id", "spacing", F.inline("nodes"))
+    each = rows.select("sample_id", F.inline("nodes"))
     return each.select("sample_id", "id", *NODE_STATS), each.select("sample_id", F.col("id").alias("i"), F.explode("reach").alias("j"))
 
 
@@ -335,11 +334,11 @@ def _small_edge_features(rows: DataFrame, edges: DataFrame | None, sizes: DataFr
     rows = rows.join(sizes, "sample_id", "left") if sizes is not None else rows.withColumn("width", F.lit(DEFAULT_SIDE)).withColumn("height", F.lit(DEFAULT_SIDE))
     side = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(DEFAULT_SIDE)), F.lit(1)).alias(c)
     near = F.flatten(F.transform("nodes", lambda a: F.transform(a["reach"], lambda j: key(a["id"], j))))
-    listed = rows.select("sample_id", "spacing", side("width"), side("height"), "nodes", "truth", F.explode(F.array_distinct(F.concat(near, "truth"))).alias("key"))
+    listed = rows.select("sample_id", side("width"), side("height"), "nodes", "truth", F.explode(F.array_distinct(F.concat(near, "truth"))).alias("key"))
     u, v = F.shiftright("key", 32).cast("int"), (F.col("key") % 4294967296).cast("int")
     end = lambda i: let(F.get("nodes", i), lambda m: F.struct(m["x"].alias("x"), m["y"].alias("y"), m["score"].alias("score"), (m["ring1"] / F.greatest(m["others"], F.lit(1))).alias("ring1")))
     ends = listed.select(
-        "sample_id", "spacing", "width", "height", u.alias("u"), v.alias("v"), F.array_contains("truth", F.col("key")).cast("int").alias("label"),
+        "sample_id", F.get("nodes", F.lit(0))["spacing"].alias("spacing"), "width", "height", u.alias("u"), v.alias("v"), F.array_contains("truth", F.col("key")).cast("int").alias("label"),
         end(u).alias("nu"), end(v).alias("nv"),
     )
     return _link_columns(ends)
@@ -358,7 +357,7 @@ def graph_features(
     if large is not None and edges is not None:
         names = materialize(large.select("sample_id").distinct(), "large")
         bounded, edges = edges.join(names, "sample_id", "left_anti"), edges.join(names, "sample_id", "left_semi")
-    each = rows.select("sample_id", "spacing", F.inline("nodes")).drop("reach")
+    each = rows.select("sample_id", F.inline("nodes")).drop("reach")
     nodes, links = _feature_columns(each, sizes), _small_edge_features(rows, bounded, sizes)
     if large is None:
         return nodes, links
