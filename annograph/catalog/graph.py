@@ -42,14 +42,17 @@ NODES = """nodes AS MATERIALIZED (
 GRAPH = (*NORMALIZED, PAIRS)
 
 
-@query("j11_pair_distances", with_ctes("SELECT sample_id, i, count(*) AS n, round(sum(d), 6) AS total FROM pairs GROUP BY 1, 2", *GRAPH))
+@query("j11_pair_distances", with_ctes("SELECT sample_id, i, count(*) AS n, round(sum(d), 6) AS total FROM pairs WHERE d <= 64 GROUP BY 1, 2", *GRAPH))
 def pair_distances(spark, d):
-    return G.point_pairs(normal_form(spark, d).points).groupBy("sample_id", "i").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d"), "total"))
+    """Ordered pairs within 64 pixels; cells of that size keep far pairs from being formed."""
+    points = normal_form(spark, d).points
+    reach = points.select("sample_id").distinct().withColumn("radius", F.lit(64.0))
+    return G.within_radius(points, reach).groupBy("sample_id", "i").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d"), "total"))
 
 
 @query("w4_nearest_ranks", with_ctes("SELECT sample_id, i, j, round(d, 6) AS d, rank FROM pairs WHERE rank <= 8", *GRAPH))
 def nearest_ranks(spark, d):
-    return G.neighbour_ranks(G.point_pairs(normal_form(spark, d).points)).where("rank <= 8").withColumn("d", r6("d"))
+    return G.nearest_points(normal_form(spark, d).points).withColumn("d", r6("d"))
 
 
 @query("w4_nearest_ranks_grid", with_ctes("SELECT sample_id, i, j, round(d, 6) AS d, rank FROM pairs WHERE rank <= 8", *GRAPH))
@@ -60,7 +63,7 @@ def nearest_ranks_grid(spark, d):
 
 @query("w5_nearest_and_mean3", with_ctes("SELECT sample_id, i, round(nearest, 6) AS nearest, round(mean3, 6) AS mean3 FROM near", *GRAPH))
 def nearest_and_mean3(spark, d):
-    stats = G.nearest_stats(G.neighbour_ranks(G.point_pairs(normal_form(spark, d).points)))
+    stats = G.nearest_stats(G.nearest_points(normal_form(spark, d).points, G.NEAR))
     return stats.select("sample_id", "i", r6("nearest"), r6("mean3"))
 
 
@@ -72,14 +75,13 @@ def ring_counts(spark, d):
 
 @query("a15_spacing", with_ctes("SELECT DISTINCT p.sample_id, round(coalesce(spacing, 28.0), 6) AS spacing FROM pts p LEFT JOIN gaps USING (sample_id)", *GRAPH))
 def spacing(spark, d):
-    points = normal_form(spark, d).points
-    return G.spacing(G.nearest_stats(G.neighbour_ranks(G.point_pairs(points))), points).select("sample_id", r6("spacing"))
+    return G.spacing(normal_form(spark, d).points).select("sample_id", r6("spacing"))
 
 
 @query("a15_spacing_by_scan", with_ctes("SELECT sample_id, round(spacing, 6) AS spacing FROM gaps", *GRAPH))
 def spacing_by_scan(spark, d):
     """Spacing through weighted running counts, the form that large samples take."""
-    stats = materialize(G.nearest_stats(G.neighbour_ranks(G.point_pairs(normal_form(spark, d).points))), "nearest")
+    stats = materialize(G.nearest_stats(G.nearest_points(normal_form(spark, d).points, G.NEAR)), "nearest")
     return G.spacing_large(stats).select("sample_id", r6("spacing"))
 
 

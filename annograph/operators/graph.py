@@ -22,19 +22,6 @@ NODE_FEATURES = ("f_x", "f_y", "f_score", "f_nearest", "f_mean3", "f_ring1", "f_
 EDGE_FEATURES = ("e_dx", "e_dy", "e_d", "e_abs_dx", "e_abs_dy", "e_score_u", "e_score_v", "e_score_gap", "e_ring1_u", "e_ring1_v")
 
 
-def point_pairs(points: DataFrame) -> DataFrame:
-    """Ordered pairs (sample_id, i, j, d) of samples with a bounded number of points."""
-    a = points.select("sample_id", F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
-    b = points.select("sample_id", F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-    dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-    return a.join(b, "sample_id").where("i <> j").select("sample_id", "i", "j", F.sqrt(dx * dx + dy * dy).alias("d"))
-
-
-def neighbour_ranks(pairs: DataFrame) -> DataFrame:
-    """Add the distance rank of j among the neighbours of i; equal distances go to the lower index."""
-    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("sample_id", "i").orderBy("d", "j")))
-
-
 def _quantile(ordered: Column, share: float) -> Column:
     """Linear quantile of a sorted array, as numpy computes it."""
     at = (F.size(ordered) - 1) * F.lit(share)
@@ -55,17 +42,38 @@ def _fenced_median(ordered: Column) -> Column:
 
 
 def nearest_stats(ranked: DataFrame) -> DataFrame:
-    """(sample_id, i, nearest, mean3) from ranked pairs."""
+    """(sample_id, i, nearest, mean3) from ranked neighbours (see `nearest_points`, k of at least 3)."""
     return ranked.groupBy("sample_id", "i").agg(
         F.min("d").alias("nearest"), F.avg(F.when(F.col("rank") <= NEAR, F.col("d"))).alias("mean3")
     )
 
 
-def spacing(stats: DataFrame, points: DataFrame, default: float = DEFAULT_SPACING) -> DataFrame:
-    """(sample_id, spacing) of bounded samples; samples with fewer than two points get the default."""
-    lists = stats.groupBy("sample_id").agg(F.array_sort(F.collect_list("nearest")).alias("nn"))
-    known = lists.select("sample_id", let(F.col("nn"), _fenced_median).alias("spacing"))
-    return points.select("sample_id").distinct().join(known, "sample_id", "left").fillna(float(default), ["spacing"])
+def nearest_points(points: DataFrame, k: int = 8, limit: int = PAIR_LIMIT) -> DataFrame:
+    """The k nearest neighbours (sample_id, i, j, d, rank) of every point; equal distances go to the lower index."""
+    small, large = split_hot(points, ["sample_id"], limit)
+    packed = small.groupBy("sample_id").agg(F.collect_list(F.struct("id", "x", "y")).alias("p"))
+    near = let(F.array_sort("p"), lambda p: F.transform(p, lambda a: F.struct(a["id"].alias("i"), F.slice(_near_of(a, p), 1, k).alias("near"))))
+    each = packed.select("sample_id", F.inline(near)).select("sample_id", "i", F.posexplode("near").alias("r", "n"))
+    ranked = each.select("sample_id", "i", F.col("n.j").alias("j"), F.col("n.d").alias("d"), (F.col("r") + 1).alias("rank"))
+    return ranked if large is None else ranked.unionByName(nearest_grid(materialize(large, "points"), k))
+
+
+def spacing(points: DataFrame, default: float = DEFAULT_SPACING, limit: int = PAIR_LIMIT) -> DataFrame:
+    """(sample_id, spacing): fenced median of nearest distances; samples with fewer than two points get the default."""
+    small, large = split_hot(points, ["sample_id"], limit)
+    packed = small.groupBy("sample_id").agg(F.collect_list(F.struct("id", "x", "y")).alias("p"))
+    nearest = let(F.col("p"), lambda p: F.transform(p, lambda a: F.get(_near_of(a, p), F.lit(0))["d"]))
+    known = let(F.array_sort(F.array_compact(nearest)), lambda n: F.when(F.size(n) > 0, _fenced_median(n)))
+    out = packed.select("sample_id", F.coalesce(known, F.lit(float(default))).alias("spacing"))
+    if large is None:
+        return out
+    return out.unionByName(spacing_large(nearest_stats(nearest_grid(materialize(large, "points"), NEAR))))
+
+
+def _near_of(a: Column, p: Column) -> Column:
+    """Other points of the row by distance, then index."""
+    gap = lambda b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
+    return F.array_sort(F.transform(F.filter(p, lambda b: b["id"] != a["id"]), lambda b: F.struct(gap(b).alias("d"), b["id"].alias("j"))))
 
 
 # ---------------------------------------------------------------- large samples
@@ -176,10 +184,6 @@ def sample_rows(points: DataFrame, radius_multiplier: float, k: int) -> DataFram
     """
     packed = points.groupBy("sample_id").agg(F.collect_list(F.struct("id", "x", "y", "score")).alias("p")).where("size(p) >= 2")
 
-    def near_of(a: Column, p: Column) -> Column:
-        gap = lambda b: F.sqrt((a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))
-        return F.array_sort(F.transform(F.filter(p, lambda b: b["id"] != a["id"]), lambda b: F.struct(gap(b).alias("d"), b["id"].alias("j"))))
-
     def measured(p: Column) -> Column:
         def one(a: Column) -> Column:
             def facts(near: Column) -> Column:
@@ -190,7 +194,7 @@ def sample_rows(points: DataFrame, radius_multiplier: float, k: int) -> DataFram
                     F.get(near, F.lit(0))["d"].alias("nearest"), (total / F.greatest(F.size(first), F.lit(1))).alias("mean3"), near.alias("near"),
                 )
 
-            return let(near_of(a, p), facts)
+            return let(_near_of(a, p), facts)
 
         return F.transform(p, one)
 
