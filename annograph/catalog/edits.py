@@ -80,7 +80,7 @@ def undo_last_edge(spark, d):
   FROM (SELECT sample_id, count(*) AS n FROM pts GROUP BY 1) p LEFT JOIN (SELECT sample_id, count(*) AS m FROM eds GROUP BY 1) e USING (sample_id)""", *NORMALIZED))
 def review_stamp(spark, d):
     docs, large = N.split_by_size(*tables(spark, d))
-    sizes = N.normalize_documents(docs).select("sample_id", F.size("points").alias("n"), F.size("edges").alias("m"))
+    sizes = N.normalize_documents(docs, "none").select("sample_id", F.size("points").alias("n"), F.size("edges").alias("m"))
     if large is not None:
         rest = N.normalize_large(*large)
         m = rest.edges.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("m"))
@@ -95,7 +95,7 @@ def review_stamp(spark, d):
 def review_documents(spark, d):
     """Normalised documents of the samples and which of them have an output, a source, and points or links in it."""
     docs, _ = N.split_by_size(*tables(spark, d))
-    docs = materialize(N.normalize_documents(docs).select("sample_id", "points", "edges"), "normalized")
+    docs = materialize(N.normalize_documents(docs, "none").select("sample_id", "points", "edges"), "normalized")
     k, name = F.col("sample_id"), F.col("sample_id").cast("string")
     nothing = F.slice("edges", 1, 0)
     out = docs.where("sample_id % 2 = 0").select(

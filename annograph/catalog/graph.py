@@ -14,7 +14,7 @@ from annograph.plans.session import materialize
 def normal_form(spark, d) -> N.Normalized:
     """Normalised tables from one written pass over the corpus."""
     docs, large = N.split_by_size(*tables(spark, d))
-    docs = materialize(N.normalize_documents(docs).select("sample_id", "points", "edges"), "normalized")
+    docs = materialize(N.normalize_documents(docs, "none").select("sample_id", "points", "edges"), "normalized")
     points, edges = docs.select("sample_id", F.inline("points")), docs.select("sample_id", F.inline("edges"))
     if large is not None:
         rest = N.normalize_large(*large)

@@ -23,7 +23,7 @@ def normalized(spark, d) -> N.Normalized:
 def sample_stats(spark, d) -> DataFrame:
     """Counts per annotation, from document rows where they fit and from element rows where they do not."""
     docs, large = N.split_by_size(*tables(spark, d))
-    stats = V.document_stats(N.normalize_documents(docs))
+    stats = V.document_stats(N.normalize_documents(docs, "codes"))
     if large is not None:
         names = large[0].select("sample_id").unionByName(large[1].select("sample_id")).distinct()
         stats = stats.unionByName(V.table_stats(N.normalize_large(*large), names))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annograph.plans.session import materialize
 from annograph.plans.skew import rank_rows, running, split_hot
 from annograph.functions.text import numbered
-from annograph.schemas import ISSUE_TEXT, RAW_EDGE, RAW_POINT, SCHEMA_VERSION
+from annograph.schemas import ISSUE, ISSUE_TEXT, RAW_EDGE, RAW_POINT, SCHEMA_VERSION
 
 DOCUMENT_LIMIT = 4096  # elements of one sample handled inside one row
 
@@ -26,9 +26,10 @@ class Normalized:
     issues: DataFrame
 
 
-def issue(part: int, pos: Column, code: str, *args: Column, level: str = "error") -> Column:
+def issue(part: int, pos: Column, code: str, *args: Column, level: str = "error", told: bool = True) -> Column:
+    """An issue struct; the message text is left out when nobody will read it."""
     text = ISSUE_TEXT[code]
-    message = F.format_string(text, *args) if args else F.lit(text)
+    message = F.lit(None).cast("string") if not told else F.format_string(text, *args) if args else F.lit(text)
     return F.struct(
         F.lit(part).alias("part"), pos.cast("int").alias("pos"), F.lit(level).alias("level"),
         F.lit(code).alias("code"), message.alias("message"),
@@ -69,9 +70,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _graph_rules(raw_points: Column, raw_edges: Column) -> Column:
+def _graph_rules(raw_points: Column, raw_edges: Column, detail: str) -> Column:
     """struct<points, edges, issues> of one sample."""
 
+    def told(*args, **kwargs) -> Column:
+        return issue(*args, told=detail == "messages", **kwargs)
+
     def readable(p: Column) -> Column:
         return p["id"].isNotNull() & p["x"].isNotNull() & p["y"].isNotNull()
 
@@ -149,22 +153,24 @@ def _graph_rules(raw_points: Column, raw_edges: Column) -> Column:
         )
 
         def rejected(code: str, *fields: str) -> Column:
-            return picked(marked, lambda e: e["code"] == code, lambda e: issue(2, e["pos"], code, *[e[f] for f in fields]))
+            return picked(marked, lambda e: e["code"] == code, lambda e: told(2, e["pos"], code, *[e[f] for f in fields]))
 
         issues = F.array_sort(
             F.concat(
-                picked(raw_points, lambda p: ~p["is_object"], lambda p: issue(1, p["pos"], "POINT_NOT_OBJECT", p["pos"])),
-                picked(raw_points, lambda p: p["is_object"] & ~readable(p), lambda p: issue(1, p["pos"], "POINT_INVALID", p["pos"])),
-                picked(valid, lambda p: p["score"].isNull(), lambda p: issue(1, p["pos"], "VALUE_INVALID", p["pos"])),
-                picked(kept, lambda p: p["given"] != p["raw_id"], lambda p: issue(1, p["pos"], "POINT_ID_DUP", p["raw_id"])),
+                picked(raw_points, lambda p: ~p["is_object"], lambda p: told(1, p["pos"], "POINT_NOT_OBJECT", p["pos"])),
+                picked(raw_points, lambda p: p["is_object"] & ~readable(p), lambda p: told(1, p["pos"], "POINT_INVALID", p["pos"])),
+                picked(valid, lambda p: p["score"].isNull(), lambda p: told(1, p["pos"], "VALUE_INVALID", p["pos"])),
+                picked(kept, lambda p: p["given"] != p["raw_id"], lambda p: told(1, p["pos"], "POINT_ID_DUP", p["raw_id"])),
                 rejected("EDGE_NOT_OBJECT", "pos"),
                 rejected("EDGE_INVALID", "pos"),
                 rejected("EDGE_DANGLING", "pos", "raw_src", "raw_dst"),
                 rejected("EDGE_SELF_LOOP", "pos"),
-                F.transform(sides["repeats"], lambda e: issue(2, e["pos"], "EDGE_DUP", e["pos"])),
-                picked(sides["links"], lambda e: e["label"].isNull(), lambda e: issue(2, e["pos"], "VALUE_INVALID", e["pos"])),
+                F.transform(sides["repeats"], lambda e: told(2, e["pos"], "EDGE_DUP", e["pos"])),
+                picked(sides["links"], lambda e: e["label"].isNull(), lambda e: told(2, e["pos"], "VALUE_INVALID", e["pos"])),
             )
         )
+        if detail == "none":
+            issues = _empty(ISSUE)
         return F.struct(points.alias("points"), edges.alias("edges"), issues.alias("issues"))
 
     valid_points = F.filter(raw_points, lambda p: p["is_object"] & readable(p))
@@ -180,9 +186,14 @@ def _graph_rules(raw_points: Column, raw_edges: Column) -> Column:
     )
 
 
-def normalize_documents(docs: DataFrame) -> DataFrame:
-    """Add `points`, `edges` and `issues` to documents with `raw_points` and `raw_edges`."""
-    done = docs.withColumn("_graph", _graph_rules(F.col("raw_points"), F.col("raw_edges")))
+def normalize_documents(docs: DataFrame, detail: str = "messages") -> DataFrame:
+    """Add `points`, `edges` and `issues` to documents with `raw_points` and `raw_edges`.
+
+    `detail` says how far issues are worked out: "messages", "codes" (no text, enough for counting) or "none" (empty).
+    """
+    if detail not in ("messages", "codes", "none"):
+        raise ValueError(f"unknown detail: {detail}")
+    done = docs.withColumn("_graph", _graph_rules(F.col("raw_points"), F.col("raw_edges"), detail))
     return done.select(*docs.columns, "_graph.points", "_graph.edges", "_graph.issues")
 
 
