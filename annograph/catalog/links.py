@@ -306,6 +306,17 @@ def model_maps(spark, d):
     return scored.select("image_id", F.aggregate("heatmap", F.lit(0.0), lambda a, b: a + b).alias("lit"))
 
 
+@query("m1_predict_points", with_ctes("SELECT image_id, x, y, round(v, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) AS r FROM pix a WHERE v > 0.1 AND v = (SELECT max(b.v) FROM pix b WHERE b.image_id = a.image_id AND abs(b.x - a.x) <= 2 AND abs(b.y - a.y) <= 2)) WHERE r = 1", MAPS))
+def predicted_points(spark, d):
+    """Images to points with an identity model; the merge distance covers the whole 8 by 8 map, so one point stays."""
+
+    def make():
+        return lambda pixels: pixels.astype(np.float32)
+
+    images = bridge.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("pixels"))
+    return P.predict_points(images, make, [64], 8, 0.1, 15.0).select("image_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), r6("score"))
+
+
 @query("ud1_detector", "SELECT image_id, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM (SELECT doc_id AS image_id, ord(text) % 256 AS x, octet_length(encode(text)) % 256 AS y FROM documents) GROUP BY 1")
 def detector(spark, d):
     """A user's detector on image bytes, built once per worker: here one point from the first character and the length."""

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from annograph.plans.session import materialize
 from annograph.plans.skew import rank_rows, running, split_hot
 from annograph.functions.text import numbered
-from annograph.schemas import ISSUE, ISSUE_TEXT, RAW_EDGE, RAW_POINT, SCHEMA_VERSION
+from annograph.schemas import EDGE, ISSUE, ISSUE_TEXT, POINT, RAW_EDGE, RAW_POINT, SCHEMA_VERSION
 
 DOCUMENT_LIMIT = 4096  # elements of one sample handled inside one row
 
@@ -24,6 +24,7 @@ class Normalized:
     points: DataFrame
     edges: DataFrame
     issues: DataFrame
+    link_order: DataFrame | None = None  # (sample_id, src, dst, number) of the table form
 
 
 def issue(part: int, pos: Column, code: str, *args: Column, level: str = "error", told: bool = True) -> Column:
@@ -323,6 +324,20 @@ def normalize_large(points: DataFrame, edges: DataFrame) -> Normalized:
             F.col("u").alias("src"), F.col("v").alias("dst"), F.coalesce("label", F.lit(1)).alias("label"), "source",
         ),
         merged,
+        links.select("sample_id", F.col("u").alias("src"), F.col("v").alias("dst"), "number"),
+    )
+
+
+def regroup_documents(norm: Normalized, heads: DataFrame) -> DataFrame:
+    """Document rows again from the table form, for samples that came in as one document each."""
+    points = norm.points.groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.struct("id", "x", "y", "score", "source"))).alias("points")
+    )
+    ordered = norm.edges.join(norm.link_order, ["sample_id", "src", "dst"])
+    edges = ordered.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("number", "edge_id", "src", "dst", "label", "source"))).alias("e"))
+    edges = edges.select("sample_id", F.transform("e", lambda e: e.dropFields("number")).alias("edges"))
+    return heads.join(points, "sample_id", "left").join(edges, "sample_id", "left").select(
+        *heads.columns, F.coalesce("points", _empty(POINT)).alias("points"), F.coalesce("edges", _empty(EDGE)).alias("edges")
     )
 
 
@@ -337,6 +352,20 @@ def split_by_size(points: DataFrame, edges: DataFrame, limit: int = DOCUMENT_LIM
     return group_documents(*part("left_anti")), tuple(materialize(t, "large") for t in part("left_semi"))
 
 
+def split_documents(docs: DataFrame, limit: int = DOCUMENT_LIMIT) -> tuple[DataFrame, DataFrame | None]:
+    """(documents to handle inside their row, larger ones or None)."""
+    size = F.greatest(F.size("raw_points"), F.size("raw_edges"))
+    largest = docs.agg(F.max(size)).first()[0]
+    if largest is None or largest <= limit:
+        return docs, None
+    return docs.where(size <= limit), materialize(docs.where(size > limit), "large")
+
+
+def element_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Raw points and links of documents as rows, for `normalize_large`."""
+    return docs.select("sample_id", F.inline("raw_points")), docs.select("sample_id", F.inline("raw_edges"))
+
+
 def normalize_tables(points: DataFrame, edges: DataFrame, limit: int = DOCUMENT_LIMIT) -> Normalized:
     """Normalised points, edges and issues of element tables (see RAW_POINT and RAW_EDGE for the columns)."""
     docs, large = split_by_size(points, edges, limit)

@@ -71,6 +71,16 @@ def peaks(pixels: DataFrame, threshold: float = 0.5, reach: int = 2) -> DataFram
     return top.where((F.col("v") == F.col("top")) & (F.col("v") > threshold)).select("image_id", "x", "y", F.col("v").alias("score"))
 
 
+def predict_points(
+    images: DataFrame, make_model: Callable, shape: list[int], width: int, threshold: float = 0.3, reach: float = 15.0, pixels: str = "pixels"
+) -> DataFrame:
+    """Images to points: model maps of the given width, peaks, merging. Input and output are keyed by image_id."""
+    maps = score_heatmaps(images, make_model, shape, pixels).select("image_id", "heatmap")
+    found = peaks(heatmap_pixels(maps, width), threshold)
+    spots = found.select("image_id", (F.col("y") * width + F.col("x")).cast("int").alias("idx"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "score")
+    return merge_near_points(materialize(spots, "peaks"), reach)
+
+
 def augmentation_mean(branches: DataFrame, size: int) -> DataFrame:
     """Mean map of seven aligned branches over square maps.
 
