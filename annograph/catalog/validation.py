@@ -20,13 +20,16 @@ def normalized(spark, d) -> N.Normalized:
     return N.normalize_tables(*tables(spark, d))
 
 
+def large_names(large) -> DataFrame:
+    return large[0].select("sample_id").unionByName(large[1].select("sample_id")).distinct()
+
+
 def sample_stats(spark, d) -> DataFrame:
     """Counts per annotation, from document rows where they fit and from element rows where they do not."""
     docs, large = N.split_by_size(*tables(spark, d))
     stats = V.document_stats(N.normalize_documents(docs, "codes"))
     if large is not None:
-        names = large[0].select("sample_id").unionByName(large[1].select("sample_id")).distinct()
-        stats = stats.unionByName(V.table_stats(N.normalize_large(*large), names))
+        stats = stats.unionByName(V.table_stats(N.normalize_large(*large), large_names(large)))
     return stats
 
 
@@ -250,8 +253,7 @@ def digest_lines(spark, d):
     stats, issues = V.document_stats(docs), docs.select("sample_id", F.inline("issues"))
     if large is not None:
         rest = N.normalize_large(*large)
-        names = large[0].select("sample_id").unionByName(large[1].select("sample_id")).distinct()
-        stats, issues = stats.unionByName(V.table_stats(rest, names)), issues.unionByName(rest.issues)
+        stats, issues = stats.unionByName(V.table_stats(rest, large_names(large))), issues.unionByName(rest.issues)
     seen = V.inspect(image_facts(spark, d), stats.join(annotation_files(spark, d), "sample_id"))
     return V.digest_lines(materialize(seen, "inspected"), issues)
 

@@ -86,6 +86,11 @@ def merge_annotations(base: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
+def merge_rows(base: DataFrame, source: DataFrame) -> DataFrame:
+    """The merge rule on point or link rows: all base rows, and source rows of samples without any base row."""
+    return base.unionByName(source.join(base.select("sample_id").distinct(), "sample_id", "left_anti"))
+
+
 def load_precedence(images: DataFrame, output: DataFrame, source: DataFrame) -> DataFrame:
     """Which document a review starts from: the merged output, the output, a current source, a legacy source, or empty.
 
