@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import decontaminate, line_dedup
+from annograph.llm import decontaminate, line_dedup, near_dedup
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
 def op2_decontaminate(spark, sf_dir):
     marked = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), remove="nothing")
     return marked.select("doc_id", "n_words", "n_hit", "n_items", digest(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.assign_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
