@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import decontaminate, line_dedup, near_dedup
+from annograph.llm import decontaminate, line_dedup, near_dedup, toxicity
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,16 @@ def op2_decontaminate(spark, sf_dir):
 @query("op4_near_dedup")
 def op4_near_dedup(spark, sf_dir):
     return near_dedup.assign_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+def held_out(modulus: int, remainder: int):
+    """Whether crc32 of the id as text has this remainder; null ids never do."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels.where(~held_out(5, 0)))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
