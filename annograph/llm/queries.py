@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import decontaminate, line_dedup, near_dedup, toxicity
+from annograph.llm import decontaminate, line_dedup, near_dedup, pieces, toxicity
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,12 @@ def op3_toxicity(spark, sf_dir):
     model = toxicity.learn(docs, labels.where(~held_out(5, 0)))
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark, sf_dir):
+    coded = pieces.tokenize(table(spark, sf_dir, "documents")).withColumn("decoded", pieces.decode(F.col("ids")))
+    return coded.select(
+        "doc_id", "n_ids", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
