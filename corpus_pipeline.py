@@ -6,24 +6,46 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import decontaminate, line_dedup
+from annograph.llm import decontaminate, line_dedup, near_dedup, pieces, toxicity
 from annograph.llm.common import table
 from annograph.plans.session import shared_dir
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go. The lexicon is learned from `labels` on the documents given."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents share go, except in the largest doc_id holding them. No document goes."""
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates only the document with the smallest doc_id stays."""
+    return near_dedup.keep_first(docs).select(*docs.columns)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth of the words stands in the benchmark go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
+def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds `ids`, a segmentation sampled by doc_id, and `n_ids`. A text that its ids do not decode to ends the job."""
+    coded = pieces.tokenize(docs)
+    lossless = pieces.decode(F.col("ids")) == F.coalesce("text", F.lit(""))
+    checked = F.when(lossless, F.col("ids")).otherwise(F.raise_error(F.lit("a segmentation does not decode to its text")))
+    return coded.withColumn("ids", checked)
+
+
 STAGES = [
+    ("toxicity", toxicity_stage),
     ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
     ("decontamination", benchmark_stage),
+    ("sentencepiece", piece_stage),
 ]
 
 #: SQL can express neither the learned scores nor the sampled segmentations; tests hold each stage against brute force.
