@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from annograph.plans.session import materialize
+
 #: White space of the contracts, and letters that are lower-cased (others keep their case).
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -79,3 +81,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: D
     a = left.join(marked, list(keys), "left").withColumn("__salt", salt).drop("__heavy")
     b = right.join(marked, list(keys), "left").withColumn("__salt", F.explode(salts)).drop("__heavy")
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`materialize`, with the shuffle files of the step removed as soon as its table is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.set(_CLEANUP, before)
