@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import decontaminate, language, line_dedup, near_dedup, pieces, suffix_dedup, toxicity
+from annograph.llm import decontaminate, html_text, language, line_dedup, near_dedup, pieces, suffix_dedup, toxicity
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op9_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs.where(~held_out(4, 2)))
     return language.identify(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark, sf_dir):
+    return html_text.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
