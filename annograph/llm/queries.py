@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import decontaminate, html_text, language, line_dedup, near_dedup, pieces, suffix_dedup, toxicity
+from annograph.llm import decontaminate, html_text, language, line_dedup, near_dedup, pieces, quality, suffix_dedup, toxicity
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ def op9_language_id(spark, sf_dir):
 @query("op8_html_extraction")
 def op8_html_extraction(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
