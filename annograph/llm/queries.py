@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import decontaminate, html_text, language, line_dedup, near_dedup, pieces, quality, suffix_dedup, toxicity
+from annograph.llm import chat, decontaminate, html_text, language, line_dedup, near_dedup, pieces, quality, suffix_dedup, toxicity
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,79 @@ def op8_html_extraction(spark, sf_dir):
 def op7_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+TOOL_FIELDS = (
+    ("lookup", "exact", "boolean", True), ("lookup", "query", "string", True), ("search", "limit", "integer", True), ("search", "query", "string", True),
+    ("search", "exact", "boolean", False), ("translate", "limit", "number", False), ("translate", "exact", "boolean", True), ("translate", "query", "string", True),
+)
+
+
+def tool_turns(conversations):
+    """(calls, results) made from turns: each assistant turn calls a tool, the user turn behind it brings the result."""
+    t = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.char_length("text"))
+    ident = lambda turn: F.concat_ws("_", F.lit("call"), "conv_id", turn)
+    args = F.struct(
+        F.when(F.col("n") % 7 != 0, F.substring("text", 1, 40)).alias("query"),
+        F.when(F.col("n") % 5 != 0, F.col("n")).alias("limit"),
+        F.when(F.col("n") % 11 == 0, F.lit("x")).alias("note"),
+        (F.col("n") % 2 == 0).alias("exact"),
+    )
+    name = F.when(F.col("n") % 13 == 0, "teleport").otherwise(F.element_at(F.array(*[F.lit(x) for x in ("search", "lookup", "translate")]), (F.col("n") % 3 + 1).cast("int")))
+    needs = ident(F.when(F.col("conv_id") % 7 == 0, F.col("turn") + 2).otherwise(F.col("turn") - 2))
+    calls = t.where("role = 'assistant'").select("conv_id", "turn", ident(F.col("turn")).alias("call_id"), name.alias("name"), F.to_json(args).alias("arguments"), needs.alias("needs"))
+    results = t.where("role = 'user' and turn > 0").select("conv_id", "turn", ident(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query(
+    "op5_chat_formatting",
+    """
+WITH RECURSIVE t AS (SELECT conv_id, turn, role, text, length(text) AS n FROM conversations),
+fields(name, field, kind, required) AS (VALUES ('lookup', 'exact', 'b', true), ('lookup', 'query', 's', true), ('search', 'limit', 'i', true), ('search', 'query', 's', true),
+  ('search', 'exact', 'b', false), ('translate', 'limit', 'i', false), ('translate', 'exact', 'b', true), ('translate', 'query', 's', true)),
+calls AS (
+  SELECT conv_id, turn, n, 'call_' || conv_id || '_' || turn AS call_id,
+    CASE WHEN n % 13 = 0 THEN 'teleport' WHEN n % 3 = 0 THEN 'search' WHEN n % 3 = 1 THEN 'lookup' ELSE 'translate' END AS name,
+    '{"exact":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || CASE WHEN n % 5 <> 0 THEN ',"limit":' || n ELSE '' END
+      || CASE WHEN n % 11 = 0 THEN ',"note":"x"' ELSE '' END || CASE WHEN n % 7 <> 0 THEN ',"query":' || CAST(to_json(substring(text, 1, 40)) AS VARCHAR) ELSE '' END || '}' AS arguments,
+    turn + CASE WHEN conv_id % 7 = 0 THEN 2 ELSE -2 END AS other
+  FROM t WHERE role = 'assistant'),
+results AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text FROM t WHERE role = 'user' AND turn > 0),
+given AS (
+  SELECT conv_id, turn, unnest(list_filter([CASE WHEN n % 7 <> 0 THEN 'query' END, CASE WHEN n % 5 <> 0 THEN 'limit' END, CASE WHEN n % 11 = 0 THEN 'note' END, 'exact'], lambda x: x IS NOT NULL)) AS field FROM calls),
+findings AS (
+  SELECT conv_id, turn, 'missing:' || field AS e FROM calls JOIN fields USING (name) WHERE required AND NOT EXISTS (SELECT 1 FROM given g WHERE g.conv_id = calls.conv_id AND g.turn = calls.turn AND g.field = fields.field)
+  UNION ALL
+  SELECT conv_id, turn, 'unknown:' || field FROM calls JOIN given USING (conv_id, turn) WHERE name <> 'teleport' AND NOT EXISTS (SELECT 1 FROM fields f WHERE f.name = calls.name AND f.field = given.field)
+  UNION ALL
+  SELECT conv_id, turn, 'tool:unknown' FROM calls WHERE name = 'teleport'),
+errs AS (SELECT conv_id, turn, string_agg(e, ',' ORDER BY e) AS errors FROM findings GROUP BY ALL),
+chain AS (
+  SELECT conv_id, call_id, turn AS place, 0 AS depth, other FROM calls
+  UNION ALL
+  SELECT chain.conv_id, chain.call_id, greatest(place, c.turn), depth + 1, c.other FROM chain JOIN calls c ON c.conv_id = chain.conv_id AND c.turn = chain.other),
+placed AS (SELECT conv_id, call_id, max(place) AS place, max(depth) AS depth FROM chain GROUP BY ALL),
+every AS (
+  SELECT conv_id, turn, role, NULL AS call_id, turn AS place, 0 AS depth, 0 AS kind, 'plain' AS status, '' AS errors,
+    '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' AS json FROM t
+  UNION ALL
+  SELECT c.conv_id, c.turn, 'assistant', c.call_id, place, depth, 1, CASE WHEN r.call_id IS NULL THEN 'no_result' ELSE 'linked' END, coalesce(errors, ''),
+    '{"arguments":' || CAST(to_json(arguments) AS VARCHAR) || ',"id":"' || c.call_id || '","name":"' || name || '","role":"assistant"}'
+  FROM calls c JOIN placed USING (conv_id, call_id) LEFT JOIN errs e ON e.conv_id = c.conv_id AND e.turn = c.turn LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+  UNION ALL
+  SELECT r.conv_id, r.turn, 'tool', r.call_id, coalesce(place, r.turn), coalesce(depth, 0), 2, CASE WHEN p.call_id IS NULL THEN 'orphan' ELSE 'linked' END, '',
+    '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || r.call_id || '"}'
+  FROM results r LEFT JOIN placed p ON p.conv_id = r.conv_id AND p.call_id = r.call_id)
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY place, depth, kind, turn, role, call_id, json) AS INTEGER) AS position,
+  turn, role, call_id, CAST(depth AS BIGINT) AS depth, status, errors, sha256(json) AS json_sha256
+FROM every
+""",
+)
+def op5_chat_formatting(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    calls, results = tool_turns(conversations)
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("name", "field", "type", "required"), x)]) for x in TOOL_FIELDS]
+    schemas = spark.range(1).select(F.inline(F.array(*rows)))
+    chats = chat.format_chats(conversations, calls, results, schemas)
+    return chats.withColumns({"errors": F.array_join("errors", ","), "json_sha256": digest(F.col("json"))}).drop("json")
