@@ -269,71 +269,76 @@ def path_lengths(edges: DataFrame, queries: DataFrame, max_depth: int) -> DataFr
     return asked.join(reached.withColumnRenamed("node", "dst"), ["sample_id", "src", "dst"], "left").select("sample_id", "src", "dst", F.col("depth").alias("path_len"))
 
 
-def pick_links(src, dst, score, xy, max_degree: int, max_cycle: int, weight: float) -> list[tuple[int, float]]:
-    """Greedy choice inside one connected group: [(list index, lowest value so far)] in the order of picking.
-
-    A link that would close a cycle of at most `max_cycle` links stays impossible from then on, so it is dropped.
+def straight(at: complex, one: complex, other: complex) -> float:
+    """`straightness` of points as complex numbers: the cosine is the real part of one arm times the other's conjugate."""
+    arms = one - at, other - at
+    lengths = [(a * a.conjugate()).real ** 0.5 for a in arms]
+    if min(lengths) < 1e-6:
+        return 0.0
+    cosine = (arms[0] * arms[1].conjugate()).real / (lengths[0] * lengths[1])
+    return (1.0 - min(max(cosine, -1.0), 1.0)) / 2
+
+
+def link_value(link: tuple, lone: dict, spots: dict, weight: float) -> float:
+    """Score of a link (src, dst, score) plus the bonus at each end that has a `lone` kept neighbour and known places."""
+    value = link[2]
+    for here, there in (link[:2], link[1::-1]):
+        mate = lone.get(here)
+        if mate is not None and {here, there, mate} <= spots.keys():
+            value += weight * straight(spots[here], spots[mate], spots[there])
+    return value
+
+
+def within_steps(near: dict, start, goal, steps: int) -> bool:
+    """Whether `goal` is at most `steps` kept links from `start`."""
+    seen = ring = {start}
+    for _ in range(steps):
+        if goal in ring:
+            return True
+        ring = set().union(*(near.get(n, ()) for n in ring)) - seen
+        seen = seen | ring
+    return goal in ring
+
+
+def pick_links(src, dst, score, xy, max_degree: int, max_cycle: int, weight: float) -> list[tuple[int, float, int]]:
+    """Greedy choice inside one connected group, in the order of picking: [(list index, floor, index at the floor)].
+
+    The last two are the largest (falling value, index) so far: a group's picks are merged with those of other groups of
+    the sample in that order. A link that would close a cycle of at most `max_cycle` links stays impossible from then
+    on, so it is dropped. Values of links change only at the ends of the link just taken; a stale heap entry is skipped.
     """
-    near: dict = {}
-    degree: dict = {}
-    incident: dict = {}
-    for i, (a, b) in enumerate(zip(src, dst)):
-        incident.setdefault(a, []).append(i)
-        incident.setdefault(b, []).append(i)
-
-    def bonus(node, other):
-        mates = near.get(node, ())
-        if len(mates) != 1 or xy is None:
-            return 0.0
-        mate = next(iter(mates))
-        if node not in xy or other not in xy or mate not in xy:
-            return 0.0
-        (x0, y0), (x1, y1), (x2, y2) = xy[node], xy[mate], xy[other]
-        ax, ay, bx, by = x1 - x0, y1 - y0, x2 - x0, y2 - y0
-        na, nb = (ax * ax + ay * ay) ** 0.5, (bx * bx + by * by) ** 0.5
-        if na < 1e-6 or nb < 1e-6:
-            return 0.0
-        return 0.5 * (1.0 - max(-1.0, min(1.0, (ax * bx + ay * by) / (na * nb))))
-
-    def closes_cycle(a, b):
-        if max_cycle < 3:
-            return False
-        ring, seen = {a}, {a}
-        for _ in range(max_cycle - 1):
-            ring = {m for n in ring for m in near.get(n, ())} - seen
-            if b in ring:
-                return True
-            seen |= ring
-        return a == b
-
-    value = list(score)
-    heap = [(-v, i) for i, v in enumerate(value)]
+    links = list(zip(src, dst, score))
+    spots = {node: complex(*place) for node, place in xy.items()} if xy else {}
+    near, lone, degree, incident = {}, {}, {}, {}
+    for i, link in enumerate(links):
+        for end in link[:2]:
+            incident.setdefault(end, []).append(i)
+    value = dict(enumerate(score))  # of the links that may still be taken
+    heap = [(-v, i) for i, v in value.items()]
     heapq.heapify(heap)
-    alive = [True] * len(value)
-    kept, floor = [], float("inf")
+    kept, last = [], (-float("inf"), -1)
     while heap:
-        v, i = heapq.heappop(heap)
-        if not alive[i] or -v != value[i]:
+        entry = heapq.heappop(heap)
+        i = entry[1]
+        if value.get(i) != -entry[0]:
             continue
-        alive[i] = False
-        a, b = src[i], dst[i]
-        if closes_cycle(a, b):
+        del value[i]
+        ends = links[i][:2]
+        if max_cycle >= 3 and within_steps(near, *ends, max_cycle - 1):
             continue
-        floor = min(floor, -v)
-        kept.append((i, floor))
-        near.setdefault(a, set()).add(b)
-        near.setdefault(b, set()).add(a)
-        for node in (a, b):
-            degree[node] = degree.get(node, 0) + 1
-        for node in (a, b):
-            full = degree[node] >= max_degree
-            for e in incident[node]:
-                if not alive[e]:
-                    continue
-                if full:
-                    alive[e] = False
-                else:
-                    fresh = score[e] + weight * bonus(src[e], dst[e]) + weight * bonus(dst[e], src[e])
+        last = max(last, entry)
+        kept.append((i, -last[0], last[1]))
+        for here, there in (ends, ends[::-1]):
+            degree[here] = degree.get(here, 0) + 1
+            near.setdefault(here, set()).add(there)
+            lone[here] = there if len(near[here]) == 1 else None
+        for here in ends:
+            for e in incident[here]:
+                if e in value:
+                    if degree[here] >= max_degree:
+                        del value[e]
+                        continue
+                    fresh = link_value(links[e], lone, spots, weight)
                     if fresh != value[e]:
                         value[e] = fresh
                         heapq.heappush(heap, (-fresh, e))
@@ -374,7 +379,7 @@ def select_links(
     p = resolve_preset(preset, **overrides)
     rows = links.select("sample_id", "pos", "src", "dst", F.col("score").cast("double").alias("score"))
     if p["max_degree"] <= 0:
-        return _numbered_links(rows.where("false").withColumn("floor", F.col("score")))
+        return _numbered_links(rows.where("false").selectExpr("*", "score as floor", "pos as at", "pos as turn"))
     heavy = hot_groups(rows.select("sample_id"), ["sample_id"], limit)
     if heavy is None:
         return _numbered_links(_pick(rows, points, ["sample_id"], p))
@@ -403,16 +408,16 @@ def _pick(links: DataFrame, points: DataFrame | None, keys: list[str], p: dict)
         first = c["kind"].index(1) if 1 in c["kind"] else len(c["kind"])
         xy = {i: (x, y) for i, x, y in zip(c["src"][:first], c["x"][:first], c["y"][:first])} if with_points else None
         src, dst, score, pos = (c[n][first:] for n in ("src", "dst", "score", "pos"))
-        for i, floor in pick_links(src, dst, score, xy, degree, cycle, weight):
-            yield key[0], pos[i], src[i], dst[i], score[i], floor
+        for turn, (i, floor, at) in enumerate(pick_links(src, dst, score, xy, degree, cycle, weight)):
+            yield key[0], pos[i], src[i], dst[i], score[i], floor, pos[at], turn
 
     kind = links.schema["sample_id"].dataType.simpleString()
-    return map_groups(rows, keys, ["kind", "pos"], run, f"sample_id {kind}, pos int, src int, dst int, score double, floor double")
+    return map_groups(rows, keys, ["kind", "pos"], run, f"sample_id {kind}, pos int, src int, dst int, score double, floor double, at int, turn int")
 
 
 def _numbered_links(picked: DataFrame) -> DataFrame:
-    """Number kept links by score; equal scores keep the order of picking (value first, then list order)."""
-    order = W.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("floor"), "pos")
+    """Number kept links by score; equal scores keep the order of picking, which the floors give across groups."""
+    order = W.partitionBy("sample_id").orderBy(F.desc("score"), F.desc("floor"), "at", "turn")
     return _link_rows(picked.withColumn("n", F.row_number().over(order)))
 
 
@@ -421,7 +426,7 @@ def _numbered_large(picked: DataFrame) -> DataFrame:
     top = picked.groupBy("sample_id").agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
     share = (F.col("hi") - F.col("score")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
     keyed = picked.join(top, "sample_id").withColumn("k", (share * 2147483000).cast("int")).withColumn("s", -F.col("score")).withColumn("f", -F.col("floor"))
-    ranked = running(materialize(keyed, "select"), ["sample_id"], "k", [("n", "sum", F.lit(1), True)], ["s", "f", "pos"])
+    ranked = running(materialize(keyed, "select"), ["sample_id"], "k", [("n", "sum", F.lit(1), True)], ["s", "f", "at", "turn"])
     return _link_rows(ranked.withColumn("n", F.col("n").cast("int")))
 
 
@@ -434,10 +439,12 @@ def _link_rows(numbered_links: DataFrame) -> DataFrame:
 
 def predict_edges(
     points: DataFrame, scorer: Callable[[DataFrame, DataFrame], DataFrame], threshold: float = 0.5, preset: str = "balanced",
-    truth: DataFrame | None = None, k: int = 8, radius_multiplier: float = 2.5, sizes: DataFrame | None = None, **overrides,
+    truth: DataFrame | None = None, k: int = 8, radius_multiplier: float = 2.5, sizes: DataFrame | None = None, rounded: bool = True, **overrides,
 ) -> DataFrame:
     """Points to selected links: features, one scoring pass, threshold, selection.
 
+    Selection sees whole coordinates, as batch documents hold them, unless `rounded` is off (single samples).
+
     `scorer(link features, node features)` adds a `score` column, for example with a column expression or a batch UDF.
     Truth links are left out of the candidates unless given.
     """
@@ -445,4 +452,5 @@ def predict_edges(
 
     nodes, edges = graph_features(points, truth, sizes, k, radius_multiplier)
     scored = scorer(edges, nodes).select("sample_id", "u", "v", "score")
-    return select_links(above_threshold(scored, threshold), points, preset, **overrides)
+    places = points.withColumns({c: F.rint(c) for c in ("x", "y")}) if rounded else points
+    return select_links(above_threshold(scored, threshold), places, preset, **overrides)
