@@ -15,7 +15,8 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from annograph.llm.common import unpack
 
@@ -23,7 +24,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the piece format: the mark that stands for a blank.
 BLANK = "▁"
 #: Characters of text that are handled together.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 _BASE = np.uint64(0x100000001B3)
@@ -64,35 +65,40 @@ class Vocabulary:
         first = min((i for rows in by_length.values() for _, i in rows), default=0)
         self.weight = -np.log(np.maximum(np.arange(size) - first, 0) + 2.0)
         self.byte_weight = -np.log(size)
-        self.lengths = set(by_length)
-        # Open addressing at a sixteenth of the slots: an absent string mostly meets an empty slot at once.
-        self.slots = np.uint64(1 << max(4, (16 * size).bit_length() - 1))
+        self.longest = max(by_length, default=0)
+        # Open addressing with all beginnings of pieces: a search ends where no piece goes on. Id -1: no piece itself.
+        known = {piece[:k]: -1 for rows in by_length.values() for piece, _ in rows for k in range(1, len(piece))}
+        known |= {piece: i for rows in by_length.values() for piece, i in rows}
+        self.slots = np.uint64(1 << (8 * len(known)).bit_length())
         self.slot_key, self.slot_id = np.zeros(int(self.slots), np.uint64), np.zeros(int(self.slots), np.int32)
-        for length, rows in by_length.items():
-            codes = np.array([[ord(c) for c in piece] for piece, _ in rows], np.uint64)
-            keys = np.zeros(len(rows), np.uint64)
+        for length in range(1, self.longest + 1):
+            own = [(text, i) for text, i in known.items() if len(text) == length]
+            codes = np.array([[ord(c) for c in text] for text, _ in own], np.uint64)
+            keys = np.zeros(len(own), np.uint64)
             for k in range(length):
                 keys = keys * _BASE + _mix(codes[:, k] + np.uint64(1))
-            for key, (_, i) in zip(keys, rows):
-                slot = self._slot(key)
+            for key, slot, (_, i) in zip(keys.tolist(), self._slot(keys).tolist(), own):
                 while self.slot_key[slot]:
-                    slot = (slot + np.uint64(1)) % self.slots
+                    slot = (slot + 1) % int(self.slots)
                 self.slot_key[slot], self.slot_id[slot] = key, i
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys ^ (keys >> np.uint64(32))) & (self.slots - np.uint64(1))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows of `keys` that are pieces, their ids)."""
-        rows, slot, found, ids = np.arange(len(keys)), self._slot(keys), [], []
-        while len(rows):
-            here = self.slot_key[slot]
-            hit = here == keys
-            found.append(rows[hit])
-            ids.append(self.slot_id[slot[hit]])
-            again = np.flatnonzero((here != 0) & ~hit)
-            rows, keys, slot = rows[again], keys[again], (slot[again] + np.uint64(1)) & (self.slots - np.uint64(1))
-        return np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(ids or [np.zeros(0, np.int32)])
+        """Whether each key is the beginning of a piece, and the id of the piece that it is itself, or -1."""
+        slot = self._slot(keys)
+        here = self.slot_key[slot]
+        ids = self.slot_id[slot]
+        found = here == keys
+        again = np.flatnonzero(~found & (here != 0))
+        while len(again):
+            slot[again] = (slot[again] + np.uint64(1)) & (self.slots - np.uint64(1))
+            here = self.slot_key[slot[again]]
+            hit = again[here == keys[again]]
+            found[hit], ids[hit] = True, self.slot_id[slot[hit]]
+            again = again[(here != 0) & (here != keys[again])]
+        return found, ids
 
 
 @cache
@@ -114,20 +120,20 @@ class Lattice:
         left = np.repeat(ends, sizes) - np.arange(len(codes))  # characters to the unit's end
         mixed = _mix(codes + np.uint64(1))  # never 0, the mark of an empty slot
         starts, lengths, ids = [], [], []
-        at, keys, single = np.arange(len(codes)), np.zeros(len(codes), np.uint64), np.zeros(len(codes), bool)
-        for length in range(1, max(vocab.lengths) + 1):
-            keep = left[at] >= length
-            at, keys = at[keep], keys[keep] * _BASE + mixed[at[keep] + length - 1]
-            if not len(at):
-                break
-            if length not in vocab.lengths:
-                continue
+        at, keys, single = np.arange(len(codes)), mixed, np.zeros(len(codes), bool)
+        for length in range(1, vocab.longest + 1):
             found, which = vocab.find(keys)
-            starts.append(at[found])
-            lengths.append(np.full(len(found), length))
-            ids.append(which)
+            piece = np.flatnonzero(found & (which >= 0))
+            starts.append(at[piece])
+            lengths.append(np.full(len(piece), length))
+            ids.append(which[piece])
             if length == 1:
-                single[at[found]] = True
+                single[at[piece]] = True
+            on = np.flatnonzero(found & (left[at] > length))
+            if not len(on):
+                break
+            at = at[on]
+            keys = keys[on] * _BASE + mixed[at + length]
         raw = np.flatnonzero(~single)
         plain = np.where(codes[raw] == _LITERAL_BLANK, np.uint64(ord(BLANK)), codes[raw])
         utf8 = [chr(c).encode("utf-8", "surrogatepass") for c in plain.tolist()]
@@ -242,29 +248,6 @@ def decode_ids(ids: np.ndarray, vocab: Vocabulary) -> str:
     return b"".join([vocab.bytes_of[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
 
 
-def encode(text: Column, key: Column, model: str = MODEL, seed: int = 0) -> Column:
-    """Array of piece ids, sampled by the row `key`; null and empty texts give an empty array."""
-
-    @F.arrow_udf("array<int>")
-    def sampled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        vocab = vocabulary(model)
-        for texts, keys in batches:
-            size = np.asarray(pa.compute.utf8_length(texts)).astype(np.int64)
-            keys = keys.to_numpy(zero_copy_only=False).view(np.uint64)
-            parts, counts, i = [], [], 0
-            reach = np.cumsum(size)
-            while i < len(texts):
-                j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + CHUNK, side="right")))
-                ids, n = encode_texts(texts.slice(i, j - i).to_pylist(), keys[i:j], vocab, seed)
-                parts.append(ids.astype(np.int32))
-                counts.append(n)
-                i = j
-            offsets = np.r_[0, np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))]
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
-
-    return sampled(F.coalesce(text, F.lit("")), key)
-
-
 def decode(ids: Column, model: str = MODEL) -> Column:
     """Text of an array of piece ids; null ids give an empty text."""
 
@@ -278,13 +261,35 @@ def decode(ids: Column, model: str = MODEL) -> Column:
     return joined(F.coalesce(ids, F.array().cast("array<int>")))
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = 0) -> DataFrame:
-    """The columns of `docs` plus `ids` (array of piece ids) and `n_ids`.
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, seed: int = 0, decoded: bool = False) -> DataFrame:
+    """The columns of `docs` plus `ids` (array of piece ids), `n_ids` and, if asked for, `decoded`, the text of the ids.
 
     The segmentation of a row depends on its id, its text and `seed` only, not on partitions or batches; rows with equal
     id and text get equal ids, and null ids count as one key. Characters without a piece, and the blank mark itself,
-    become byte pieces, so `decode(ids)` is the text again. Null and empty texts have no ids. Existing columns `ids` and
-    `n_ids` are replaced.
+    become byte pieces, so the ids always decode to the text; one that does not ends the job. Null and empty texts have
+    no ids. Existing columns of the added names are replaced.
     """
-    encoded = docs.select(F.struct("*").alias("row"), encode(F.col(text_col), F.xxhash64(F.col(id_col)), model, seed).alias("ids"))
-    return unpack(encoded, {"ids": F.col("ids"), "n_ids": F.size("ids").cast("long")})
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col)).alias("key"))
+    added = {"ids": T.ArrayType(T.IntegerType()), "n_ids": T.LongType()} | ({"decoded": T.StringType()} if decoded else {})
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        for batch in batches:
+            texts = pc.fill_null(pc.struct_field(batch.column("row"), text_col), "")
+            reach = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            i = 0
+            while i < len(batch):
+                j = max(i + 1, int(np.searchsorted(reach, (reach[i - 1] if i else 0) + CHUNK, side="right")))
+                own = texts.slice(i, j - i).to_pylist()
+                ids, n = encode_texts(own, keys[i:j], vocab, seed)
+                ends = np.r_[0, np.cumsum(n)]
+                back = [decode_ids(ids[a:b], vocab) for a, b in zip(ends[:-1], ends[1:])]
+                if back != own:
+                    raise ValueError("a segmentation does not decode to its text")
+                columns = [batch.column("row").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(back, pa.string())] if decoded else [])], names=["row", *added])
+                i = j
+
+    schema = T.StructType([rows.schema["row"], *[T.StructField(n, kind) for n, kind in added.items()]])
+    return unpack(rows.mapInArrow(code, schema), {n: F.col(n) for n in added})

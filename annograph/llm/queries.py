@@ -100,7 +100,7 @@ def op3_toxicity(spark, sf_dir):
 
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark, sf_dir):
-    coded = pieces.tokenize(table(spark, sf_dir, "documents")).withColumn("decoded", pieces.decode(F.col("ids")))
+    coded = pieces.tokenize(table(spark, sf_dir, "documents"), decoded=True)
     return coded.select(
         "doc_id", "n_ids", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
         digest(F.col("decoded")).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
