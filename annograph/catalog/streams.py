@@ -30,16 +30,15 @@ def incremental_intake(spark, d):
 
 @query("st2_distinct_content", "SELECT DISTINCT md5(text) AS md5 FROM documents")
 def distinct_content(spark, d):
-    """Repeated content recognised by hash inside the watermark."""
+    """Repeated content recognised by its hash."""
     work = versioned_path(f"{shared_dir(spark)}/annograph/intake")
     docs = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(d)
     arrived = docs.select(
         F.col("doc_id").cast("string").alias("path"), F.timestamp_seconds(F.col("doc_id") % 86400 + 86400).alias("modificationTime"), F.length("text").cast("long").alias("length"),
         F.encode("text", "utf-8").alias("content"),
     )
-    query_ = intake.distinct_content(arrived).select("md5").writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/state")
-    query_.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("md5 string").parquet(f"{work}/out")
+    intake.run_distinct_content(arrived, f"{work}/out", f"{work}/state")
+    return spark.read.schema("md5 string").parquet(f"{work}/out").select("md5")
 
 
 @query("s3_annotation_files", with_ctes("SELECT path, stem FROM named WHERE lower(suffix) = '.txt'", FILES))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from annograph.functions.text import base_name
+from annograph.functions.text import base_name, stripped
 from annograph.schemas import (
     DEFAULT_SIDE, METADATA_DETECTIONS, METADATA_LEGACY, POINT_LABELS, SCHEMA_VERSION, STRICT_POINT_LABEL,
 )
@@ -73,7 +73,7 @@ def raw_edges(v: Column) -> Column:
 
 def _point_shapes(v: Column, accepts) -> Column:
     """Shapes that are objects of type point, carry an accepted label and a first coordinate pair."""
-    label = lambda s: F.trim(F.coalesce(field(s, "$.label", "string"), F.lit("")))
+    label = lambda s: stripped(F.coalesce(field(s, "$.label", "string"), F.lit("")))
     return F.filter(
         F.coalesce(array_at(v, "$.shapes"), no_variants()),
         lambda s: is_object(s)

@@ -27,6 +27,12 @@ def output_path(path: Column, folder: str, suffix: str = "", extension: str | No
     return F.regexp_replace(F.concat(F.lit(prefix), stem_of(path), F.lit(suffix), tail), r"\\", "/")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    space = r"[\s\x1c-\x1f\x85\p{Z}]+"
+    return F.regexp_replace(text, f"^{space}|{space}$", "")
+
+
 def numbered(prefix: str, number: Column) -> Column:
     """`prefix` and at least four digits, wider numbers keep all their digits."""
     return F.format_string(prefix + "%04d", number)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annograph.functions.text import base_name, stem_of
+from annograph.functions.text import base_name, stem_of, stripped
 from annograph.schemas import IMAGE_SUFFIXES, RESOLVE_SUFFIX_ORDER, TRAINING_SUFFIX_ORDER
 
 
@@ -55,7 +55,7 @@ def resolve_images(annotations: DataFrame, images: DataFrame) -> DataFrame:
     files = images.select(base_name(F.col("path")).alias("name"), F.col("path").alias("file"))
     by_stem = images.withColumn("p", _priority(F.col("suffix"), RESOLVE_SUFFIX_ORDER)).where("p is not null")
     by_stem = by_stem.groupBy("stem").agg(F.min_by("path", "p").alias("second"))
-    stated = annotations.withColumn("name", base_name(F.trim(F.coalesce("image_path", F.lit("")))))
+    stated = annotations.withColumn("name", base_name(stripped(F.coalesce("image_path", F.lit("")))))
     first = files.groupBy("name").agg(F.min("file").alias("first"))
     j = stated.join(first, "name", "left").join(by_stem, "stem", "left")
     found = F.coalesce("first", "second")
@@ -67,7 +67,7 @@ def resolve_images_for_prediction(annotations: DataFrame, images: DataFrame, ima
     stated text. Suffixes inside one step follow the listed order."""
     known = images.select("path").distinct()
     folder = F.regexp_replace(F.col("path"), r"[^/]*$", "")
-    raw = F.trim(F.coalesce("image_path", F.lit("")))
+    raw = stripped(F.coalesce("image_path", F.lit("")))
     listed = lambda prefix: [F.concat(prefix, F.lit(s)) for s in IMAGE_SUFFIXES]
     candidates = F.array(
         F.when(raw != "", raw), F.when(raw != "", F.concat(folder, raw)),

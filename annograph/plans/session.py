@@ -19,6 +19,7 @@ def build_session(app: str = "annograph", master: str | None = None, cores: int
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")
     )
     if master:
         builder = (

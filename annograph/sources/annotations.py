@@ -27,12 +27,18 @@ def annotation_files(files: DataFrame, suffix: str = ".json", case_sensitive: bo
     return kept.select("path", stem_of(F.col("path")).alias("stem"))
 
 
+def _documents(raw: DataFrame) -> DataFrame:
+    """`raw` with its text parsed as `doc`. Of a repeated key the last value counts."""
+    raw.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return raw.withColumn("doc", F.try_parse_json("raw"))
+
+
 def parse_annotations(raw: DataFrame) -> DataFrame:
     """Typed documents from (path, stem, raw); both dialects. Unreadable text keeps its row with readable=false.
 
     Opaque parts (`roi`, `segments`, `metadata`) stay VARIANT with the type guards of the format.
     """
-    parsed = raw.withColumn("doc", F.try_parse_json("raw"))
+    parsed = _documents(raw)
     doc = F.col("doc")
     legacy = D.is_legacy(doc)
     from_shapes = D.as_raw_points(D.legacy_points(doc))
@@ -58,7 +64,7 @@ def parse_annotations(raw: DataFrame) -> DataFrame:
 
 def to_point_schema(raw: DataFrame) -> DataFrame:
     """Any dialect to points for the link step: a document with a `points` key keeps them, others use strict shapes."""
-    parsed = raw.withColumn("doc", F.try_parse_json("raw")).where(D.is_object(F.col("doc")))
+    parsed = _documents(raw).where(D.is_object(F.col("doc")))
     doc = F.col("doc")
     current = D.has_key(doc, "points")
     return parsed.select(
@@ -74,11 +80,11 @@ def to_point_schema(raw: DataFrame) -> DataFrame:
 
 def usable_sources(raw: DataFrame, source: str = "source") -> DataFrame:
     """Per source folder: does any document hold at least two usable points (either dialect)?"""
-    doc = F.try_parse_json("raw")
+    doc = F.col("doc")
     points = F.greatest(
         F.coalesce(F.size(D.array_at(doc, "$.points")), F.lit(0)), F.size(D.legacy_points_strict(doc))
     )
-    return raw.groupBy(source).agg(F.max(F.when(D.is_object(doc), points).otherwise(0)).alias("best"))
+    return _documents(raw).groupBy(source).agg(F.max(F.when(D.is_object(doc), points).otherwise(0)).alias("best"))
 
 
 def choose_source(usable: DataFrame, requested: str, fallback: str, source: str = "source") -> DataFrame:
@@ -92,7 +98,7 @@ def choose_source(usable: DataFrame, requested: str, fallback: str, source: str
 
 def review_documents(raw: DataFrame) -> DataFrame:
     """Review reading: a list under `points` or `edges` means a current document, all else legacy points, no links."""
-    parsed = raw.withColumn("doc", F.try_parse_json("raw")).where("doc is not null")
+    parsed = _documents(raw).where("doc is not null")
     doc = F.col("doc")
     current = D.array_at(doc, "$.points").isNotNull() | D.array_at(doc, "$.edges").isNotNull()
     legacy = D.is_legacy(doc)

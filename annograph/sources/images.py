@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Sequence
+import contextlib
+import re
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from annograph.functions.text import stem_of, suffix_of
 from annograph.operators.corpus import image_files
 from annograph.schemas import IMAGE_SUFFIXES
 
-HEAD_BYTES = 65_536  # frame headers of JPEG files sit in the first 64 KB
+HEAD_BYTES = 65_536  # what is read of a file first; a header that lies behind it takes the whole file
+#: Samples a pixel of the PNG colour types.
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
@@ -34,69 +36,125 @@ def read_images(
 
 
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded width, height and channels; an unreadable file keeps its row with null sizes."""
+    """Decoded width, height and channels; an unreadable file keeps its row with null sizes.
+
+    Files that the JVM cannot decode take their sizes from their headers.
+    """
     i = F.col("image")
     known = lambda c: F.when(i[c] >= 0, i[c])
     out = spark.read.format("image").option("dropInvalid", "false").load(folder)
     out = out.select(_decoded(i["origin"]).alias("path"), known("width").alias("width"), known("height").alias("height"), known("nChannels").alias("channels"))
+    foreign = image_headers(read_images(spark, folder, suffixes=HEADER_ONLY, content=True)).where("width is not null")
+    # The two readers write the slashes behind the scheme differently.
+    place = F.regexp_replace("path", r"^(\w+):/*", "$1:/").alias("_place")
+    foreign = foreign.select(place, *[F.col(c).alias(f"_{c}") for c in ("width", "height", "channels")])
+    out = out.select("*", place).join(foreign, "_place", "left").select("path", *[F.coalesce(c, f"_{c}").alias(c) for c in ("width", "height", "channels")])
     return out.withColumn("stem", stem_of(F.col("path"))).withColumn("suffix", suffix_of(F.col("path")))
 
 
-def _segments(data: bytes):
-    """(marker, payload start) of JPEG segments up to the scan or the end."""
-    at = 2
-    while at < len(data) - 8:
-        if data[at] != 0xFF:
-            at += 1
-            continue
-        marker = data[at + 1]
-        yield marker, at + 4
-        if marker in (0xDA, 0xD9):
-            return
-        at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+class _Reader:
+    """Numbers at offsets of a byte string in one byte order; offsets outside raise."""
+
+    def __init__(self, data: bytes, order: str) -> None:
+        self.data, self.order = data, order
+
+    def at(self, offset: int, width: int, signed: bool = False) -> int:
+        part = self.data[offset : offset + width]
+        if offset < 0 or len(part) < width:
+            raise IndexError(offset)
+        return int.from_bytes(part, self.order, signed=signed)
+
+
+def jpeg_segments(data: bytes) -> Iterator[tuple[int, _Reader]]:
+    """Marker and payload of each segment before the picture data, by the JPEG syntax: fill bytes and markers without a
+    length are passed over, a payload may be cut off by the end of `data`."""
+    source, at = _Reader(data, "big"), 2
+    with contextlib.suppress(IndexError):
+        while True:
+            at = data.index(0xFF, at) if 0xFF in data[at:] else len(data)
+            while source.at(at, 1) == 0xFF:
+                at += 1
+            marker, at = source.at(at, 1), at + 1
+            if marker in (0xD9, 0xDA):
+                return
+            if marker in (0x00, 0x01) or 0xD0 <= marker <= 0xD8:
+                continue
+            size = source.at(at, 2)
+            yield marker, _Reader(data[at + 2 : at + size], "big")
+            at += size
+
+
+def tiff_tags(data: bytes) -> dict[int, int]:
+    """First value of each short or long entry of the first directory of a TIFF structure; broken ones end the list."""
+    order = {b"II": "little", b"MM": "big"}.get(data[:2])
+    tags: dict[int, int] = {}
+    if order:
+        source = _Reader(data, order)
+        with contextlib.suppress(IndexError):
+            start = source.at(4, 4)
+            for entry in range(start + 2, start + 2 + 12 * source.at(start, 2), 12):
+                tag, kind = source.at(entry, 2), source.at(entry + 2, 2)
+                source.at(entry + 8, 4)
+                tags.setdefault(tag, source.at(entry + 8, 4 if kind == 4 else 2))
+    return tags
 
 
 def exif_orientation(data: bytes) -> int:
-    """Orientation tag of a JPEG, 0 when there is none."""
-    if data[:2] != b"\xff\xd8":
-        return 0
-    for marker, at in _segments(data):
-        if marker != 0xE1:
-            continue
-        size = int.from_bytes(data[at - 2 : at], "big")
-        payload = data[at : at + size - 2]
-        if payload[:6] != b"Exif\0\0":
-            return 0
-        tiff = payload[6:]
-        order = {b"II": "<", b"MM": ">"}.get(bytes(tiff[:2]))
-        if order is None or len(tiff) < 14:
-            return 0
-        first = struct.unpack_from(order + "I", tiff, 4)[0]
-        if first + 2 > len(tiff):
-            return 0
-        for n in range(struct.unpack_from(order + "H", tiff, first)[0]):
-            entry = first + 2 + 12 * n
-            if entry + 12 > len(tiff):
-                break
-            if struct.unpack_from(order + "H", tiff, entry)[0] == 0x0112:
-                return struct.unpack_from(order + "H", tiff, entry + 8)[0]
-        return 0
-    return 0
+    """Orientation tag of a JPEG, 0 when there is none. Only the first application segment of kind 1 counts."""
+    first = next((s.data for marker, s in jpeg_segments(data) if marker == 0xE1), b"") if data.startswith(b"\xff\xd8") else b""
+    return tiff_tags(first[6:]).get(0x0112, 0) if first.startswith(b"Exif\0\0") else 0
+
+
+def _png(source: _Reader) -> tuple[int, int, int]:
+    return source.at(16, 4), source.at(20, 4), PNG_CHANNELS.get(source.at(25, 1), 3)
+
+
+def _jpeg(source: _Reader) -> tuple[int, int, int]:
+    frames = (s for marker, s in jpeg_segments(source.data) if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC))
+    frame = next(frames, _Reader(b"", "big"))
+    return frame.at(3, 2), frame.at(1, 2), frame.at(5, 1)
+
+
+def _webp(source: _Reader) -> tuple[int, int, int]:
+    little = _Reader(source.data, "little")
+    kind = source.data[12:16]
+    if kind == b"VP8X":
+        return little.at(24, 3) + 1, little.at(27, 3) + 1, 4 if little.at(20, 1) & 16 else 3
+    if kind == b"VP8L":
+        bits = little.at(21, 4)
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, 4 if bits >> 28 & 1 else 3
+    return little.at(26, 2) & 0x3FFF, little.at(28, 2) & 0x3FFF, 3
+
+
+def _bmp(source: _Reader) -> tuple[int, int, int]:
+    little = _Reader(source.data, "little")
+    if little.at(14, 4) == 12:
+        return little.at(18, 2), little.at(20, 2), 3
+    return little.at(18, 4), abs(little.at(22, 4, signed=True)), 4 if little.at(28, 2) == 32 else 3
+
+
+def _tiff(source: _Reader) -> tuple[int, int, int]:
+    tags = tiff_tags(source.data)
+    if not {256, 257} <= tags.keys():
+        raise IndexError("no size")
+    return tags[256], tags[257], tags.get(277, 1)
+
+
+#: Readers by the first bytes of a file, from the formats' specifications.
+HEADERS = (
+    (re.compile(rb"\x89PNG\r\n\x1a\n", re.S), _png), (re.compile(rb"\xff\xd8", re.S), _jpeg), (re.compile(rb"RIFF....WEBPVP8", re.S), _webp),
+    (re.compile(rb"BM", re.S), _bmp), (re.compile(rb"II\*\0|MM\0\*", re.S), _tiff),
+)
+HEADER_ONLY = (".webp", ".tif", ".tiff")
 
 
 def header_info(data: bytes) -> tuple[int, int, int] | None:
-    """(width, height, channels) from the first bytes of PNG and JPEG files, else None."""
-    if len(data) < 26:
+    """(width, height, channels) from the first bytes of a PNG, JPEG, WEBP, BMP or TIFF file, None if they don't hold them."""
+    reader = next((read for magic, read in HEADERS if magic.match(data)), None)
+    try:
+        return reader(_Reader(data, "big")) if reader else None
+    except IndexError:
         return None
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        width, height = struct.unpack_from(">II", data, 16)
-        return width, height, PNG_CHANNELS.get(data[25], 3)
-    if data[:2] == b"\xff\xd8":
-        for marker, at in _segments(data[:HEAD_BYTES]):
-            if marker in (0xC0, 0xC1, 0xC2) and at + 6 <= len(data):
-                height, width = struct.unpack_from(">HH", data, at + 1)
-                return width, height, data[at + 5]
-    return None
 
 
 HEADER = T.StructType([T.StructField(n, T.IntegerType()) for n in ("width", "height", "channels", "orientation")])
@@ -104,20 +162,21 @@ HEADER = T.StructType([T.StructField(n, T.IntegerType()) for n in ("width", "hei
 
 @F.pandas_udf(HEADER)
 def _header_columns(head: pd.Series) -> pd.DataFrame:
-    rows = []
-    for data in head:
-        info = header_info(bytes(data)) or (None, None, None)
-        rows.append((*info, exif_orientation(bytes(data))))
+    rows = [(None,) * 4 if d is None else (*(header_info(bytes(d)) or (None,) * 3), exif_orientation(bytes(d))) for d in head]
     return pd.DataFrame(rows, columns=["width", "height", "channels", "orientation"]).astype("Int32")
 
 
 def image_headers(files: DataFrame, content: str = "content", decoded: DataFrame | None = None) -> DataFrame:
     """Width, height, channels and orientation from the file head; only the head travels to Python.
 
-    Other formats take their sizes from `decoded` (see `image_sizes`) when it is given.
+    A longer file whose head does not hold the sizes is read whole. Other formats take their sizes from `decoded` (see
+    `image_sizes`) when it is given.
     """
-    info = files.withColumn("_info", _header_columns(F.substring(F.col(content), 1, HEAD_BYTES)))
-    out = info.select(*[c for c in files.columns if c != content], "_info.*")
+    first = files.withColumn("_info", _header_columns(F.substring(F.col(content), 1, HEAD_BYTES)))
+    whole = F.when(F.col("_info.width").isNull() & (F.octet_length(content) > HEAD_BYTES), F.col(content))
+    both = first.withColumn("_all", _header_columns(whole))
+    picked = [F.when(F.col("_all.width").isNotNull(), F.col("_all")[c]).otherwise(F.col("_info")[c]).alias(c) for c in HEADER.names]
+    out = both.select(*[c for c in files.columns if c != content], *picked)
     if decoded is None:
         return out
     full = decoded.select("path", *[F.col(c).alias(f"_{c}") for c in ("width", "height", "channels")])

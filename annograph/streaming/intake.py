@@ -13,11 +13,15 @@ from annograph.sources.annotations import parse_annotations
 from annograph.sources.images import _decoded
 
 
+#: Spark's file stream passes over files that are a week older than the newest one; copies often keep their old times.
+ANY_AGE = "36500d"
+
+
 def annotation_stream(spark: SparkSession, folder: str, max_files: int = 10_000) -> DataFrame:
     """New annotation files as (path, stem, raw)."""
     files = (
         spark.readStream.format("text").schema("value string").option("wholetext", True).option("pathGlobFilter", "*.json")
-        .option("maxFilesPerTrigger", max_files).load(folder)
+        .option("maxFilesPerTrigger", max_files).option("maxFileAge", ANY_AGE).load(folder)
     )
     named = files.select(_decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("raw"))
     return named.withColumn("stem", stem_of(F.col("path")))
@@ -49,12 +53,30 @@ def run_intake(spark: SparkSession, folder: str, out: str, checkpoint: str, on_b
     return query
 
 
-def distinct_content(files: DataFrame, delay: str = "7 days") -> DataFrame:
-    """First file of each content hash within the delay. `files`: streaming binaryFile rows."""
-    hashed = files.select("path", "modificationTime", "length", F.md5("content").alias("md5"))
-    return hashed.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["md5"])
+SEEN = "md5 string, path string, modificationTime timestamp, length long"
+
+
+def run_distinct_content(files: DataFrame, out: str, checkpoint: str):
+    """Write the first file of every content hash under `out`, whatever the files' times, then stop.
+
+    `files`: streaming binaryFile rows. The output itself is the memory: a batch leaves out the hashes that earlier
+    batches wrote. It reads those only, so a batch that runs twice after a failure overwrites its folder with the same rows.
+    """
+    spark = files.sparkSession
+    spark.createDataFrame([], SEEN).write.mode("ignore").parquet(f"{out}/batch=-1")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        hashed = batch.select(F.md5("content").alias("md5"), F.struct("modificationTime", "path", "length").alias("f"))
+        first = hashed.groupBy("md5").agg(F.min("f").alias("f")).select("md5", "f.path", "f.modificationTime", "f.length")
+        known = session.read.schema(f"{SEEN}, batch long").parquet(out).where(F.col("batch") < batch_id).select("md5")
+        first.join(known, "md5", "left_anti").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = files.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def image_stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.format("binaryFile").schema(schema).load(folder)
+    return spark.readStream.format("binaryFile").schema(schema).option("maxFileAge", ANY_AGE).load(folder)

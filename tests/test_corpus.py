@@ -1,6 +1,7 @@
 """Planning, naming, files, pixels, sinks and intake on small literal inputs."""
 
 import json
+import os
 import random
 
 import numpy as np
@@ -202,8 +203,59 @@ def test_intake_sees_each_file_once(spark, tmp_path):
 def test_repeated_content_is_dropped(spark, tmp_path):
     box = tmp_path / "img"
     box.mkdir()
+    run = lambda: intake.run_distinct_content(intake.image_stream(spark, str(box)), str(tmp_path / "out"), str(tmp_path / "state"))
     for name, body in (("a.png", b"1"), ("b.png", b"1"), ("c.png", b"2")):
         (box / name).write_bytes(body)
-    q = intake.distinct_content(intake.image_stream(spark, str(box))).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-    q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    run()
+    for name, body in (("late.png", b"3"), ("again.png", b"2")):
+        (box / name).write_bytes(body)
+        os.utime(box / name, (1_000_000, 1_000_000))  # a copy that kept its old time
+    run()
+    stems = sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert len(stems) == 3 and stems[1:] == ["c.png", "late.png"]
+
+
+def jpeg(*segments):
+    return b"\xff\xd8" + b"".join(bytes([0xFF, m]) + (len(p) + 2).to_bytes(2, "big") + p for m, p in segments) + b"\xff\xda\0\2"
+
+
+def exif(order, tag):
+    number = lambda v, n: v.to_bytes(n, order)
+    entry = number(0x0112, 2) + number(3, 2) + number(1, 4) + number(tag, 2) + b"\0\0"
+    return b"Exif\0\0" + {"little": b"II", "big": b"MM"}[order] + number(42, 2) + number(8, 4) + number(1, 2) + entry + number(0, 4)
+
+
+FRAME = b"\x08" + (48).to_bytes(2, "big") + (64).to_bytes(2, "big") + b"\x03" + b"\0" * 9
+WIDE = (299).to_bytes(3, "little") + (149).to_bytes(3, "little")
+
+
+@pytest.mark.parametrize(
+    "data, size, orientation",
+    [
+        (jpeg((0xE0, b"x" * 20), (0xC0, FRAME)), (64, 48, 3), 0),
+        (jpeg((0xE1, exif("little", 6)), (0xC2, FRAME)), (64, 48, 3), 6),
+        (jpeg((0xE1, exif("big", 3)), (0xC4, b"y" * 30), (0xC1, FRAME)), (64, 48, 3), 3),
+        (jpeg((0xE1, b"http://other"), (0xE1, exif("big", 3))), None, 0),
+        (b"\xff\xd8\xff\xff\xff\xc0" + (17).to_bytes(2, "big") + FRAME, (64, 48, 3), 0),
+        (b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\x10\0\0\0" + WIDE, (300, 150, 4), 0),
+        (b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0/" + (299 | 149 << 14).to_bytes(4, "little"), (300, 150, 3), 0),
+        (b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0abc\x9d\x01*" + (300).to_bytes(2, "little") + (150).to_bytes(2, "little"), (300, 150, 3), 0),
+        (b"BM" + b"\0" * 12 + (40).to_bytes(4, "little") + (7).to_bytes(4, "little") + (-5).to_bytes(4, "little", signed=True) + b"\1\0\x18\0", (7, 5, 3), 0),
+        (b"MM\0*\0\0\0\x08\0\2" + b"\1\0\0\3\0\0\0\1\0\x11\0\0" + b"\1\1\0\4\0\0\0\1\0\0\0\x21", (17, 33, 1), 0),
+        (b"\xff\xd8\xff\xc0", None, 0), (b"RIFF", None, 0), (b"", None, 0),
+    ],
+)
+def test_headers(data, size, orientation):
+    assert I.header_info(data) == size
+    assert I.exif_orientation(data) == orientation
+
+
+def test_header_behind_the_head(spark):
+    data = jpeg(*[(0xE2, b"p" * 60_000)] * 3, (0xC0, FRAME))
+    files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"no image" * 20_000))], "path string, content binary")
+    assert sorted(tuple(r) for r in I.image_headers(files).collect()) == [("a", 64, 48, 3, 0), ("b", None, None, None, 0)]
+
+
+def test_sizes_of_files_without_a_decoder(spark, tmp_path):
+    (tmp_path / "w.webp").write_bytes(b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\x10\0\0\0" + WIDE)
+    assert [(r.stem, r.width, r.height, r.channels) for r in I.image_sizes(spark, str(tmp_path)).collect()] == [("w", 300, 150, 4)]
