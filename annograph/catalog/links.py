@@ -100,7 +100,7 @@ def logit_metrics(spark, d):
     return rounded(E.binary_metrics(rows))
 
 
-@query("j14_edge_geometry", with_ctes("SELECT c.sample_id, c.u, c.v, class, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM cls c JOIN pts a ON a.sample_id = c.sample_id AND a.id = c.u JOIN pts b ON b.sample_id = c.sample_id AND b.id = c.v", *NORMALIZED, RAW_PRED, CLASSES))
+@query("j14_edge_geometry", with_ctes("SELECT c.sample_id, c.u, c.v, class, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM cls c JOIN (SELECT sample_id * 65536 + id AS k, x, y FROM pts) a ON a.k = c.sample_id * 65536 + c.u JOIN (SELECT sample_id * 65536 + id AS k, x, y FROM pts) b ON b.k = c.sample_id * 65536 + c.v", *NORMALIZED, RAW_PRED, CLASSES))
 def edge_geometry(spark, d):
     return E.edge_geometry(E.classify_edges(*compared(spark, d)), normal_form(spark, d).points)
 
@@ -175,8 +175,8 @@ def predict_links(spark, d):
 
 
 @query("m6_straightness", with_ctes("""SELECT b.sample_id, b.id, round(CASE WHEN n1 < 1e-6 OR n2 < 1e-6 THEN 0.0 ELSE 0.5 * (1 - greatest(-1.0, least(1.0, dot / (n1 * n2)))) END, 6) + 0.0 AS bonus FROM (
-  SELECT b.sample_id, b.id, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS n1, sqrt((c.x - b.x) ** 2 + (c.y - b.y) ** 2) AS n2, (a.x - b.x) * (c.x - b.x) + (a.y - b.y) * (c.y - b.y) AS dot
-  FROM pts b JOIN pts a ON a.sample_id = b.sample_id AND a.id = b.id - 1 JOIN pts c ON c.sample_id = b.sample_id AND c.id = b.id + 1) b""", *NORMALIZED))
+  SELECT sample_id, id, sqrt((px - x) ** 2 + (py - y) ** 2) AS n1, sqrt((nx - x) ** 2 + (ny - y) ** 2) AS n2, (px - x) * (nx - x) + (py - y) * (ny - y) AS dot
+  FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM pts WINDOW w AS (PARTITION BY sample_id ORDER BY id)) WHERE px IS NOT NULL AND nx IS NOT NULL) b""", *NORMALIZED))
 def straightness(spark, d):
     """Bonus at every inner point of the chain of consecutive points."""
     points = normal_form(spark, d).points

@@ -134,7 +134,8 @@ def normalize_edges(spark, d):
   CASE i.code WHEN 'POINT_ID_DUP' THEN 'point id ' || g.raw_id || ' 重复，已重排'
     WHEN 'EDGE_DANGLING' THEN 'edge[' || i.pos || '] 引用了不存在的点 ' || m.raw_src || '/' || m.raw_dst || '，已跳过'
     WHEN 'EDGE_SELF_LOOP' THEN 'edge[' || i.pos || '] 是自环，已跳过' ELSE 'edge[' || i.pos || '] 与已有边重复，已去重' END AS message
-  FROM issues i JOIN given g USING (sample_id, pos) JOIN marked m USING (sample_id, pos)""", *NORMALIZED, ISSUES))
+  FROM issues i JOIN (SELECT sample_id * 65536 + pos AS k, raw_id FROM given) g ON g.k = i.sample_id * 65536 + i.pos
+    JOIN (SELECT sample_id * 65536 + pos AS k, raw_src, raw_dst FROM marked) m ON m.k = i.sample_id * 65536 + i.pos""", *NORMALIZED, ISSUES))
 def issue_list(spark, d):
     return normalized(spark, d).issues
 

@@ -48,10 +48,12 @@ def compare(spark, con, name, query, sql, sf: str) -> str:
         return "" if df.columns else "no columns"
     stop = threading.Timer(60, con.interrupt)
     stop.start()
-    result = con.execute(sql)
-    columns = [c[0] for c in result.description]
-    theirs = rows_of(columns, result.fetchall())
-    stop.cancel()
+    try:
+        result = con.execute(sql)
+        columns = [c[0] for c in result.description]
+        theirs = rows_of(columns, result.fetchall())
+    finally:
+        stop.cancel()
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} vs {sorted(columns)}"
     if len(mine) != len(theirs):
