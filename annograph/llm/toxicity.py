@@ -33,23 +33,37 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Harmless phrases around words that insult elsewhere, in folded form.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "loser bracket", "sore loser rule", "pond scum", "not stupid", "not worthless")
 
-_FULL_WIDTH = {0xFF01 + i: chr(0x21 + i) for i in range(94)}
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF])
-_FOLD = str.maketrans(HOMOGLYPHS) | _FULL_WIDTH | _INVISIBLE
+_FULL_WIDTH = {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
+_GAPS = [*range(0xA0, 0xAA), *range(0xAB, 0xB5), *range(0xB6, 0xBA), *range(0xBB, 0xC0), 0xD7, 0xF7, *range(0x2000, 0x200B), *range(0x2010, 0x205F), *range(0x3000, 0x3004)]
+_RARE = dict.fromkeys(_GAPS, " ") | str.maketrans(HOMOGLYPHS) | _FULL_WIDTH | _INVISIBLE | str.maketrans({c: c for c in SUBSTITUTES if not c.isascii()})
+_ANY_RARE = re.compile("[" + "".join(map(re.escape, map(chr, _RARE))) + "]")
+#: ASCII letters in lower case, digits and substitutes kept, all else a blank; bytes of other characters stay.
+_BYTES = bytes(
+    i + 32 if 65 <= i <= 90 else i if i > 127 or chr(i).isalnum() or chr(i) in SUBSTITUTES else 32 for i in range(256)
+)
 _SUBSTITUTE = str.maketrans(SUBSTITUTES)
-_MIXED = re.compile(r"[\w@$€£]*(?:[^\W\d_][\d@$€£]|[\d@$€£][^\W\d_])[\w@$€£]*")
-_SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-*_]){3,}[^\W_](?![^\W_])")
-_GAP = re.compile(r"[\W_]+")
-_SPELLING_GAP = re.compile(r"[ .\-*_]")
+_SIGNS = re.compile("[0-9" + "".join(c for c in SUBSTITUTES if not c.isdigit()) + "]+")
+_SPELLED = re.compile(r" \w(?: \w){3,}(?= )")
+
+
+def _as_letters(m: re.Match) -> str:
+    """Digits and signs that touch a letter stand for letters."""
+    before, after = m.string[m.start() - 1 : m.start()], m.string[m.end() : m.end() + 1]
+    return m[0].translate(_SUBSTITUTE) if before.isalpha() or after.isalpha() else m[0]
 
 
 def fold(text: str | None) -> str:
-    """Lower-case words between single blanks, with a blank at both ends; look-alikes, substituted digits and spelled-out
-    words are undone. Digits stay where no letter or sign stands in the same word, so plain numbers are kept."""
-    folded = (text or "").lower().translate(_FOLD)
-    folded = _MIXED.sub(lambda m: m[0].translate(_SUBSTITUTE), folded)
-    folded = _SPELLED.sub(lambda m: _SPELLING_GAP.sub("", m[0]), folded)
-    return f" {_GAP.sub(' ', folded).strip()} " if folded else " "
+    """Lower-case words between single blanks, with a blank at both ends; look-alikes, substituted digits and words
+    spelled out letter by letter are undone. Digits stay where no letter touches them, so plain numbers are kept."""
+    if not text:
+        return " "
+    if not text.isascii():
+        text = text.lower()
+        text = text.translate(_RARE) if _ANY_RARE.search(text) else text
+    folded = text.encode("utf-8", "replace").translate(_BYTES).decode("utf-8")
+    folded = f" {' '.join(_SIGNS.sub(_as_letters, folded).split())} "
+    return _SPELLED.sub(lambda m: " " + m[0].replace(" ", ""), folded)
 
 
 @dataclass(frozen=True)
