@@ -50,7 +50,7 @@ def raw_points(v: Column) -> Column:
         pos = i.cast("int")
         return F.struct(
             pos.alias("pos"), is_object(p).alias("is_object"),
-            F.when(has_key(p, "id"), field(p, "$.id", "int")).otherwise(pos).alias("id"),
+            F.when(has_key(p, "id"), field(p, "$.id", "bigint")).otherwise(pos.cast("bigint")).alias("id"),
             field(p, "$.x", "double").alias("x"), field(p, "$.y", "double").alias("y"),
             F.when(has_key(p, "score"), field(p, "$.score", "double")).otherwise(1.0).alias("score"),
             F.when(has_key(p, "source"), field(p, "$.source", "string")).otherwise("manual").alias("source"),
@@ -63,7 +63,7 @@ def raw_edges(v: Column) -> Column:
     def element(e: Column, i: Column) -> Column:
         return F.struct(
             i.cast("int").alias("pos"), is_object(e).alias("is_object"), field(e, "$.edge_id", "string").alias("edge_id"),
-            field(e, "$.src", "int").alias("src"), field(e, "$.dst", "int").alias("dst"),
+            field(e, "$.src", "bigint").alias("src"), field(e, "$.dst", "bigint").alias("dst"),
             F.when(has_key(e, "label"), field(e, "$.label", "int")).otherwise(1).alias("label"),
             F.when(has_key(e, "source"), field(e, "$.source", "string")).otherwise("manual").alias("source"),
         )

@@ -50,7 +50,8 @@ def assigned_ids(ids: Column) -> Column:
     A repeated id takes the next free number. That number is one above every id given so far (and at least 0), so no
     search is needed. Arrays without repeats pass through unchanged.
     """
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("given"), F.lit(0).alias("next"))
+    ids = F.transform(ids, lambda i: i.cast("bigint"))
+    start = F.struct(F.expr("cast(array() as array<bigint>)").alias("given"), F.lit(0).cast("bigint").alias("next"))
 
     def step(state: Column, raw: Column) -> Column:
         chosen = F.when(F.array_contains(state["given"], raw), state["next"]).otherwise(raw)
@@ -245,7 +246,7 @@ def assign_ids_by_scan(points: DataFrame) -> DataFrame:
     """
     sample = ["sample_id"]
     first = points.groupBy("sample_id", "id").agg(F.min("pos").alias("pos")).withColumn("is_first", F.lit(True))
-    rows = points.select("sample_id", "pos", "id").join(first, ["sample_id", "id", "pos"], "left")
+    rows = points.select("sample_id", "pos", F.col("id").cast("bigint").alias("id")).join(first, ["sample_id", "id", "pos"], "left")
     rows = rows.withColumn("is_first", F.coalesce("is_first", F.lit(False)))
     rows = running(rows, sample, "pos", [("earlier", "max", F.col("id"), False)])
     state = materialize(
@@ -263,7 +264,7 @@ def assign_ids_by_scan(points: DataFrame) -> DataFrame:
         level_before = F.col("raised") - F.col("raises") + F.greatest(F.col("top_before"), F.lit(-1))
         scanned = scanned.select(
             "sample_id", "pos", "id", "is_first", "raises",
-            level.cast("int").alias("level"), level_before.cast("int").alias("level_before"),
+            level.alias("level"), level_before.alias("level_before"),
         )
         repeat = ~F.col("is_first") | ((F.col("raises") == 1) & (F.col("id") <= F.col("level_before")))
         scanned = materialize(scanned.withColumn("given", F.when(repeat, F.col("level")).otherwise(F.col("id"))), "ids")

@@ -1,8 +1,8 @@
 """Splitting hot groups and running totals that never place a whole group in one task.
 
-Keys used for ordering are 32-bit integers (array positions, point ids). A group is cut into buckets of 2^16
-consecutive key values: one bucket holds at most 65,536 distinct keys and one group at most 65,536 buckets, so both
-windows below are bounded whatever share of the data the group holds.
+Keys used for ordering are integers (array positions, point ids). A group is cut into buckets of 2^16 consecutive key
+values, so one bucket holds at most 65,536 distinct keys and 32-bit keys make at most 65,536 buckets of a group. Wider
+keys are right as well, but far apart they make as many buckets as rows.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def running(
     of the earlier buckets. An exclusive max without earlier rows is null, an exclusive sum is 0.
     """
     aggregate = {"sum": F.sum, "max": F.max}
-    bucketed = df.withColumn("__b", F.shiftright(F.col(key).cast("int"), BUCKET_BITS))
+    bucketed = df.withColumn("__b", F.shiftright(F.col(key).cast("bigint"), BUCKET_BITS))
     cell = [*group, "__b"]
     ordered = W.partitionBy(*cell).orderBy(key, *extra)
     local = bucketed.select(

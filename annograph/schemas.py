@@ -60,7 +60,7 @@ EDGE = "struct<edge_id:string,src:int,dst:int,label:int,source:string>"
 
 # Raw elements keep their array position. is_object=false marks a JSON element that is not an object;
 # a null id/x/y/src/dst marks a value that could not be converted.
-RAW_POINT = "struct<pos:int,is_object:boolean,id:int,x:double,y:double,score:double,source:string>"
-RAW_EDGE = "struct<pos:int,is_object:boolean,edge_id:string,src:int,dst:int,label:int,source:string>"
+RAW_POINT = "struct<pos:int,is_object:boolean,id:bigint,x:double,y:double,score:double,source:string>"
+RAW_EDGE = "struct<pos:int,is_object:boolean,edge_id:string,src:bigint,dst:bigint,label:int,source:string>"
 
 ISSUE = "struct<part:int,pos:int,level:string,code:string,message:string>"

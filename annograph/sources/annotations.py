@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from annograph.functions import documents as D
 from annograph.functions.text import base_name, stem_of, suffix_of
-from annograph.schemas import SCHEMA_VERSION
+from annograph.schemas import RAW_EDGE, SCHEMA_VERSION
 
 
 def read_annotations(spark: SparkSession, folder: str, case_sensitive: bool = False) -> DataFrame:
@@ -57,7 +57,7 @@ def parse_annotations(raw: DataFrame) -> DataFrame:
         .when(D.is_object(D.field(doc, "$.metadata", "variant")), D.field(doc, "$.metadata", "variant"))
         .otherwise(F.parse_json(F.lit("{}"))).alias("metadata"),
         F.when(legacy, from_shapes).otherwise(D.raw_points(doc)).alias("raw_points"),
-        F.when(legacy, F.expr("cast(array() as array<struct<pos:int,is_object:boolean,edge_id:string,src:int,dst:int,label:int,source:string>>)"))
+        F.when(legacy, F.expr(f"cast(array() as array<{RAW_EDGE}>)"))
         .otherwise(D.raw_edges(doc)).alias("raw_edges"),
     )
 
@@ -106,6 +106,6 @@ def review_documents(raw: DataFrame) -> DataFrame:
         F.col("stem").alias("sample_id"), current.alias("current"),
         F.when(current & ~legacy, D.raw_points(doc)).otherwise(D.as_raw_points(D.legacy_points(doc))).alias("raw_points"),
         F.when(current & ~legacy, D.raw_edges(doc))
-        .otherwise(F.expr("cast(array() as array<struct<pos:int,is_object:boolean,edge_id:string,src:int,dst:int,label:int,source:string>>)"))
+        .otherwise(F.expr(f"cast(array() as array<{RAW_EDGE}>)"))
         .alias("raw_edges"),
     )

@@ -1,5 +1,6 @@
 """Normalisation rules: literal cases, and both forms against a plain fold."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -128,16 +129,16 @@ def codes(row):
 def test_literal_documents(spark):
     out = N.normalize_rows(parse_annotations(documents(
         spark,
-        '{"image_path":"i.png","points":[{"id":0,"x":1,"y":2},{"id":1,"x":3,"y":4}],"edges":[{"src":0,"dst":1}]}',
-        '{"image_path":"i.png","points":[{"id":0,"x":1,"y":2},{"id":0,"x":3,"y":4}]}',
-        '{"image_path":"i.png","points":[{"id":0,"x":1,"y":2}],"edges":[{"src":0,"dst":99}]}',
-        '{"image_path":"i.png","points":[{"id":0,"x":1,"y":2}],"edges":[{"src":0,"dst":0}]}',
-        '{"image_path":"i.png","points":[{"id":0,"x":1,"y":2},{"id":1,"x":1,"y":2}],"edges":[{"src":0,"dst":1},{"src":1,"dst":0}]}',
+        '{"image_path":"plate.png","points":[{"id":0,"x":11,"y":6},{"id":1,"x":8,"y":17}],"edges":[{"src":0,"dst":1}]}',
+        '{"image_path":"plate.png","points":[{"id":0,"x":1,"y":2},{"id":0,"x":3,"y":4}]}',
+        '{"image_path":"plate.png","points":[{"id":0,"x":1,"y":2}],"edges":[{"src":0,"dst":57}]}',
+        '{"image_path":"plate.png","points":[{"id":0,"x":1,"y":2}],"edges":[{"src":0,"dst":0}]}',
+        '{"image_path":"plate.png","points":[{"id":0,"x":1,"y":2},{"id":1,"x":1,"y":2}],"edges":[{"src":0,"dst":1},{"src":1,"dst":0}]}',
         '{"points":[]}',
-        '"not a dict"',
-        '{"image_path":"i.png","points":[3,{"x":1},{"id":null,"x":1,"y":1},{"x":"2","y":3,"score":null}],"edges":[[],{"src":0}]}',
-        '{"shapes":[{"label":"sew","shape_type":"point","points":[[10.5,20.3]],"score":0.9},{"label":"keypoint","shape_type":"point","points":[[30,40]]},'
-        '{"label":"sew","shape_type":"rectangle","points":[[1,2]]}],"imagePath":"x.png","imageWidth":320,"imageHeight":240}',
+        '"only a text"',
+        '{"image_path":"plate.png","points":[3,{"x":1},{"id":null,"x":1,"y":1},{"x":"2","y":3,"score":null}],"edges":[[],{"src":0}]}',
+        '{"shapes":[{"label":"sew","shape_type":"point","points":[[7.25,31.5]],"score":0.8},{"label":"keypoint","shape_type":"point","points":[[12,9]]},'
+        '{"label":"sew","shape_type":"rectangle","points":[[1,2]]}],"imagePath":"old.png","imageWidth":410,"imageHeight":260}',
         '{"shapes": [',
     ))).orderBy(F.col("json_path")).collect()
     assert [len(r.points) for r in out] == [2, 2, 1, 1, 2, 0, 0, 1, 2, 0]
@@ -148,7 +149,7 @@ def test_literal_documents(spark):
     assert codes(out[5]) == ["IMAGE_PATH_BACKFILLED"] and out[5].image_path == "s5.png"
     assert out[6].readable and not out[6].is_object
     assert codes(out[7]) == ["POINT_NOT_OBJECT", "POINT_INVALID", "POINT_INVALID", "VALUE_INVALID", "EDGE_NOT_OBJECT", "EDGE_INVALID"]
-    assert (out[8].width, out[8].height) == (320, 240) and [p.score for p in out[8].points] == [0.9, 1.0]
+    assert (out[8].width, out[8].height) == (410, 260) and [p.score for p in out[8].points] == [0.8, 1.0]
     assert out[8].points[0].source == "labelme_point" and "labelme_point" in out[8].metadata.toJson()
     assert not out[9].readable
 
@@ -178,3 +179,22 @@ def test_review_clean_up(spark):
     links = [(1, p, True, None, a, b, None, None) for p, (a, b) in enumerate([(0, 1), (1, 0), (0, 0), (-1, 1)])]
     out = N.clean_edges(spark.createDataFrame(links, EDGES)).collect()
     assert [(r.edge_id, r.src, r.dst, r.label, r.source) for r in out] == [("edge_0001", 0, 1, 1, "manual")]
+
+
+def test_ids_beyond_32_bits(spark):
+    """Large ids are kept, and a repeat of the largest one does not end the job; both forms agree."""
+    top = 2**31 - 1
+    ids, links = [3_000_000_000, top, top, 5], [(3_000_000_000, top), (5, 3_000_000_001), (1, top)]
+    raw = json.dumps({"points": [{"id": i, "x": n, "y": n} for n, i in enumerate(ids)], "edges": [{"src": a, "dst": b} for a, b in links]})
+    repeated = raw[:-1] + ', "image_path": "a.png", "image_path": "b.png"}'
+    parsed = parse_annotations(spark.createDataFrame([("p/s.json", "s", repeated)], "path string, stem string, raw string"))
+    row = N.normalize_rows(parsed).first()
+    assert row.image_path == "b.png"
+    assert [(p.id, p.x) for p in row.points] == [(0, 3.0), (1, 1.0), (2, 0.0), (3, 2.0)]
+    assert [(e.src, e.dst) for e in row.edges] == [(1, 2), (0, 3)]
+    points = parsed.select("sample_id", F.inline("raw_points"))
+    edges = parsed.select("sample_id", F.inline("raw_edges"))
+    large = N.normalize_large(points, edges)
+    assert sorted((p.id, p.x) for p in large.points.collect()) == [(0, 3.0), (1, 1.0), (2, 0.0), (3, 2.0)]
+    assert sorted((e.src, e.dst) for e in large.edges.collect()) == [(0, 3), (1, 2)]
+    assert {i.code for i in large.issues.collect()} == {i.code for i in row.issues} == {"POINT_ID_DUP", "EDGE_DANGLING"}
