@@ -29,8 +29,8 @@ REACH = LENGTH - GRAM
 SPLIT = 84
 SEGMENT = 2_000_000
 MARGIN = 3 * LENGTH
-#: Rows of a bucket that are sorted in one task.
-BUCKET_ROWS = 10_000
+#: Rows of a bucket that are sorted in one task, some 100 MB; larger buckets are counted by Spark.
+BUCKET_ROWS = 100_000
 BLOCK_ROWS = 5_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -163,33 +163,35 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
 
-def _strings(bucket: np.ndarray, left: np.ndarray, around: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the string that starts at each distance 0..REACH before the sample position, and whether there is one."""
-    width = REACH + LENGTH
-    table = np.zeros((len(around), width), np.uint64)
+def _strings(bucket: np.ndarray, left: np.ndarray, around: list[bytes], powers: Powers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each distance 0..REACH of a string's start before the sample position: the rows that have such a string, and
+    its hashes with the bucket mixed in. The hash rolls one byte to the left from distance to distance."""
+    data = np.zeros((REACH + LENGTH, len(around)), np.uint8)
     for row, (n, text) in enumerate(zip(left.tolist(), around)):
-        table[row, REACH - n : REACH - n + len(text)] = _CODES[np.frombuffer(text, np.uint8)]
-    sums = np.zeros((len(around), width + 1), np.uint64)
-    np.cumsum(table * powers.up[:width], axis=1, out=sums[:, 1:])
-    distance = np.arange(REACH + 1)
-    hashes = (sums[:, REACH + LENGTH - distance] - sums[:, REACH - distance]) * powers.down[REACH - distance]
-    right = np.array([len(t) for t in around]) - left
-    there = (distance <= left[:, None]) & (right[:, None] >= LENGTH - distance)
-    return _mix(hashes + _mix(bucket.view(np.uint64))[:, None]), there
+        data[REACH - n : REACH - n + len(text), row] = np.frombuffer(text, np.uint8)
+    right = np.array([len(t) for t in around], np.int64) - left
+    salt = _mix(bucket.view(np.uint64))
+    rolled = np.zeros(len(around), np.uint64)
+    for column in range(REACH, REACH + LENGTH):
+        rolled = rolled * powers.up[1] + _CODES[data[column]]
+    for distance in range(REACH + 1):
+        if distance:
+            first, gone = REACH - distance, REACH - distance + LENGTH
+            rolled = (rolled - _CODES[data[gone]]) * powers.down[1] + _CODES[data[first]] * powers.up[LENGTH - 1]
+        rows = np.flatnonzero((distance <= left) & (right >= LENGTH - distance))
+        yield distance, rows, _mix(rolled[rows] + salt[rows])
 
 
 def _sorted_block(bucket: np.ndarray, left: np.ndarray, around: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest distance at which a row's string stands in another row of its bucket; -1 if none does."""
-    hashes, there = _strings(bucket, left, around, powers)
-    order = np.argsort(hashes, axis=0)
-    ranked = np.take_along_axis(hashes, order, axis=0)
-    valid = np.take_along_axis(there, order, axis=0)
-    equal = (ranked[1:] == ranked[:-1]) & valid[1:] & valid[:-1]
-    twice = np.zeros(hashes.shape, bool)
-    pad = np.zeros((1, hashes.shape[1]), bool)
-    np.put_along_axis(twice, order, np.concatenate([equal, pad]) | np.concatenate([pad, equal]), axis=0)
-    any_ = twice.any(axis=1)
-    return np.where(any_, twice.argmax(axis=1), -1), np.where(any_, REACH - twice[:, ::-1].argmax(axis=1), -1)
+    low, high = np.full(len(around), -1), np.full(len(around), -1)
+    for distance, rows, hashes in _strings(bucket, left, around, powers):
+        order = np.argsort(hashes)
+        equal = hashes[order[1:]] == hashes[order[:-1]]
+        twice = rows[order[np.r_[equal, False] | np.r_[False, equal]]] if len(rows) else rows
+        low[twice] = np.where(low[twice] < 0, distance, low[twice])
+        high[twice] = distance
+    return low, high
 
 
 def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,13 +241,12 @@ def _list_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for batch in batches:
             for i in range(0, len(batch), BLOCK_ROWS):
                 some = batch.slice(i, BLOCK_ROWS)
-                hashes, there = _strings(some.column("bucket").to_numpy(), some.column("left").to_numpy(), some.column("bytes").to_pylist(), powers)
-                row, distance = np.nonzero(there)
-                rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[row, distance].view(np.int64)), pa.array(distance), *[some.column(c).take(rows) for c in ("c1", "c2", "alone")]],
-                    names=["h", "distance", "c1", "c2", "alone"],
-                )
+                for distance, rows, hashes in _strings(some.column("bucket").to_numpy(), some.column("left").to_numpy(), some.column("bytes").to_pylist(), powers):
+                    here = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes.view(np.int64)), pa.array(np.full(len(rows), distance)), *[some.column(c).take(here) for c in ("c1", "c2", "alone")]],
+                        names=["h", "distance", "c1", "c2", "alone"],
+                    )
 
 
 def _large_buckets(rows: DataFrame) -> DataFrame:
@@ -261,7 +262,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     sample = stored(data.mapInArrow(_sample, "k1 bigint, k2 bigint, pos bigint, gram bigint, c1 bigint, c2 bigint"), "sample")
     grams = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("c1") != F.max("c1")).alias("mixed"))
     grams = stored(grams.where("n > 1"), "grams")
-    heavy = stored(heavy_keys(grams, ["gram"], "n"), "heavy-grams")
+    heavy = heavy_keys(grams, ["gram"], "n")
     again = stored(salted_join(sample, grams.drop("n"), ["gram"], heavy, ["k1", "pos"]), "repeated-grams")
     ranks = again.where("mixed").groupBy("gram", "c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
     ranks = stored(ranks, "ranks")
