@@ -27,7 +27,9 @@ REGISTERS = BANDS * ROWS
 ESTIMATE = SIMILARITY - 3 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Members of a candidate group that are compared inside one task; larger groups are compared block by block.
 BLOCK = 4000
-_CHUNK = 1_000_000
+#: Words that the members of one task's block have together, unless one text has more.
+BLOCK_WORDS = 2_000_000
+_CHUNK = 400_000
 
 #: Constants of the splitmix64 mixer.
 _STEP, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -96,7 +98,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _lists(column: pa.Array) -> list[np.ndarray]:
     values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
-    ends = column.offsets.to_numpy()
+    ends = column.offsets.to_numpy()  # of the values before any slicing
     return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
 
 
@@ -119,8 +121,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marks += [row.tobytes() for row in made.astype(np.uint8)]
             i = j
         yield pa.RecordBatch.from_arrays(
-            [batch.column("k1"), batch.column("k2"), batch.column("id"), *[pa.array(x, pa.binary()) for x in (nodes, signed, marks)]],
-            names=["k1", "k2", "id", "node", "sig", "mark"],
+            [batch.column("k1"), batch.column("k2"), batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, signed, marks)]],
+            names=["k1", "k2", "id", "size", "node", "sig", "mark"],
         )
 
 
@@ -200,18 +202,8 @@ def _compared(cell: np.ndarray, band: np.ndarray, label: np.ndarray, open_: np.n
             yield passing(np.full(len(others), i), others)
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams rows sorted by cell and holds the last, unfinished cell besides the current batch."""
-
-    def emit(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        node = np.array(t.column("node").to_pylist(), dtype=object)
-        cell = np.unique(t.column("cell").to_numpy(), return_inverse=True)[1]
-        label = np.unique(np.array(t.column("label").to_pylist(), dtype="S16"), return_inverse=True)[1]
-        found = list(_compared(cell, t.column("band").to_numpy(), label, t.column("open").to_numpy(), _marks(t.column("mark"))))
-        us, vs = (np.concatenate([x[k] for x in found] or [np.zeros(0, int)]) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(list(node[us]), pa.binary()), pa.array(list(node[vs]), pa.binary())], names=["u", "v"])
-
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole cells of rows that arrive sorted by cell; only the last, unfinished one is held besides the batch."""
     held: pa.Table | None = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -220,10 +212,59 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cells = held.column("cell").to_numpy()
             open_from = int(np.argmax(cells == cells[-1]))
             if open_from:
-                yield emit(held.slice(0, open_from))
+                yield held.slice(0, open_from).combine_chunks()
                 held = held.slice(open_from)
     if held is not None and len(held):
-        yield emit(held)
+        yield held.combine_chunks()
+
+
+def _candidates(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    cell = np.unique(t.column("cell").to_numpy(), return_inverse=True)[1]
+    label = np.unique(np.array(t.column("label").to_pylist(), dtype="S16"), return_inverse=True)[1]
+    return _compared(cell, t.column("band").to_numpy(), label, t.column("open").to_numpy(), _marks(t.column("mark")))
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that are part of any pair worth verifying."""
+    for t in _cells(batches):
+        wanted = np.zeros(len(t), bool)
+        for i, j in _candidates(t):
+            wanted[i] = wanted[j] = True
+        yield from t.filter(pa.array(wanted)).to_batches()
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verifies the pairs of each cell where its rows are and returns the links that join classes: fewer than rows."""
+    for t in _cells(batches):
+        node, label = t.column("node").to_pylist(), t.column("label").to_pylist()
+        words = _lists(_flat(t.column("words")))
+        made: dict[int, tuple] = {}
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        def of(row: int) -> tuple:
+            if row not in made:
+                made[row] = shingles(words[row])
+            return made[row]
+
+        us, vs = [], []
+        for i, j in _candidates(t):
+            for a, b in zip(i.tolist(), j.tolist()):
+                left, right = root(label[a]), root(label[b])
+                if left != right and similarity(of(a), of(b)) >= SIMILARITY:
+                    parent[left] = right
+                    us.append(node[a])
+                    vs.append(node[b])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
 _LINK = "u binary, v binary"
@@ -240,15 +281,15 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 def _links(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified links between texts of different word sequences, enough of them to connect each class."""
-    nodes = signed.select("node", "sig", "mark").dropDuplicates(["node"])
+    nodes = signed.select("node", "sig", "mark", "size").dropDuplicates(["node"])
     entries = nodes.select("node", "sig").mapInArrow(_bands, "bucket bigint, band int, node binary")
     counts = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    heavy = materialize(heavy_keys(counts, ["bucket"], "n"), "heavy-buckets")
+    heavy = heavy_keys(counts, ["bucket"], "n")
     members = materialize(
-        salted_join(entries, counts, ["bucket"], heavy, ["node"]).join(nodes.select("node", "mark"), "node"), "members"
+        salted_join(entries, counts, ["bucket"], heavy, ["node"]).join(nodes.select("node", "mark", "size"), "node"), "members"
     )
     chosen = members.groupBy("node").agg(F.sum("n").alias("reach"))
-    texts = signed.join(chosen, "node").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.k1", "k.k2")
+    texts = signed.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).join(chosen, "node").select("node", "k.k1", "k.k2")
     words = materialize(rows.join(texts, ["k1", "k2"]).dropDuplicates(["node"]).select("node", _hashed_words().alias("words")), "words")
     # The member that shares the most groups with others is the one that most members are likely to resemble.
     hubs = materialize(
@@ -263,13 +304,15 @@ def _links(rows: DataFrame, signed: DataFrame) -> DataFrame:
     hub_label = hubs.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("hub_label"))
     placed = salted_join(labelled, hub_label, ["bucket"], heavy, ["node"]).withColumn("open", F.col("label") != F.col("hub_label"))
     placed = materialize(placed.drop("hub_label"), "placed")
-    unfinished = placed.where("open").select("bucket").distinct()
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    unfinished = placed.groupBy("bucket").agg(F.max("open").alias("open"), F.sum("size").alias("words")).where("open").select("bucket", "words")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("bucket", F.least(i, own), F.greatest(i, own)))
     spread = salted_join(placed, unfinished, ["bucket"], heavy, ["node"]).withColumn("cell", F.explode(cells))
     near = spread.select("cell", "band", "node", "mark", "label", "open").repartition("cell").sortWithinPartitions("cell")
-    second = _verified(near.mapInArrow(_rest, _LINK).distinct(), words)
+    near = near.mapInArrow(_involved, "cell bigint, band int, node binary, mark binary, label binary, open boolean")
+    near = near.join(words, "node").select("cell", "band", "node", "mark", "label", "open", "words").repartition("cell").sortWithinPartitions("cell")
+    second = near.mapInArrow(_settle, _LINK)
     return first.unionByName(second)
 
 
@@ -290,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = row_keys(docs, id_col, text_col)
     hashed = rows.select("k1", "k2", "id", _hashed_words().alias("words")).where(F.size("words") > 0)
     kind = dict(rows.dtypes)["id"]
-    signed = materialize(hashed.mapInArrow(_sign, f"k1 bigint, k2 bigint, id {kind}, node binary, sig binary, mark binary"), "signatures")
+    signed = materialize(hashed.mapInArrow(_sign, f"k1 bigint, k2 bigint, id {kind}, size bigint, node binary, sig binary, mark binary"), "signatures")
     classes = materialize(components(_links(rows, signed)), "classes")
     labelled = signed.select("k1", "k2", "id", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k1", "k2")).alias("first"))
