@@ -63,23 +63,25 @@ def unpack(df: DataFrame, replaced: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[c.alias(n) for n, c in replaced.items() if n not in names])
 
 
-def heavy_keys(counts: DataFrame, keys: Sequence[str], weight: str, least: int = 1000) -> DataFrame:
-    """Keys that hold more than a thousandth of all rows: at most `HEAVY_PARTS` of them, whatever the input's size."""
+def heavy_keys(counts: DataFrame, keys: Sequence[str], weight: str, least: int = 1000) -> list[int]:
+    """Hashes of the keys that hold more than a thousandth of all rows: at most `HEAVY_PARTS`, whatever the input's size."""
     total = counts.agg(F.sum(weight)).first()[0] or 0
-    return counts.where(F.col(weight) > max(total / HEAVY_PARTS, least)).select(*keys)
+    found = counts.where(F.col(weight) > max(total / HEAVY_PARTS, least)).select(F.xxhash64(*keys).alias("h"))
+    return sorted({r["h"] for r in found.collect()})
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: DataFrame, spread: Sequence[str], how: str = "inner") -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: list[int], spread: Sequence[str], how: str = "inner") -> DataFrame:
     """Join with the rows of heavy keys spread over `SALTS` tasks by a hash of `spread`, a left column set.
 
-    `right` has few rows a key and is repeated for heavy keys only. `heavy` comes from `heavy_keys`, whose bound makes
-    it safe to broadcast.
+    `right` has few rows a key and is repeated for heavy keys only. `heavy` comes from `heavy_keys` and is short enough
+    to stand in the plan.
     """
-    marked = F.broadcast(heavy.select(*keys).withColumn("__heavy", F.lit(True)))
-    salt = F.when(F.col("__heavy"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
-    salts = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    a = left.join(marked, list(keys), "left").withColumn("__salt", salt).drop("__heavy")
-    b = right.join(marked, list(keys), "left").withColumn("__salt", F.explode(salts)).drop("__heavy")
+    if not heavy:
+        return left.join(right, list(keys), how)
+    is_heavy = F.xxhash64(*keys).isin(heavy)
+    salt = F.when(is_heavy, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    a, b = left.withColumn("__salt", salt), right.withColumn("__salt", F.explode(salts))
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 
