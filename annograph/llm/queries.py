@@ -107,7 +107,26 @@ def op6_sentencepiece(spark, sf_dir):
     )
 
 
-@query("op10_suffix_dedup")
+@query(
+    "op10_suffix_dedup",
+    """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT doc_id, b, substring(h, 2 * b + 1, 2 * (512 + 199)) AS s, length(h) // 2 - 199 AS n
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199, 512)) AS b FROM d WHERE length(h) >= 400)),
+w AS (SELECT doc_id, b + o AS i, md5(substring(s, 2 * o + 1, 400)) AS k FROM (SELECT doc_id, b, s, unnest(range(0, least(512, n - b))) AS o FROM blocks)),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+s AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true) AS fresh FROM r),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s) GROUP BY doc_id, run),
+parts AS (
+  SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS begin, a AS stop FROM runs
+  UNION ALL
+  SELECT doc_id, length(h) AS a, coalesce((SELECT max(b) FROM runs WHERE runs.doc_id = d.doc_id), 0), length(h) // 2 FROM d),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * begin + 1, 2 * (stop - begin)), '' ORDER BY a) AS k FROM parts JOIN d USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, sum(b - a) AS n, count(*) AS c FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+""",
+)
 def op10_suffix_dedup(spark, sf_dir):
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -125,10 +144,61 @@ def op8_html_extraction(spark, sf_dir):
     return html_text.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-@query("op7_quality_rules")
+def _js(p, q):
+    half = lambda x: f"CASE WHEN {x} > 0 THEN {x} / 2 * log2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"{half(p)} + {half(q)}"
+
+
+LISTED_SQL = ", ".join(f"('{w}')" for w in quality.LISTED)
+LANGS_SQL = ", ".join(f"'{x}'" for x in quality.COMMON_WORDS)
+
+
+@query(
+    "op7_quality_rules",
+    rf"""
+WITH listed(word) AS (VALUES {LISTED_SQL}),
+t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS plain FROM t),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+    len(w) < 10 OR 100 * coalesce(rep.n, 0) > 20 * len(w) AS base_failed, length(text) AS chars, len(plain) AS n_plain,
+    length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS upper, length(regexp_replace(text, '\P{{Ll}}+', '', 'g')) AS lower, length(regexp_replace(text, '\P{{Nd}}+', '', 'g')) AS digit
+  FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+bins AS (
+  SELECT doc_id, bin, n FROM (SELECT doc_id, chars - word_chars AS c1, upper AS c2, lower AS c3, digit AS c4, n_symbols AS c5, word_chars - n_symbols - upper - lower - digit AS c6 FROM m)
+  UNPIVOT (n FOR bin IN (c1, c2, c3, c4, c5, c6))),
+good AS (SELECT doc_id, lang FROM m WHERE NOT base_failed AND lang IN ({LANGS_SQL})),
+qc AS (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM bins JOIN good USING (doc_id) GROUP BY lang, bin),
+class AS (
+  SELECT doc_id, min(d) AS d FROM (
+    SELECT doc_id, lang, sqrt(greatest(0, sum({_js("p", "q")}))) AS d FROM (SELECT doc_id, bin, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM bins) JOIN qc USING (bin) GROUP BY doc_id, lang)
+  GROUP BY doc_id),
+tally AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(plain) AS word FROM w) JOIN listed USING (word) GROUP BY doc_id, word),
+total AS (SELECT lang, sum(n_plain) AS n FROM good JOIN m USING (doc_id, lang) GROUP BY lang),
+seen AS (SELECT lang, word, sum(tally.n) AS n FROM good JOIN tally USING (doc_id) GROUP BY lang, word),
+qw AS (SELECT total.lang, word, coalesce(seen.n, 0) / total.n AS q FROM total CROSS JOIN listed LEFT JOIN seen USING (lang, word)),
+rest AS (SELECT lang, greatest(0, 1 - sum(q)) AS q FROM qw GROUP BY lang),
+near AS (
+  SELECT doc_id, lang, sum({_js("p", "q")}) AS d, sum(p) AS p, sum(q) AS q
+  FROM (SELECT tally.doc_id, word, tally.n / n_plain AS p FROM tally JOIN m USING (doc_id)) JOIN qw USING (word) GROUP BY doc_id, lang),
+word AS (
+  SELECT doc_id, min(sqrt(greatest(0, d + {_js("p", "q")} + greatest(0, 1 - q - seen_q) / 2))) AS d
+  FROM (SELECT m.doc_id, rest.lang, coalesce(d, 0) AS d, greatest(0, 1 - coalesce(near.p, 0)) AS p, rest.q, coalesce(near.q, 0) AS seen_q
+        FROM m CROSS JOIN rest LEFT JOIN near ON near.doc_id = m.doc_id AND near.lang = rest.lang WHERE n_plain > 0)
+  GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_words < {quality.MIN_WORDS} OR (coalesce(class.d, 0) <= {quality.MAX_CLASS_DISTANCE} AND CASE WHEN n_plain = 0 THEN 1 ELSE coalesce(word.d, 0) END <= {quality.MAX_WORD_DISTANCE})) AS kept
+FROM m LEFT JOIN class USING (doc_id) LEFT JOIN word USING (doc_id)
+""",
+)
 def op7_quality_rules(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 TOOL_FIELDS = (
