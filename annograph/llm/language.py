@@ -164,7 +164,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(batch), _DOCS):
             some = batch.slice(i, _DOCS)
             rows = profiles([t or b"" for t in some.column("data").to_pylist()])
-            yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], names=["lang", "profile"])
+            made = pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column("order"), some.column("lang"), made], names=["order", "lang", "profile"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Model:
@@ -181,8 +182,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.least(F.lit(1.0), F.lit(1.3 * rows / langs) / F.col("n"))
     order = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_003))
     chosen = labelled.join(counts, "lang").where(order < share * 1_000_003).withColumn("order", order)
-    chosen = chosen.select("order", "lang", F.col("text").cast("binary").alias("data")).mapInArrow(_profile, "lang string, profile binary")
-    found = chosen.limit(rows).collect()
+    chosen = chosen.select("order", "lang", F.col("text").cast("binary").alias("data")).mapInArrow(_profile, "order bigint, lang string, profile binary")
+    found = chosen.orderBy("order", "lang", "profile").limit(rows).collect()
     if not found:
         return Model((), {}, {})
     x = np.stack([np.frombuffer(r["profile"], np.float16).astype(np.float32) for r in found])
