@@ -85,15 +85,32 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], heavy: l
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session hands rows to Python in batches of at most 16 MB, unless it does so in smaller ones."""
+    if int(spark.conf.get(_BATCH_BYTES).rstrip("bB")) > 16 << 20:
+        spark.conf.set(_BATCH_BYTES, f"{16 << 20}b")
+
+
+#: While a table is written: shuffle files go with their step, Python gets small batches, as texts may be long, and the
+#: table is compressed well, since surroundings of neighbouring positions overlap.
+_WHILE_STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    _BATCH_BYTES: f"{16 << 20}b",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """`materialize`, with the shuffle files of the step removed as soon as its table is written."""
+    """`materialize` under the settings above; the caller's settings are put back."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP, "false")
-    conf.set(_CLEANUP, "true")
+    before = {k: conf.get(k, None) for k in _WHILE_STORING}
+    for k, v in _WHILE_STORING.items():
+        conf.set(k, v)
     try:
         return materialize(df, label)
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from annograph.plans.session import materialize
+from annograph.llm.common import stored
 
 
 def _minimum(links: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two steps until the links stand still: hang all larger neighbours below the smallest one, then all
     smaller ones. Rounds grow with the logarithm of the longest chain. Each round is a table in the shared folder.
     """
-    current = materialize(links.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
+    current = stored(links.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
     mark = _fingerprint(current)
     while mark[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,7 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         smaller = below.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.select("u", F.col("m").alias("v"))
         )
-        current = materialize(smaller.where("u != v").distinct(), "links")
+        current = stored(smaller.where("u != v").distinct(), "links")
         now = _fingerprint(current)
         if now == mark:
             break

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annograph.llm.common import SPACE, ascii_lower, heavy_keys, let, row_keys, salted_join, unpack
-from annograph.plans.session import materialize
+from annograph.llm.common import SPACE, ascii_lower, heavy_keys, let, row_keys, salted_join, stored, unpack
 
 
 def line_key(line: Column) -> Column:
@@ -50,7 +49,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = per_doc.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper"), F.sum("n").alias("n")
     )
-    shared = materialize(shared.where(F.col("docs") >= min_docs).drop("docs"), "shared-lines")
+    shared = stored(shared.where(F.col("docs") >= min_docs).drop("docs"), "shared-lines")
     heavy = heavy_keys(shared, ["h1", "h2"], "n")
     found = salted_join(lines, shared, ["h1", "h2"], heavy, ["k1", "pos"])
     dropped = (

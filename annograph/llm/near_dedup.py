@@ -15,9 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from annograph.llm.common import heavy_keys, row_keys, salted_join, unpack, words_of
+from annograph.llm.common import heavy_keys, row_keys, salted_join, stored, unpack, words_of
 from annograph.llm.graph import components
-from annograph.plans.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -283,27 +282,27 @@ def _links(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified links between texts of different word sequences, enough of them to connect each class."""
     nodes = signed.select("node", "sig", "mark", "size").dropDuplicates(["node"])
     entries = nodes.select("node", "sig").mapInArrow(_bands, "bucket bigint, band int, node binary")
-    counts = materialize(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    counts = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     heavy = heavy_keys(counts, ["bucket"], "n")
-    members = materialize(
+    members = stored(
         salted_join(entries, counts, ["bucket"], heavy, ["node"]).join(nodes.select("node", "mark", "size"), "node"), "members"
     )
     chosen = members.groupBy("node").agg(F.sum("n").alias("reach"))
     texts = signed.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k")).join(chosen, "node").select("node", "k.k1", "k.k2")
-    words = materialize(rows.join(texts, ["k1", "k2"]).dropDuplicates(["node"]).select("node", _hashed_words().alias("words")), "words")
+    words = stored(rows.join(texts, ["k1", "k2"]).dropDuplicates(["node"]).select("node", _hashed_words().alias("words")), "words")
     # The member that shares the most groups with others is the one that most members are likely to resemble.
-    hubs = materialize(
+    hubs = stored(
         members.join(chosen, "node").groupBy("bucket").agg(F.max(F.struct("reach", "node", "mark")).alias("hub")).select("bucket", "hub.node", "hub.mark"), "hubs"
     )
     renamed = hubs.select("bucket", F.col("node").alias("v"), F.col("mark").alias("mark_v"))
     stars = salted_join(members.select("bucket", F.col("node").alias("u"), F.col("mark").alias("mark_u")), renamed, ["bucket"], heavy, ["u"])
     stars = stars.where("u != v").select("u", "v", "mark_u", "mark_v").mapInArrow(_promising, _LINK).distinct()
-    first = materialize(_verified(stars, words), "star-links")
-    labels = materialize(components(first), "classes")
+    first = stored(_verified(stars, words), "star-links")
+    labels = stored(components(first), "classes")
     labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     hub_label = hubs.join(labels, "node", "left").select("bucket", F.coalesce("label", "node").alias("hub_label"))
     placed = salted_join(labelled, hub_label, ["bucket"], heavy, ["node"]).withColumn("open", F.col("label") != F.col("hub_label"))
-    placed = materialize(placed.drop("hub_label"), "placed")
+    placed = stored(placed.drop("hub_label"), "placed")
     unfinished = placed.groupBy("bucket").agg(F.max("open").alias("open"), F.sum("size").alias("words")).where("open").select("bucket", "words")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
@@ -333,8 +332,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = row_keys(docs, id_col, text_col)
     hashed = rows.select("k1", "k2", "id", _hashed_words().alias("words")).where(F.size("words") > 0)
     kind = dict(rows.dtypes)["id"]
-    signed = materialize(hashed.mapInArrow(_sign, f"k1 bigint, k2 bigint, id {kind}, size bigint, node binary, sig binary, mark binary"), "signatures")
-    classes = materialize(components(_links(rows, signed)), "classes")
+    signed = stored(hashed.mapInArrow(_sign, f"k1 bigint, k2 bigint, id {kind}, size bigint, node binary, sig binary, mark binary"), "signatures")
+    classes = stored(components(_links(rows, signed)), "classes")
     labelled = signed.select("k1", "k2", "id", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k1", "k2")).alias("first"))
     heavy = heavy_keys(first, ["label"], "n")

@@ -18,13 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from annograph.llm.common import unpack
+from annograph.llm.common import small_batches, unpack
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the piece format: the mark that stands for a blank.
 BLANK = "▁"
 #: Characters of text that are handled together.
-CHUNK = 1_500_000
+CHUNK = 500_000
 
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 _BASE = np.uint64(0x100000001B3)
@@ -163,6 +163,7 @@ class Lattice:
         order[place] = np.arange(len(start))
         self.source, target, weight = source[order], target[order], weight[order]
         self.ids, self.count = self.ids[order], self.count[order]
+        del start, length, source, order, place, starts, lengths, ids, at, keys, mixed
         self.first = ends - sizes + np.arange(len(units))
         self.last = self.first + sizes
         share = self._filter(target, weight, nodes)
@@ -269,11 +270,13 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     become byte pieces, so the ids always decode to the text; one that does not ends the job. Null and empty texts have
     no ids. Existing columns of the added names are replaced.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col)).alias("key"))
     added = {"ids": T.ArrayType(T.IntegerType()), "n_ids": T.LongType()} | ({"decoded": T.StringType()} if decoded else {})
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
+        pa.default_memory_pool().release_unused()  # a reused worker may hold what earlier steps freed
         for batch in batches:
             texts = pc.fill_null(pc.struct_field(batch.column("row"), text_col), "")
             reach = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
