@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annograph.llm.common import unpack
+from annograph.llm.common import heavy_keys, salted_join, unpack
 
 #: Labelled rows that the machines are trained on, at most, over all languages.
 TRAINING_ROWS = 2400
@@ -171,19 +171,22 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Model:
     """Train on at most `rows` documents with a language and a letter, spread evenly over the languages.
 
-    Rows are chosen by the hash of their id. Profiles are made on the executors; the driver gets 8 KB for each chosen
+    Rows are chosen by the hash of their id, which must not be null; only the ids of the sample are broadcast. Profiles are made on the executors; the driver gets 8 KB for each chosen
     row. Without any labelled row the model knows no language.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    order = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_003)).alias("order")
+    narrow = labelled.where("id is not null").select("id", "lang", order)
+    counts = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     langs = max(counts.count(), 1)
     share = F.least(F.lit(1.0), F.lit(1.3 * rows / langs) / F.col("n"))
-    order = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_003))
-    chosen = labelled.join(counts, "lang").where(order < share * 1_000_003).withColumn("order", order)
-    chosen = chosen.select("order", "lang", F.col("text").cast("binary").alias("data")).mapInArrow(_profile, "order bigint, lang string, profile binary")
-    found = chosen.orderBy("order", "lang", "profile").limit(rows).collect()
+    drawn = salted_join(narrow, counts, ["lang"], heavy_keys(counts, ["lang"], "n"), ["id"]).where(F.col("order") < share * 1_000_003)
+    sample = drawn.select("id", "lang", "order").distinct().orderBy("order", "lang", "id").limit(rows)
+    chosen = labelled.join(F.broadcast(sample), ["id", "lang"]).select("order", "lang", F.col("text").cast("binary").alias("data"))
+    profiled = chosen.mapInArrow(_profile, "order bigint, lang string, profile binary")
+    found = profiled.orderBy("order", "lang", "profile").limit(rows).collect()
     if not found:
         return Model((), {}, {})
     x = np.stack([np.frombuffer(r["profile"], np.float16).astype(np.float32) for r in found])
