@@ -8,12 +8,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from annograph.llm.common import heavy_keys, salted_join, unpack
+from annograph.llm.common import unpack
 
-#: Labelled rows that the machines are trained on, at most, over all languages.
+#: Labelled rows that the machines are trained on, at most, over all languages (one row of each, if there are more languages).
 TRAINING_ROWS = 2400
+#: Different places in the order that rows are drawn in.
+ORDERS = 1_000_003
 BUCKETS = 4096
 UNKNOWN = "und"
 _CHUNK = 4_000_000
@@ -165,30 +167,36 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = batch.slice(i, _DOCS)
             rows = profiles([t or b"" for t in some.column("data").to_pylist()])
             made = pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([some.column("order"), some.column("lang"), made], names=["order", "lang", "profile"])
+            yield pa.RecordBatch.from_arrays([*[some.column(c) for c in ("order", "lang", "id")], made], names=["order", "lang", "id", "profile"])
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAINING_ROWS) -> Model:
-    """Train on at most `rows` documents with a language and a letter, spread evenly over the languages.
+    """Train on up to `rows` documents with a language and a letter, spread evenly over the languages.
 
-    Rows are chosen by the hash of their id, which must not be null; only the ids of the sample are broadcast. Profiles are made on the executors; the driver gets 8 KB for each chosen
-    row. Without any labelled row the model knows no language.
+    Each language gives the `rows / languages` ids of the smallest hashes, and one at least; a language with fewer ids
+    gives them all. Ids must not be null; a repeated id counts once. Only the ids of the sample are broadcast. Profiles
+    are made on the executors; the driver gets 8 KB for each chosen row. Without any labelled row the model knows no language.
     """
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    order = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_003)).alias("order")
+    order = F.pmod(F.xxhash64("id", "lang"), F.lit(ORDERS)).alias("order")
     narrow = labelled.where("id is not null").select("id", "lang", order)
-    counts = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = max(counts.count(), 1)
-    share = F.least(F.lit(1.0), F.lit(1.3 * rows / langs) / F.col("n"))
-    drawn = salted_join(narrow, counts, ["lang"], heavy_keys(counts, ["lang"], "n"), ["id"]).where(F.col("order") < share * 1_000_003)
-    sample = drawn.select("id", "lang", "order").distinct().orderBy("order", "lang", "id").limit(rows)
-    chosen = labelled.join(F.broadcast(sample), ["id", "lang"]).select("order", "lang", F.col("text").cast("binary").alias("data"))
-    profiled = chosen.mapInArrow(_profile, "order bigint, lang string, profile binary")
-    found = profiled.orderBy("order", "lang", "profile").limit(rows).collect()
-    if not found:
+    counts = {r["lang"]: r["n"] for r in narrow.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("n")).collect()}
+    if not counts:
         return Model((), {}, {})
+    quota = max(1, rows // len(counts))
+    # So many ids are ranked that a language practically never has fewer than its quota among them: six standard
+    # deviations of the draw, and ten of the count.
+    ranked = 1.2 * (quota + 6 * quota**0.5 + 20)
+    below = docs.sparkSession.createDataFrame([(x, int(min(1.0, ranked / n) * ORDERS) + 1) for x, n in counts.items()], "lang string, below bigint")
+    drawn = narrow.join(F.broadcast(below), "lang").where("order < below").select("id", "lang", "order").distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))
+    sample = drawn.withColumn("place", place).where(F.col("place") <= quota).drop("place")
+    chosen = labelled.join(F.broadcast(sample), ["id", "lang"]).select("order", "lang", F.col("id"), F.col("text").cast("binary").alias("data"))
+    kind = chosen.schema["id"].dataType.simpleString()
+    profiled = chosen.mapInArrow(_profile, f"order bigint, lang string, id {kind}, profile binary")
+    found = profiled.groupBy("lang", "order", "id").agg(F.min("profile").alias("profile")).orderBy("order", "lang", "profile").collect()
     x = np.stack([np.frombuffer(r["profile"], np.float16).astype(np.float32) for r in found])
     return fit(x, np.array([r["lang"] for r in found], dtype=object))
 

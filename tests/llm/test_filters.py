@@ -162,3 +162,14 @@ def test_language_of_odd_rows(spark):
     one = language.learn(df.where("lang = 'en'"))
     assert {r["lang_pred"] for r in language.identify(df, one).collect()} == {"und", "en"}
     assert language.identify(df.where("false"), model).count() == 0
+
+
+def test_language_sample_is_even(spark, monkeypatch):
+    sizes = {"en": 30_000, "de": 30_000, "fr": 30_000, "es": 300, "it": 7}
+    docs = [(f"{x}{i}", f"{x} word {i % 50}", x) for x, n in sizes.items() for i in range(n)] + [(f"de{i}", "de word again", "de") for i in range(30_000)]
+    drawn = []
+    monkeypatch.setattr(language, "fit", lambda x, langs: drawn.append(langs.tolist()))
+    df = spark.createDataFrame(docs, "doc_id string, text string, lang string")
+    for rows, want in ((1000, {"en": 200, "de": 200, "fr": 200, "es": 200, "it": 7}), (3, dict.fromkeys(sizes, 1))):
+        language.learn(df, rows=rows)
+        assert {x: drawn[-1].count(x) for x in sizes} == want
