@@ -98,6 +98,24 @@ def test_pages(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<section><div><p>A one</p></div></section><section><div><p>B</p></div></section>", "A one\nB"),
+        ("<div><div><p>A</p></div><div class=advert><p>Buy</p></div><div><p>B</p><ul><li>c</ul></div></div>", "A\nB\nc"),
+        ("<main><article>A</article><article>B two</article></main>", "A\nB two"),
+        ("<main><section><div><article><p>A</p></article></div></section><p>between<section><article><p>B</p></article></section></main><p>out", "A\nbetween\nB"),
+        ("<article><p>A</p></article><div><ul><li>out</ul></div><article><p>B</p></article>", "A\nB"),
+        ("<p>A</p></div></div><div><div><a href=x>link</a><p>B", "A\nlink\nB"),
+        ("<div><ul><li><a>Home</a><li><a>News</a></ul></div><div><div><p>A</p></div></div><div><ul><li><a>Home</a><li><a>News</a></ul></div><div><div><p>B</p></div></div><ul><li><a>x</a></ul>", "A\nB"),
+        ("<table><tr><td>" + "</td></tr></table><div><table><tr><td>".join("abcdef") + "</table>", "a\nb\nc\nd\ne\nf"),
+        ("<article></article><div><div><div><p>A</p></div></div></div><div><div><p>B", "A\nB"),
+    ],
+)
+def test_all_stretches_of_a_page(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, None, "old"), (2, "<p>" + "word " * 100_000, "old")], "page_id bigint, html string, text string")
     assert sorted(r["n_chars"] for r in html_text.extract_pages(df).collect()) == [0, 0, 499_999]
