@@ -2,6 +2,7 @@
 
 Signatures come from a Poisson process for each shingle, whose arrivals fall on random registers. A register keeps
 its first arrival; a shingle's process ends as soon as its next arrival is later than what every register holds.
+Texts that repeat a shingle have a second signature, of the plain set, since links by plain Jaccard need their own bands.
 Bands of registers give candidate groups; each group is first compared with one hub, then only what did not reach the
 hub's class is compared with the rest of the group. Every link is verified on the whole shingle sets.
 """
@@ -22,8 +23,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Estimated similarity from which a pair is verified: 3 standard deviations of the estimate below the threshold.
-ESTIMATE = SIMILARITY - 3 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+#: Estimated similarity from which a pair is verified: 6 standard deviations of the estimate below the threshold, which
+#: a pair of exactly that similarity misses with probability 3e-8. The larger of the two signatures' estimates counts.
+ESTIMATE = SIMILARITY - 6 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Members of a candidate group that are compared inside one task; larger groups are compared block by block.
 BLOCK = 4000
 #: Words that the members of one task's block have together, unless one text has more.
@@ -105,7 +107,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = _lists(batch.column("words"))
         nodes = [hashlib.md5(w.tobytes()).digest() for w in texts]
-        signed: list[bytes] = []
+        keys: list[bytes] = []
         marks: list[bytes] = []
         i = 0
         while i < len(texts):
@@ -114,38 +116,64 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets.append(shingles(texts[j]))
                 elements += len(texts[j])
                 j += 1
-            owner = np.repeat(np.arange(j - i), [len(s[0]) for s in sets])
-            made = signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), owner, j - i)
-            signed += [row.tobytes() for row in made.astype(np.uint32)]
-            marks += [row.tobytes() for row in made.astype(np.uint8)]
+            repeating = [k for k, (_, weights) in enumerate(sets) if (weights > 1).any()]
+            sets += [(sets[k][0], np.ones(len(sets[k][0]))) for k in repeating]
+            owner = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
+            made = signatures(np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), owner, len(sets))
+            buckets = band_keys(made)
+            own_keys = [row.tobytes() for row in buckets]
+            own_marks = [x.tobytes() + y.tobytes() for x, y in zip(made.astype(np.uint8), buckets.astype(np.uint32))]
+            for plain, k in enumerate(repeating, j - i):
+                own_keys[k] += own_keys[plain]
+                own_marks[k] += own_marks[plain]
+            keys += own_keys[: j - i]
+            marks += own_marks[: j - i]
             i = j
         yield pa.RecordBatch.from_arrays(
-            [batch.column("k1"), batch.column("k2"), batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, signed, marks)]],
-            names=["k1", "k2", "id", "size", "node", "sig", "mark"],
+            [batch.column("k1"), batch.column("k2"), batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), *[pa.array(x, pa.binary()) for x in (nodes, keys, marks)]],
+            names=["k1", "k2", "id", "size", "node", "keys", "mark"],
         )
 
 
+def band_keys(signed: np.ndarray) -> np.ndarray:
+    """Bucket of each band of each signature."""
+    sigs = signed.astype(np.uint32).reshape(-1, BANDS, ROWS)
+    keys = np.zeros((len(sigs), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        keys = _mix(keys * _MIX2 + sigs[:, :, i])
+    return keys
+
+
+def _twice(column: pa.Array, size: int) -> np.ndarray:
+    """Bytes of the weighted and of the plain signature of each row; rows that hold `size` bytes have the same for both."""
+    return np.frombuffer(b"".join([x if len(x) > size else x * 2 for x in column.to_pylist()]), np.uint8).reshape(-1, 2, size)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both signatures use the same buckets; a row stands in a bucket once."""
     for batch in batches:
-        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(len(batch), BANDS, ROWS)
-        keys = np.zeros((len(batch), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for i in range(ROWS):
-            keys = _mix(keys * _MIX2 + sigs[:, :, i])
-        rows = pa.array(np.repeat(np.arange(len(batch)), BANDS))
-        band = np.tile(np.arange(BANDS, dtype=np.int32), len(batch))
+        keys = _twice(batch.column("keys"), 8 * BANDS).view(np.int64)
+        wanted = np.ones(keys.shape, bool)
+        wanted[:, 1] = keys[:, 1] != keys[:, 0]
+        row, _, band = np.nonzero(wanted)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.reshape(-1).view(np.int64)), pa.array(band), batch.column("node").take(rows)], names=["bucket", "band", "node"]
+            [pa.array(keys[wanted]), pa.array(band.astype(np.int32)), batch.column("node").take(pa.array(row))], names=["bucket", "band", "node"]
         )
 
 
-def _marks(column: pa.Array) -> np.ndarray:
-    """One byte of each register, enough to estimate similarity from."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, REGISTERS)
+def _marks(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """One byte of each register, enough to estimate similarity from, and 32 bits of each band's bucket, of both signatures."""
+    data = _twice(column, REGISTERS + 4 * BANDS)
+    return np.ascontiguousarray(data[:, :, :REGISTERS]), np.ascontiguousarray(data[:, :, REGISTERS:]).view(np.uint32)
+
+
+def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a == b).mean(axis=2).max(axis=1) >= ESTIMATE
 
 
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        near = (_marks(batch.column("mark_u")) == _marks(batch.column("mark_v"))).mean(axis=1) >= ESTIMATE
+        near = _near(_marks(batch.column("mark_u"))[0], _marks(batch.column("mark_v"))[0])
         yield batch.select(["u", "v"]).filter(pa.array(near))
 
 
@@ -169,20 +197,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _compared(cell: np.ndarray, band: np.ndarray, label: np.ndarray, open_: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _compared(cell: np.ndarray, band: np.ndarray, label: np.ndarray, open_: np.ndarray, marks: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one cell, in different classes, at least one `open_`, that look similar enough to verify.
 
-    A pair that shares several bands comes from the first of them only. Small cells are compared together, one distance
+    A pair that shares several buckets comes from those of the first band only. Small cells are compared together, one distance
     in the sorted rows at a time; a large one on its own, a row at a time.
     """
 
+    registers, keys = marks
+
     def passing(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = (label[i] != label[j]) & (open_[i] | open_[j])
         i, j = i[ok], j[ok]
-        same = marks[i] == marks[j]
-        near = same.mean(axis=1) >= ESTIMATE
-        first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-        keep = np.flatnonzero(near)[first == band[i[near]]]
+        near = _near(registers[i], registers[j])
+        i, j = i[near], j[near]
+        a, b = keys[i], keys[j]
+        first = ((a == b) | (a == b[:, ::-1])).any(axis=1).argmax(axis=1)
+        keep = first == band[i]
         return i[keep], j[keep]
 
     starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -280,8 +311,8 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 def _links(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """Verified links between texts of different word sequences, enough of them to connect each class."""
-    nodes = signed.select("node", "sig", "mark", "size").dropDuplicates(["node"])
-    entries = nodes.select("node", "sig").mapInArrow(_bands, "bucket bigint, band int, node binary")
+    nodes = signed.select("node", "keys", "mark", "size").dropDuplicates(["node"])
+    entries = nodes.select("node", "keys").mapInArrow(_bands, "bucket bigint, band int, node binary")
     counts = stored(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     heavy = heavy_keys(counts, ["bucket"], "n")
     members = stored(
@@ -332,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = row_keys(docs, id_col, text_col)
     hashed = rows.select("k1", "k2", "id", _hashed_words().alias("words")).where(F.size("words") > 0)
     kind = dict(rows.dtypes)["id"]
-    signed = stored(hashed.mapInArrow(_sign, f"k1 bigint, k2 bigint, id {kind}, size bigint, node binary, sig binary, mark binary"), "signatures")
+    signed = stored(hashed.mapInArrow(_sign, f"k1 bigint, k2 bigint, id {kind}, size bigint, node binary, keys binary, mark binary"), "signatures")
     classes = stored(components(_links(rows, signed)), "classes")
     labelled = signed.select("k1", "k2", "id", "node").join(classes, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "k1", "k2")).alias("first"))

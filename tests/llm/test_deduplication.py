@@ -4,6 +4,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +84,42 @@ def test_signatures_estimate_probability_jaccard():
     assert (made[0] == made[1]).mean() == pytest.approx(near_dedup.probability_jaccard(*sets), abs=0.04)
 
 
+def test_every_pair_of_a_bucket_is_verified():
+    """Pairs of similarity 0.8: what shares buckets comes out of exactly one of them."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(4000):
+        common = rng.integers(1, 2**62, 84)
+        texts += [np.r_[common, rng.integers(1, 2**62, 10)] for _ in range(2)]
+    n = pa.array(range(len(texts)))
+    words = pa.array([t.tolist() for t in texts], pa.list_(pa.int64()))
+    batch = next(near_dedup._sign([pa.RecordBatch.from_arrays([n, n, n, words], names=["k1", "k2", "id", "words"])]))
+    bands = {}
+    for r in next(near_dedup._bands([batch])).to_pylist():
+        bands.setdefault((r["bucket"], r["band"]), set()).add(r["node"])
+    rows = {x: i for i, x in enumerate(batch.column("node").to_pylist())}
+    made = [(k[1], sorted(rows[x] for x in v)) for k, v in bands.items() if len(v) == 2]
+    marks = near_dedup._marks(batch.column("mark"))
+    out = []
+    for band, pair in made:
+        own = tuple(m[pair] for m in marks) if isinstance(marks, tuple) else marks[pair]
+        two = np.array([0, 1])
+        out += [pair[0] for i, _ in near_dedup._compared(two * 0, two * 0 + band, two, two == two, own) for _ in i]
+    assert sorted(out) == sorted({p[0] for _, p in made}) and len(out) > 3990
+
+
+def test_links_by_plain_jaccard(spark):
+    """Equal shingle sets of which one text repeats a half far more often: probability Jaccard is below 0.8."""
+    docs = []
+    for n in range(60):
+        a, b = (" ".join(f"{x}{n}y{i}" for i in range(10)) + " " for x in "ab")
+        docs += [(2 * n, a * 2 + b * 2), (2 * n + 1, a * 2 + b * 500)]
+    sets = [near_dedup.shingles(np.array([hash(w) % 2**62 for w in t.split()], np.uint64)) for _, t in docs[:2]]
+    assert near_dedup.probability_jaccard(*sets) < 0.75 and near_dedup.similarity(*sets) == 1
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.assign_classes(frame(spark, docs)).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in docs}
+
+
 def copies():
     """Groups with chains: neighbours are similar, ends are not; a hub with many copies; exact copies; tiny texts."""
     rng = random.Random(5)
