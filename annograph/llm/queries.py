@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import chat, decontaminate, html_text, language, line_dedup, near_dedup, pieces, quality, suffix_dedup, toxicity
+from annograph.llm import chat, decontaminate, html_text, language, line_dedup, mix, near_dedup, pieces, quality, suffix_dedup, toxicity
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +275,30 @@ def op5_chat_formatting(spark, sf_dir):
     schemas = spark.range(1).select(F.inline(F.array(*rows)))
     chats = chat.format_chats(conversations, calls, results, schemas)
     return chats.withColumns({"errors": F.array_join("errors", ","), "json_sha256": digest(F.col("json"))}).drop("json")
+
+
+@query(
+    "op11_mix_sources",
+    r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), t AS (
+  SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS every, coalesce(sum(3 * source_size) OVER ahead, 0) AS spent, coalesce(sum(w) OVER ahead, 0) AS passed
+  FROM s WINDOW ahead AS (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), level AS (
+  SELECT CAST(total - spent AS DOUBLE) AS words, CAST(every - passed AS DOUBLE) AS rest FROM t WHERE 3 * source_size * (every - passed) >= w * (total - spent) ORDER BY passed LIMIT 1
+), b AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), CAST(w AS DOUBLE) * (SELECT words FROM level) / (SELECT rest FROM level)) AS target FROM t
+), o AS (
+  SELECT d.*, source_size, target, CAST(round_even(target, 0) AS BIGINT) AS whole,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || doc_id), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source
+), e AS (SELECT *, CASE WHEN source_size > 0 THEN whole // source_size ELSE 0 END AS epochs FROM o)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(whole - epochs * source_size - before, 0), size) AS BIGINT) AS taken FROM e
+""",
+)
+def op11_mix_sources(spark, sf_dir):
+    sized = mix.with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mix.mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken")

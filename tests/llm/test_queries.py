@@ -13,8 +13,8 @@ from annograph.llm.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", list(ORACLES))
