@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import chat, decontaminate, html_text, language, line_dedup, mix, near_dedup, pieces, quality, suffix_dedup, toxicity
+from annograph.llm import chat, decontaminate, html_text, language, line_dedup, mix, near_dedup, pieces, quality, suffix_dedup, toxicity, whiten
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,3 +302,8 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + least(greatest(wh
 def op11_mix_sources(spark, sf_dir):
     sized = mix.with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return mix.mix_sources(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op12_whiten")
+def op12_whiten(spark, sf_dir):
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))

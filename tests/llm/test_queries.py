@@ -22,7 +22,7 @@ def test_oracle(spark, name):
     assert compare.compare(spark, compare.database("0.001"), name, QUERIES[name], ORACLES[name], "0.001") == ""
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES and not n.startswith("op12_")])
 def test_rows(spark, name):
     source = "pages" if name.startswith("op8") else "documents"
     assert QUERIES[name](spark, SF).count() == table(spark, SF, source).count()
