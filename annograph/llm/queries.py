@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from annograph.llm import chat, decontaminate, html_text, language, line_dedup, mix, near_dedup, pieces, quality, suffix_dedup, toxicity, whiten
+from annograph.llm import chat, decontaminate, html_text, language, line_dedup, mix, near_dedup, pieces, quality, spelling, suffix_dedup, toxicity, whiten
 from annograph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,3 +307,42 @@ def op11_mix_sources(spark, sf_dir):
 @query("op12_whiten")
 def op12_whiten(spark, sf_dir):
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_spelling_variants",
+    r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)
+), runs AS (
+  SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+), bytes AS (
+  SELECT run, k, list_transform(range(length(s) // 2), lambda i: CAST('0x' || substring(s, 2 * i + 1, 2) AS BIGINT)) AS b FROM (SELECT run, k, hex(encode(doc_id || ':' || run)) AS s FROM runs)
+), hashed AS (
+  SELECT run, k, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, tab
+), words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), cut AS (
+  SELECT word, n, substring(word, 1, i - 1) || substring(word, i + 1) AS rest, i || ':' || substring(word, 1, i - 1) || substring(word, i + 1) AS place
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b USING (place) WHERE a.word <> b.word
+  UNION SELECT cut.word, words.word, words.n FROM cut JOIN words ON rest = words.word
+  UNION SELECT words.word, cut.word, cut.n FROM cut JOIN words ON rest = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, list(near ORDER BY n DESC, near)[1] AS near FROM near GROUP BY word
+), f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN near END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (
+  SELECT word, form AS last, 1 AS step FROM f WHERE form IS NOT NULL
+  UNION ALL
+  SELECT chain.word, f.form, step + 1 FROM chain JOIN f ON f.word = chain.last WHERE f.form IS NOT NULL
+), roots AS (SELECT word, arg_max(last, step) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN roots USING (word)
+""",
+)
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
