@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from annograph.llm.common import heavy_keys, salted_join, stored
-from annograph.plans.skew import rank_rows
+from annograph.llm.common import heavy_keys, range_sums, salted_join, stored
+from annograph.plans.skew import HOT_ROWS, split_hot
 
 #: JSON types of a schema by the variant types they admit.
 TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY<.*", "object": "OBJECT<.*", "null": "VOID"}
@@ -75,6 +75,17 @@ def order_calls(calls: DataFrame) -> DataFrame:
     return state.select("conv_id", "call_id", "place", "depth", (F.col("cyclic") | F.col("jump").isNotNull()).alias("cyclic"))
 
 
+def _positions(rows: DataFrame, order: list[str], limit: int = HOT_ROWS) -> DataFrame:
+    """`position` from 1 within a conversation. Those of over `limit` rows are range-sorted, whatever their turns are."""
+    ordinary, large = split_hot(rows, ["conv_id"], limit)
+    numbered = ordinary.withColumn("position", F.row_number().over(W.partitionBy("conv_id").orderBy(*order)).cast("bigint"))
+    if large is None:
+        return numbered
+    marked = stored(large.withColumn("tie", F.monotonically_increasing_id()).withColumn("one", F.lit(1)), "large-chats")
+    ranked = range_sums(marked, ["conv_id"], [*order, "tie"], {"before": "one"}, marked.count(), "chat-order")
+    return numbered.unionByName(ranked.withColumn("position", F.col("before") + 1).drop("before", "tie", "one"))
+
+
 def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row for each message, tool call turn and tool result of every conversation, in a valid order, as canonical JSON.
 
@@ -130,6 +141,5 @@ def format_chats(messages: DataFrame, calls: DataFrame, results: DataFrame, sche
         "conv_id", "turn", "role", F.lit(None).cast("string").alias("call_id"), F.col("turn").alias("place"), F.lit(0).cast("long").alias("depth"), F.lit(0).alias("kind"),
         F.lit("plain").alias("status"), none.alias("errors"), F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"),
     )
-    rows = stored(plain.unionByName(called).unionByName(returned).withColumn("place", F.col("place").cast("int")), "messages")
-    ranked = rank_rows(rows, ["conv_id"], ["place", "depth", "kind", "turn", "role", "call_id", "json"], "position")
-    return ranked.select(F.when(F.col("conv_id") != "\0", F.col("conv_id")).alias("conv_id"), "position", "turn", "role", "call_id", "depth", "status", "errors", "json")
+    rows = stored(plain.unionByName(called).unionByName(returned), "messages")
+    return _positions(rows, ["place", "depth", "kind", "turn", "role", "call_id", "json"]).select(F.when(F.col("conv_id") != "\0", F.col("conv_id")).alias("conv_id"), "position", "turn", "role", "call_id", "depth", "status", "errors", "json")

@@ -15,17 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from annograph.llm.common import BETWEEN_VISIBLE, SPACE, stored
+from annograph.llm.common import BETWEEN_VISIBLE, SPACE, range_sums, stored
 
 WEIGHTS = (1, 2, 3)
 MOST_ROUNDS = 3
 SEED = "mix"
-#: Rows of one range at most, on average; a sum over ranges then has a row for as many rows of the input.
-RANGE_ROWS = 1_000_000
-
 ADDED = ("source_size", "target", "epochs", "part", "taken")
 
 
@@ -35,25 +32,6 @@ def word_count(text: Column) -> Column:
     return F.when(inner == "", 0).otherwise(F.coalesce(F.size(F.split(inner, BETWEEN_VISIBLE)), F.lit(0))).cast("bigint")
 
 
-def range_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, str], rows: int, label: str) -> DataFrame:
-    """`df` with `sums` (new name: column), each the sum over the earlier rows of the group in `order`.
-
-    Rows are range-sorted by group and order, so neither a large group nor a common key is one task's (`order` ends in a
-    column that tells rows apart). Each range adds up its own rows; the totals of earlier ranges come from a table with a
-    row for each range and group. The ranges are written first, since a range partitioning drawn again may cut elsewhere.
-    """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
-    ranges = stored(df.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id()), label)
-    cell = ["__range", *group]
-    inside = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    earlier = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-    local = ranges.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__in_{n}") for n, c in sums.items()])
-    totals = ranges.groupBy(*cell).agg(*[F.sum(c).alias(f"__all_{n}") for n, c in sums.items()])
-    offsets = totals.select(*cell, *[F.coalesce(F.sum(f"__all_{n}").over(earlier), F.lit(0)).alias(f"__at_{n}") for n in sums])
-    joined = local.join(offsets, cell)
-    return joined.select(*df.columns, *[(F.col(f"__in_{n}") + F.col(f"__at_{n}")).alias(n) for n in sums])
-
-
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_ROUNDS) -> DataFrame:
     """(unnamed, name, source_size) of every source in, the same with `target` out.
 

@@ -212,7 +212,7 @@ def tool_turns(conversations):
     t = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.char_length("text"))
     ident = lambda turn: F.concat_ws("_", F.lit("call"), "conv_id", turn)
     args = F.struct(
-        F.when(F.col("n") % 7 != 0, F.substring("text", 1, 40)).alias("query"),
+        F.when(F.col("n") % 7 != 0, F.col("text")).alias("query"),
         F.when(F.col("n") % 5 != 0, F.col("n")).alias("limit"),
         F.when(F.col("n") % 11 == 0, F.lit("x")).alias("note"),
         (F.col("n") % 2 == 0).alias("exact"),
@@ -234,7 +234,7 @@ calls AS (
   SELECT conv_id, turn, n, 'call_' || conv_id || '_' || turn AS call_id,
     CASE WHEN n % 13 = 0 THEN 'teleport' WHEN n % 3 = 0 THEN 'search' WHEN n % 3 = 1 THEN 'lookup' ELSE 'translate' END AS name,
     '{"exact":' || CASE WHEN n % 2 = 0 THEN 'true' ELSE 'false' END || CASE WHEN n % 5 <> 0 THEN ',"limit":' || n ELSE '' END
-      || CASE WHEN n % 11 = 0 THEN ',"note":"x"' ELSE '' END || CASE WHEN n % 7 <> 0 THEN ',"query":' || CAST(to_json(substring(text, 1, 40)) AS VARCHAR) ELSE '' END || '}' AS arguments,
+      || CASE WHEN n % 11 = 0 THEN ',"note":"x"' ELSE '' END || CASE WHEN n % 7 <> 0 THEN ',"query":' || CAST(to_json(text) AS VARCHAR) ELSE '' END || '}' AS arguments,
     turn + CASE WHEN conv_id % 7 = 0 THEN 2 ELSE -2 END AS other
   FROM t WHERE role = 'assistant'),
 results AS (SELECT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text FROM t WHERE role = 'user' AND turn > 0),
@@ -263,7 +263,7 @@ every AS (
   SELECT r.conv_id, r.turn, 'tool', r.call_id, coalesce(place, r.turn), coalesce(depth, 0), 2, CASE WHEN p.call_id IS NULL THEN 'orphan' ELSE 'linked' END, '',
     '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"tool","tool_call_id":"' || r.call_id || '"}'
   FROM results r LEFT JOIN placed p ON p.conv_id = r.conv_id AND p.call_id = r.call_id)
-SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY place, depth, kind, turn, role, call_id, json) AS INTEGER) AS position,
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, depth, kind, turn, role, call_id, json) AS position,
   turn, role, call_id, CAST(depth AS BIGINT) AS depth, status, errors, sha256(json) AS json_sha256
 FROM every
 """,

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from annograph.llm import mix
+from annograph.llm import common, mix
 
 SCHEMA = "doc_id bigint, source string, text string, target string, row string, epochs int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,12 +82,12 @@ def test_against_plain_rule(spark, seed):
 def test_runs_agree_whatever_the_partitions(spark, monkeypatch):
     docs = made(4)
     one = result(mix.mix_sources(mix.with_sizes(frame(spark, docs))))
-    monkeypatch.setattr(mix, "RANGE_ROWS", 7)
+    monkeypatch.setattr(common, "RANGE_ROWS", 7)
     assert result(mix.mix_sources(mix.with_sizes(frame(spark, docs[::-1]).repartition(9)))) == one
 
 
 def test_a_third_of_the_rows_share_an_id(spark, monkeypatch):
-    monkeypatch.setattr(mix, "RANGE_ROWS", 20)
+    monkeypatch.setattr(common, "RANGE_ROWS", 20)
     docs = [(None, "a", "five words in every one")] * 300 + [(i, "b", "x " * i) for i in range(1, 60)]
     assert result(mix.mix_sources(mix.with_sizes(frame(spark, docs)))) == sorted(((i or 0, *x) for i, *x in mixed(docs)), key=repr)
 

@@ -161,3 +161,16 @@ def test_long_chains_of_calls(spark):
     calls = spark.range(300).selectExpr("'c' as conv_id", "300 - id as turn", "concat('k', id) as call_id", "if(id > 0, concat('k', id - 1), null) as needs")
     got = {r["call_id"]: (r["place"], r["depth"], r["cyclic"]) for r in chat.order_calls(calls).collect()}
     assert got == {f"k{i}": (300, i, False) for i in range(300)}
+
+
+def test_large_turns_and_long_conversations(spark, monkeypatch):
+    monkeypatch.setattr(chat._positions, "__defaults__", (50,))
+    turns = [("big", None, "user", f"m{i % 90}") for i in range(120)] + [("c", 2**31 + 5, "user", "late"), ("c", 1, "user", "soon"), ("c", -(2**40), "user", "first")]
+    messages = spark.createDataFrame(turns, "conv_id string, turn bigint, role string, text string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    calls, results = none("conv_id string, turn bigint, call_id string, name string, arguments string, needs string"), none("conv_id string, turn bigint, call_id string, content string")
+    rows = chat.format_chats(messages, calls, results, none("name string, field string, type string, required boolean")).collect()
+    by = lambda conv: [r["json"] for r in sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: r["position"])]
+    assert [j.split('"')[3] for j in by("c")] == ["first", "soon", "late"]
+    assert by("big") == sorted(by("big")) and len(by("big")) == 120
+    assert sorted(r["position"] for r in rows if r["conv_id"] == "big") == list(range(1, 121))
