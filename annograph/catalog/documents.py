@@ -7,8 +7,8 @@ from pyspark.sql import Column, functions as F
 from annograph import bridge
 from annograph.catalog.planning import SIZES, sizes
 from annograph.catalog.registry import ISSUES, NORMALIZED, query, with_ctes
-from annograph.catalog.validation import FULL, STATS, annotations, image_facts, large_names, tables
-from annograph.functions import documents as D
+from annograph.catalog.validation import FULL, STATS, annotations, image_facts, tables
+from annograph.functions import documents as D, json_text as J
 from annograph.operators import export as X, normalize as N, validate as V
 from annograph.plans.session import materialize, shared_dir
 from annograph.sinks import writers
@@ -56,8 +56,7 @@ strict AS (SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY eve
 
 @query("s5_parse_documents", "SELECT event_id, event_id % 10 <> 0 AS readable, event_id % 10 NOT IN (0, 2) AS is_object, event_id % 10 >= 4 AS legacy FROM events")
 def parse_documents(spark, d):
-    doc = F.try_parse_json("raw")
-    return event_documents(spark, d).select("event_id", doc.isNotNull().alias("readable"), D.is_object(doc).alias("is_object"), D.is_legacy(doc).alias("legacy"))
+    return S.parse_annotations(event_documents(spark, d)).select(F.substring("sample_id", 2, 20).cast("long").alias("event_id"), "readable", "is_object", "legacy")
 
 
 @query("s5_parse_event_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
@@ -73,7 +72,7 @@ def dialect(spark, d):
 
 
 def _exploded(spark, d, reading):
-    docs = event_documents(spark, d).select("event_id", F.try_parse_json("raw").alias("doc"))
+    docs = event_documents(spark, d).select("event_id", J.document(F.col("raw")).alias("doc"))
     return docs.select("event_id", F.inline(reading(F.col("doc")))).drop("source")
 
 
@@ -174,8 +173,8 @@ def json_documents(spark, d):
 @query("p13_json_round_trip", with_ctes("""SELECT CAST(sample_id AS VARCHAR) AS sample_id, CASE WHEN sample_id % 13 = 0 THEN sample_id || '.png' ELSE 'img/' || sample_id || '.png' END AS image_path, 256 AS width,
   point_count, edge_count, issue_count + CASE WHEN sample_id % 13 = 0 THEN 1 ELSE 0 END AS issue_count FROM stats""", *NORMALIZED, ISSUES, STATS))
 def json_round_trip(spark, d):
-    """Element tables to JSON text, parsed and normalised as whole documents; samples too large for one text stay tables."""
-    docs, large = N.split_by_size(*tables(spark, d))
+    """Element tables to JSON text, parsed and normalised as whole documents."""
+    docs = N.group_documents(*tables(spark, d))
     name = F.col("sample_id").cast("string")
     body = F.to_json(F.struct(
         F.when(F.col("sample_id") % 13 != 0, F.concat(F.lit("img/"), name, F.lit(".png"))).alias("image_path"),
@@ -183,51 +182,29 @@ def json_round_trip(spark, d):
         F.transform("raw_edges", lambda e: e.dropFields("pos", "is_object", "edge_id")).alias("edges"),
     ))
     raw = docs.select(name.alias("path"), name.alias("stem"), body.alias("raw"))
-    out = N.normalize_rows(S.parse_annotations(raw))
-    out = out.select("sample_id", "image_path", "width", F.size("points").alias("point_count"), F.size("edges").alias("edge_count"), F.size("issues").alias("issue_count"))
-    if large is None:
-        return out
-    rest = V.table_stats(N.normalize_large(*large), large_names(large))
-    bare = F.col("sample_id") % 13 == 0
-    return out.unionByName(rest.select(
-        name.alias("sample_id"), F.concat(F.when(bare, "").otherwise("img/"), name, F.lit(".png")).alias("image_path"), F.lit(256).alias("width"),
-        "point_count", "edge_count", (F.col("issue_count") + bare.cast("int")).alias("issue_count"),
-    ))
+    out = N.normalize_rows(S.parse_annotations(raw), "codes")
+    return out.select("sample_id", "image_path", "width", F.size("points").alias("point_count"), F.size("edges").alias("edge_count"), F.size("issues").alias("issue_count"))
 
 
 def _written(spark, d, kind: str):
-    """(documents of accepted samples, accepted point and link rows of samples too large for one document or None)."""
-    docs, large = N.split_by_size(*tables(spark, d))
-    docs = materialize(N.normalize_documents(docs, "none").withColumn("width", F.lit(256)).withColumn("height", F.lit(256)), "normalized")
+    """Documents of the accepted samples."""
+    docs = N.document_rows(*tables(spark, d)).withColumn("width", F.lit(256)).withColumn("height", F.lit(256))
     seen = materialize(V.inspect(image_facts(spark, d), annotations(spark, d)), "inspected")
-    manifest = X.export_manifest(seen, kind, "out")
-    rest = N.normalize_large(*large) if large is not None else None
-    return X.export_documents(docs, manifest, kind), rest and X.export_elements(rest.points, rest.edges, manifest)
+    return X.export_documents(docs, X.export_manifest(seen, kind, "out"), kind)
 
 
 @query("k1_written_documents", with_ctes("SELECT 'out/annotations/' || sample_id || '.json' AS json_dst, point_count FROM insp WHERE state = 'INSPECTED' AND error_count = 0 AND point_count > 0", *FULL))
 def written_documents(spark, d):
     """Accepted documents written as a dataset and read back."""
     out = f"{writers.versioned_path(shared_dir(spark) + '/annograph/documents')}"
-    documents, elements = _written(spark, d, "points")
-    writers.write_annotations(documents, out)
-    body = F.try_parse_json("body")
-    counts = spark.read.parquet(out).select("json_dst", F.size(D.array_at(body, "$.shapes")).alias("point_count"))
-    if elements is None:
-        return counts
-    return counts.unionByName(materialize(elements[0], "elements").groupBy("json_dst").agg(F.count(F.lit(1)).cast("int").alias("point_count")))
+    writers.write_annotations(_written(spark, d, "points"), out)
+    body = J.document(F.col("body"))
+    return spark.read.parquet(out).select("json_dst", F.size(D.array_at(body, "$.shapes")).alias("point_count"))
 
 
 @query("k3_edge_documents", with_ctes("SELECT CAST(sample_id AS VARCHAR) AS sample_id, point_count, edge_count FROM insp WHERE state = 'INSPECTED' AND error_count = 0 AND point_count > 1 AND edge_count > 0", *FULL))
 def edge_documents(spark, d):
-    documents, elements = _written(spark, d, "edges")
-    body = F.try_parse_json("body")
-    counts = documents.select(
+    body = J.document(F.col("body"))
+    return _written(spark, d, "edges").select(
         D.field(body, "$.sample_id", "string").alias("sample_id"), F.size(D.array_at(body, "$.points")).alias("point_count"), F.size(D.array_at(body, "$.edges")).alias("edge_count")
     )
-    if elements is None:
-        return counts
-    size = lambda t, name: t.groupBy(F.col("sample_id").cast("string").alias("sample_id")).agg(F.count(F.lit(1)).cast("int").alias(name))
-    return counts.unionByName(size(elements[0], "point_count").join(size(elements[1], "edge_count"), "sample_id"))
-
-

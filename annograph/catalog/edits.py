@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from annograph import bridge
 from annograph.catalog.graph import normal_form
 from annograph.catalog.registry import NORMALIZED, query, r6, with_ctes
-from annograph.catalog.validation import large_names, tables
+from annograph.catalog.validation import tables
 from annograph.operators import edits as E, normalize as N
 from annograph.plans.session import materialize
 
@@ -79,12 +79,7 @@ def undo_last_edge(spark, d):
   '{"source":"img_tools_stitch_point_editor","conf":0.3,"point_count":' || n || '}' AS points_stamp
   FROM (SELECT sample_id, count(*) AS n FROM pts GROUP BY 1) p LEFT JOIN (SELECT sample_id, count(*) AS m FROM eds GROUP BY 1) e USING (sample_id)""", *NORMALIZED))
 def review_stamp(spark, d):
-    docs, large = N.split_by_size(*tables(spark, d))
-    sizes = N.normalize_documents(docs, "none").select("sample_id", F.size("points").alias("n"), F.size("edges").alias("m"))
-    if large is not None:
-        rest = N.normalize_large(*large)
-        m = rest.edges.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("m"))
-        sizes = sizes.unionByName(rest.points.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n")).join(m, "sample_id", "left").fillna(0, ["m"]))
+    sizes = N.document_rows(*tables(spark, d)).select("sample_id", F.size("points").alias("n"), F.size("edges").alias("m"))
     origin = F.concat(F.lit("ann/"), F.col("sample_id").cast("string"), F.lit(".json"))
     return sizes.select(
         "sample_id", F.to_json(E.review_metadata("links", F.col("n"), F.col("m"), origin_json=origin)).alias("links_stamp"),
@@ -93,14 +88,8 @@ def review_stamp(spark, d):
 
 
 def review_documents(spark, d):
-    """Normalised documents of the samples, which of them have an output, a source, and points or links in it.
-
-    Returns (outputs, sources, counts of the samples too large for one document or None). The counts come from the same
-    merge on rows: sample_id, o_points, o_edges (null without output), s_points, s_edges (null without source) and the
-    merged m_points, m_edges.
-    """
-    docs, large = N.split_by_size(*tables(spark, d))
-    docs = materialize(N.normalize_documents(docs, "none").select("sample_id", "points", "edges"), "normalized")
+    """(outputs, sources): normalised documents of the samples, which of them have an output, a source, and points or links in it."""
+    docs = materialize(N.document_rows(*tables(spark, d)), "normalized")
     k, name = F.col("sample_id"), F.col("sample_id").cast("string")
     nothing = F.slice("edges", 1, 0)
     out = docs.where("sample_id % 2 = 0").select(
@@ -110,19 +99,7 @@ def review_documents(spark, d):
     src = docs.where("sample_id % 7 <> 0").select(
         "sample_id", "points", "edges", F.lit(128).alias("width"), F.lit(64).alias("height"), (k % 4 == 1).alias("legacy"), F.concat(F.lit("src/"), name, F.lit(".json")).alias("json_path"),
     )
-    if large is None:
-        return out, src, None
-    rest = N.normalize_large(*large)
-    counts = large_names(large)
-    for part, rows, held in (("points", rest.points, k % 3 != 0), ("edges", rest.edges, k % 5 >= 2)):
-        rows = materialize(rows, "large")
-        base, source = rows.where((k % 2 == 0) & held), rows.where(k % 7 != 0)
-        for mark, table in (("o", base), ("s", source), ("m", E.merge_rows(base, source))):
-            n = table.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias(f"{mark}_{part}"))
-            counts = counts.join(n, "sample_id", "left").fillna(0, [f"{mark}_{part}"])
-    for part in ("points", "edges"):
-        counts = counts.withColumn(f"o_{part}", F.when(k % 2 == 0, F.col(f"o_{part}"))).withColumn(f"s_{part}", F.when(k % 7 != 0, F.col(f"s_{part}")))
-    return out, src, counts
+    return out, src
 
 
 REVIEW = """n AS (SELECT p.sample_id, np, coalesce(ne, 0) AS ne FROM (SELECT sample_id, count(*) AS np FROM pts GROUP BY 1) p LEFT JOIN (SELECT sample_id, count(*) AS ne FROM eds GROUP BY 1) USING (sample_id)),
@@ -134,16 +111,8 @@ srcs AS (SELECT sample_id, np, ne FROM n WHERE sample_id % 7 <> 0)"""
   CASE WHEN o.np = 0 AND s.np > 0 THEN 'source' ELSE 'base' END AS points_from, CASE WHEN o.ne = 0 AND s.ne > 0 THEN 'source' ELSE 'base' END AS edges_from,
   CASE WHEN s.sample_id IS NOT NULL THEN 'src/' || o.sample_id || '.json' END AS merged_source_json FROM outs o LEFT JOIN srcs s USING (sample_id)""", *NORMALIZED, REVIEW))
 def merge_annotations(spark, d):
-    out, src, large = review_documents(spark, d)
-    merged = E.merge_annotations(out, src).withColumn("point_count", F.size("points")).withColumn("edge_count", F.size("edges")).drop("points", "edges")
-    if large is None:
-        return merged
-    origin = lambda part: F.when((F.col(f"o_{part}") == 0) & (F.coalesce(f"s_{part}", F.lit(0)) > 0), "source").otherwise("base")
-    path = F.when(F.col("s_points").isNotNull(), F.concat(F.lit("src/"), F.col("sample_id").cast("string"), F.lit(".json")))
-    return merged.unionByName(large.where("o_points is not null").select(
-        "sample_id", F.col("m_points").alias("point_count"), F.col("m_edges").alias("edge_count"), origin("points").alias("points_from"),
-        origin("edges").alias("edges_from"), path.alias("merged_source_json"),
-    ))
+    merged = E.merge_annotations(*review_documents(spark, d))
+    return merged.withColumn("point_count", F.size("points")).withColumn("edge_count", F.size("edges")).drop("points", "edges")
 
 
 @query("j16_load_precedence", with_ctes("""SELECT i.o_orderkey AS sample_id, CASE WHEN o.sample_id IS NOT NULL AND s.sample_id IS NOT NULL THEN 'output+source' WHEN o.sample_id IS NOT NULL THEN 'output' WHEN s.sample_id IS NULL THEN 'empty'
@@ -151,19 +120,9 @@ def merge_annotations(spark, d):
   CASE WHEN o.sample_id IS NOT NULL AND (o.np > 0 OR coalesce(s.np, 0) = 0) THEN o.np ELSE coalesce(s.np, 0) END AS point_count, CASE WHEN o.sample_id IS NOT NULL AND (o.ne > 0 OR coalesce(s.ne, 0) = 0) THEN o.ne ELSE coalesce(s.ne, 0) END AS edge_count,
   CASE WHEN o.sample_id IS NOT NULL THEN 300 WHEN s.sample_id IS NOT NULL THEN 128 ELSE 77 END AS width FROM orders i LEFT JOIN outs o ON o.sample_id = i.o_orderkey LEFT JOIN srcs s ON s.sample_id = i.o_orderkey""", *NORMALIZED, REVIEW))
 def load_precedence(spark, d):
-    out, src, large = review_documents(spark, d)
     images = bridge.table(spark, d, "orders").select(F.col("o_orderkey").alias("sample_id"), F.lit(77).alias("image_width"), F.lit(55).alias("image_height"))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    plain = images if large is None else images.join(large.select("sample_id"), "sample_id", "left_anti")
-    loaded = E.load_precedence(plain, out, src).select("sample_id", "origin", size("points").alias("point_count"), size("edges").alias("edge_count"), "width")
-    if large is None:
-        return loaded
-    has_out, has_src = F.col("o_points").isNotNull(), F.col("s_points").isNotNull()
-    origin = F.when(has_out & has_src, "output+source").when(has_out, "output").when(~has_src, "empty").when(F.col("sample_id") % 4 == 1, "legacy source").otherwise("source")
-    return loaded.unionByName(images.select("sample_id", "image_width").join(large, "sample_id").select(
-        "sample_id", origin.alias("origin"), F.col("m_points").alias("point_count"), F.col("m_edges").alias("edge_count"),
-        F.when(has_out, 300).when(has_src, 128).otherwise(F.col("image_width")).alias("width"),
-    ))
+    return E.load_precedence(images, *review_documents(spark, d)).select("sample_id", "origin", size("points").alias("point_count"), size("edges").alias("edge_count"), "width")
 
 
 @query("j18_nearest_point", with_ctes("""SELECT sample_id, click, id, round(d, 6) AS d FROM (SELECT q.sample_id, q.pos AS click, p.id, sqrt((p.x - q.y) * (p.x - q.y) + (p.y - q.x) * (p.y - q.x)) AS d,

@@ -43,8 +43,8 @@ def positive_int(v: Column, path: str) -> Column:
     return F.when(number == 0, DEFAULT_SIDE).otherwise(number)
 
 
-def raw_points(v: Column) -> Column:
-    """Elements of `points` with position, readable values and the defaults for absent keys."""
+def raw_points(v: Column, items: Column | None = None) -> Column:
+    """Elements of `points`, or `items`, with position, readable values and the defaults for absent keys."""
 
     def element(p: Column, i: Column) -> Column:
         pos = i.cast("int")
@@ -56,10 +56,10 @@ def raw_points(v: Column) -> Column:
             F.when(has_key(p, "source"), field(p, "$.source", "string")).otherwise("manual").alias("source"),
         )
 
-    return F.transform(F.coalesce(array_at(v, "$.points"), no_variants()), element)
+    return F.transform(_elements(v, "points", items), element)
 
 
-def raw_edges(v: Column) -> Column:
+def raw_edges(v: Column, items: Column | None = None) -> Column:
     def element(e: Column, i: Column) -> Column:
         return F.struct(
             i.cast("int").alias("pos"), is_object(e).alias("is_object"), field(e, "$.edge_id", "string").alias("edge_id"),
@@ -68,14 +68,20 @@ def raw_edges(v: Column) -> Column:
             F.when(has_key(e, "source"), field(e, "$.source", "string")).otherwise("manual").alias("source"),
         )
 
-    return F.transform(F.coalesce(array_at(v, "$.edges"), no_variants()), element)
+    return F.transform(_elements(v, "edges", items), element)
 
 
-def _point_shapes(v: Column, accepts) -> Column:
+def _elements(v: Column, name: str, items: Column | None) -> Column:
+    """The array under `name`; `items` of a document in parts come first."""
+    given = () if items is None else (items,)
+    return F.coalesce(*given, array_at(v, f"$.{name}"), no_variants())
+
+
+def _point_shapes(v: Column, accepts, items: Column | None) -> Column:
     """Shapes that are objects of type point, carry an accepted label and a first coordinate pair."""
     label = lambda s: stripped(F.coalesce(field(s, "$.label", "string"), F.lit("")))
     return F.filter(
-        F.coalesce(array_at(v, "$.shapes"), no_variants()),
+        _elements(v, "shapes", items),
         lambda s: is_object(s)
         & F.coalesce(field(s, "$.shape_type", "string") == "point", F.lit(False))
         & accepts(label(s))
@@ -94,15 +100,15 @@ def _shape_points(shapes: Column, score) -> Column:
     )
 
 
-def legacy_points(v: Column) -> Column:
+def legacy_points(v: Column, items: Column | None = None) -> Column:
     """Shared reading: labels compared trimmed and lower-cased; a missing, null or zero score becomes 1.0."""
-    shapes = _point_shapes(v, lambda label: F.lower(label).isin(*POINT_LABELS))
+    shapes = _point_shapes(v, lambda label: F.lower(label).isin(*POINT_LABELS), items)
     return _shape_points(shapes, lambda s: F.when(F.coalesce(s, F.lit(0.0)) == 0, 1.0).otherwise(s))
 
 
-def legacy_points_strict(v: Column) -> Column:
+def legacy_points_strict(v: Column, items: Column | None = None) -> Column:
     """Prediction reading: one exact label; only a missing or null score becomes 1.0."""
-    shapes = _point_shapes(v, lambda label: label == STRICT_POINT_LABEL)
+    shapes = _point_shapes(v, lambda label: label == STRICT_POINT_LABEL, items)
     return _shape_points(shapes, lambda s: F.coalesce(s, F.lit(1.0)))
 
 

@@ -57,12 +57,6 @@ def export_documents(docs: DataFrame, manifest: DataFrame, kind: str) -> DataFra
     return docs.join(accepted, "sample_id").select("sample_id", "json_dst", body.alias("body"))
 
 
-def export_elements(points: DataFrame, edges: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted samples as point and link rows with their target: the form for samples too large for one document."""
-    accepted = manifest.where("route = 'ok'").select("sample_id", "json_dst")
-    return points.join(accepted, "sample_id"), edges.join(accepted, "sample_id")
-
-
 def decisions_manifest(items: DataFrame, decisions: DataFrame, keep_dir: str, trash_dir: str) -> DataFrame:
     """Keep / trash decisions on image+label pairs: one row per file to move. Undecided items are kept."""
     joined = items.join(decisions, "sample_id", "left").withColumn("route", F.coalesce("decision", F.lit("keep")))

@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from annograph.operators import graph_arrays
 from annograph.plans.session import materialize
 from annograph.plans.skew import rank_rows, running, split_hot
 from annograph.functions.text import numbered
 from annograph.schemas import EDGE, ISSUE, ISSUE_TEXT, POINT, RAW_EDGE, RAW_POINT, SCHEMA_VERSION
 
-DOCUMENT_LIMIT = 4096  # elements of one sample handled inside one row
+DOCUMENT_LIMIT = 4096  # elements of one sample that column expressions compare with one another
 
 
 @dataclass
@@ -188,14 +190,34 @@ def _graph_rules(raw_points: Column, raw_edges: Column, detail: str) -> Column:
     )
 
 
-def normalize_documents(docs: DataFrame, detail: str = "messages") -> DataFrame:
+def _long_graphs(raw_points: Column, raw_edges: Column, detail: str) -> Column:
+    """`_graph_rules` for documents of any length, null where `raw_points` is null."""
+    kind = f"struct<points:array<{POINT}>,edges:array<{EDGE}>,issues:array<{ISSUE}>>"
+
+    def rules(points: pa.Array, edges: pa.Array) -> pa.Array:
+        return graph_arrays.graphs(points, edges, detail)
+
+    return F.arrow_udf(rules, kind)(raw_points, raw_edges)
+
+
+def normalize_documents(docs: DataFrame, detail: str = "messages", long: int | None = None) -> DataFrame:
     """Add `points`, `edges` and `issues` to documents with `raw_points` and `raw_edges`.
 
     `detail` says how far issues are worked out: "messages", "codes" (no text, enough for counting) or "none" (empty).
+    The rules as column expressions compare each element with all others of its document. With `long`, documents of more
+    elements than that take the form that sorts them; callers whose documents have no bound pass it.
     """
     if detail not in ("messages", "codes", "none"):
         raise ValueError(f"unknown detail: {detail}")
-    done = docs.withColumn("_graph", _graph_rules(F.col("raw_points"), F.col("raw_edges"), detail))
+    if long is None:
+        done = docs.withColumn("_graph", _graph_rules(F.col("raw_points"), F.col("raw_edges"), detail))
+    else:
+        is_long = F.greatest(F.size("raw_points"), F.size("raw_edges")) > long
+        pick = lambda c: F.when(is_long, F.col(c))
+        sorted_form = docs.withColumn("_long", _long_graphs(pick("raw_points"), pick("raw_edges"), detail))
+        short = lambda c: F.when(~is_long, F.col(c))
+        rules = F.when(~is_long, _graph_rules(short("raw_points"), short("raw_edges"), detail))
+        done = sorted_form.withColumn("_graph", F.coalesce("_long", rules))
     return done.select(*docs.columns, "_graph.points", "_graph.edges", "_graph.issues")
 
 
@@ -353,20 +375,6 @@ def split_by_size(points: DataFrame, edges: DataFrame, limit: int = DOCUMENT_LIM
     return group_documents(*part("left_anti")), tuple(materialize(t, "large") for t in part("left_semi"))
 
 
-def split_documents(docs: DataFrame, limit: int = DOCUMENT_LIMIT) -> tuple[DataFrame, DataFrame | None]:
-    """(documents to handle inside their row, larger ones or None)."""
-    size = F.greatest(F.size("raw_points"), F.size("raw_edges"))
-    largest = docs.agg(F.max(size)).first()[0]
-    if largest is None or largest <= limit:
-        return docs, None
-    return docs.where(size <= limit), materialize(docs.where(size > limit), "large")
-
-
-def element_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Raw points and links of documents as rows, for `normalize_large`."""
-    return docs.select("sample_id", F.inline("raw_points")), docs.select("sample_id", F.inline("raw_edges"))
-
-
 def normalize_tables(points: DataFrame, edges: DataFrame, limit: int = DOCUMENT_LIMIT) -> Normalized:
     """Normalised points, edges and issues of element tables (see RAW_POINT and RAW_EDGE for the columns)."""
     docs, large = split_by_size(points, edges, limit)
@@ -381,6 +389,19 @@ def normalize_tables(points: DataFrame, edges: DataFrame, limit: int = DOCUMENT_
     )
 
 
+def document_rows(points: DataFrame, edges: DataFrame, limit: int = DOCUMENT_LIMIT) -> DataFrame:
+    """One row (sample_id, points, edges) of every sample of element tables, normalised, whatever its size.
+
+    For callers that need documents as such. Large samples are worked out as tables and gathered when done.
+    """
+    docs, large = split_by_size(points, edges, limit)
+    ordinary = normalize_documents(docs, "none").select("sample_id", "points", "edges")
+    if large is None:
+        return ordinary
+    heads = large[0].select("sample_id").unionByName(large[1].select("sample_id")).distinct()
+    return ordinary.unionByName(regroup_documents(normalize_large(*large), heads))
+
+
 # ---------------------------------------------------------------- review clean-up
 
 
@@ -427,7 +448,7 @@ def rounded_points(points: DataFrame) -> DataFrame:
     )
 
 
-def normalize_rows(docs: DataFrame) -> DataFrame:
-    """Document rows in, finished documents out (graph rules, then whole-document rules)."""
-    return finish_documents(normalize_documents(docs))
+def normalize_rows(docs: DataFrame, detail: str = "messages", long: int = DOCUMENT_LIMIT) -> DataFrame:
+    """Document rows of any length in, finished documents out (graph rules, then whole-document rules)."""
+    return finish_documents(normalize_documents(docs, detail, long))
 

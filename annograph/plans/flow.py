@@ -19,16 +19,8 @@ def inspect_folders(spark: SparkSession, image_dir: str, annotation_dir: str) ->
         "sample_id", "json_path", "readable", "is_object", "width", "height",
         F.coalesce(facts["image_path"], F.concat("sample_id", F.lit(".png"))).alias("image_path"), "raw_points", "raw_edges",
     )
-    docs, large = normalize.split_documents(named)
-    docs = materialize(normalize.normalize_rows(docs).drop("raw_points", "raw_edges"), "normalized")
+    docs = materialize(normalize.normalize_rows(named).drop("raw_points", "raw_edges"), "normalized")
     stats, issues = validate.document_stats(docs), docs.select("sample_id", F.inline("issues"))
-    if large is not None:
-        rest = normalize.normalize_large(*normalize.element_tables(large))
-        heads = large.select("sample_id", "json_path", "readable", "is_object", "width", "height")
-        stats = stats.unionByName(validate.table_stats(rest, heads))
-        issues = issues.unionByName(rest.issues)
-        whole = normalize.regroup_documents(rest, large.select("sample_id", "width", "height"))
-        docs = docs.select("sample_id", "width", "height", "points", "edges").unionByName(materialize(whole, "normalized"))
     return materialize(validate.inspect(facts, stats), "inspected"), docs, issues
 
 

@@ -48,5 +48,5 @@ def test_flow(spark, tmp_path):
 
 
 def test_flow_with_large_documents(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(N.split_documents, "__defaults__", (4,))
+    monkeypatch.setattr(N.normalize_rows, "__defaults__", ("messages", 4))
     check(spark, tmp_path)

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from annograph.operators import normalize as N
@@ -198,3 +199,43 @@ def test_ids_beyond_32_bits(spark):
     assert sorted((p.id, p.x) for p in large.points.collect()) == [(0, 3.0), (1, 1.0), (2, 0.0), (3, 2.0)]
     assert sorted((e.src, e.dst) for e in large.edges.collect()) == [(0, 3), (1, 2)]
     assert {i.code for i in large.issues.collect()} == {i.code for i in row.issues} == {"POINT_ID_DUP", "EDGE_DANGLING"}
+
+
+def mixed_documents(spark, seed=23):
+    """Documents with broken elements of every kind, as parsed rows."""
+    rng = random.Random(seed)
+    texts = []
+    for n in range(60):
+        ids = rng.choice([3, 10, 60])
+        point = lambda: rng.choice([7, None, {"x": 1}, {"id": "q", "x": 1, "y": 2}] + [{"id": rng.randint(-2, ids), "x": rng.random(), "y": 2, **rng.choice([{}, {"score": None}, {"score": 0.5, "source": "s"}])}] * 9)
+        link = lambda: rng.choice([5, {"src": 1}] + [{"src": rng.randint(-2, ids), "dst": rng.randint(-2, ids), **rng.choice([{}, {"label": "x"}, {"label": 3, "edge_id": ""}, {"edge_id": "mine"}])}] * 9)
+        texts.append((f"p/{n}.json", str(n), json.dumps({"points": [point() for _ in range(rng.randint(0, 40))], "edges": [link() for _ in range(rng.randint(0, 60))]})))
+    return parse_annotations(spark.createDataFrame(texts, "path string, stem string, raw string")).where(F.lit(True))
+
+
+@pytest.mark.parametrize("detail", ["messages", "codes", "none"])
+def test_sorted_form_equals_the_column_form(spark, detail):
+    docs = mixed_documents(spark).select("sample_id", "raw_points", "raw_edges")
+    rows = lambda long: {r.sample_id: (r.points, r.edges, r.issues) for r in N.normalize_documents(docs, detail, long).collect()}
+    one = rows(None)
+    assert rows(0) == one == rows(20)
+    assert detail == "none" or {i.code for r in one.values() for i in r[2]} >= {"POINT_NOT_OBJECT", "POINT_INVALID", "POINT_ID_DUP", "VALUE_INVALID", "EDGE_NOT_OBJECT", "EDGE_INVALID", "EDGE_DANGLING", "EDGE_SELF_LOOP", "EDGE_DUP"}
+
+
+def test_document_rows_have_all_sizes(spark):
+    points, edges, raw = random_tables(spark, seed=5, samples=40)
+    plain = {r.sample_id: (r.points, r.edges) for r in N.document_rows(points, edges).collect()}
+    assert plain == {r.sample_id: (r.points, r.edges) for r in N.document_rows(points, edges, limit=10).collect()}
+    assert set(plain) == set(raw)
+
+
+def test_long_document_is_normalised_in_its_row(spark):
+    n = 300_000
+    text = json.dumps({"points": [{"id": i // 2, "x": i, "y": 0} for i in range(n)], "edges": [{"src": i, "dst": i + 1} for i in range(n)]})
+    row = N.normalize_rows(parse_annotations(spark.createDataFrame([("p/s.json", "s", text)], "path string, stem string, raw string")), "codes").select(
+        F.size("points").alias("p"), F.size("edges").alias("e"), F.size("issues").alias("i"), F.col("points")[0]["x"].alias("x"), F.col("edges")[n - 3]["edge_id"].alias("name")
+    ).first()
+    given = fold([i // 2 for i in range(n)])
+    kept, codes = len({(i, i + 1) for i in range(n)} & {(i, i + 1) for i in range(max(given))}), n - max(given)
+    assert (row.p, row.e) == (n, kept) and row.x == 0.0 and row.name == f"edge_{n - 2:04d}"
+    assert row.i == sum(g != i // 2 for i, g in enumerate(given)) + codes + 1
