@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import time
 
 from pyspark.sql import DataFrame, functions as F
@@ -12,52 +10,25 @@ from annograph.operators.evaluate import corpus_metrics
 from annograph.operators.export import export_counters
 from annograph.operators.validate import ValidationResult
 from annograph.schemas import METRIC_FIELDS
+from annograph.sinks import files
 
 
 def write_annotations(documents: DataFrame, out: str, layout: str = "dataset", name: str = "json_dst", body: str = "body") -> None:
-    """`dataset`: one parquet dataset of (name, body). `files`: one UTF-8 file per row, written by the executors.
-
-    A finished file is renamed into place, so a task that runs again leaves the same file.
-    """
+    """`dataset`: one parquet dataset of (name, body). `files`: one UTF-8 file per row, all of them or none."""
     if layout == "dataset":
         documents.select(name, body).write.mode("errorifexists").parquet(out)
-        return
-    if layout != "files":
+    elif layout == "files":
+        files.write_files(documents, out, name, body, indent=2)
+    else:
         raise ValueError(f"unknown layout: {layout}")
 
-    def save(rows):
-        import json
-
-        for row in rows:
-            target = row[name] if os.path.isabs(row[name]) else os.path.join(out, row[name])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            partial = f"{target}.{os.getpid()}.{time.time_ns()}.part"
-            with open(partial, "w", encoding="utf-8") as f:
-                json.dump(json.loads(row[body]), f, ensure_ascii=False, indent=2)
-            os.replace(partial, target)
-
-    documents.select(name, body).foreachPartition(save)
-
 
 def copy_files(manifest: DataFrame, src: str = "src", dst: str = "dst", overwrite: bool = False) -> None:
-    """Copy files named by a manifest on the executors. Existing targets are skipped unless `overwrite`.
+    """Copy files named by a manifest, all or none. Existing targets are skipped unless `overwrite`.
 
     A move is this copy followed by the caller's own removal of `src`; nothing is deleted here.
     """
-
-    def copy(rows):
-        for row in rows:
-            a, b = row[src], row[dst]
-            a = a[5:] if a.startswith("file:") else a
-            a = "/" + a.lstrip("/")
-            if os.path.exists(b) and not overwrite:
-                continue
-            os.makedirs(os.path.dirname(b), exist_ok=True)
-            partial = f"{b}.{os.getpid()}.{time.time_ns()}.part"
-            shutil.copy2(a, partial)
-            os.replace(partial, b)
-
-    manifest.select(src, dst).where(f"{src} is not null and {dst} is not null").foreachPartition(copy)
+    files.copy(manifest, src, dst, overwrite)
 
 
 def write_export(manifest: DataFrame, documents: DataFrame, out: str) -> DataFrame:
