@@ -8,6 +8,7 @@ from annograph import bridge
 from annograph.catalog.registry import BASE, NORMALIZED, query, r6, with_ctes
 from annograph.catalog.validation import tables
 from annograph.operators import augment as A, graph as G, normalize as N
+from annograph.operators.space import nearest_tiled, pairs_within
 from annograph.plans.session import materialize
 
 
@@ -42,12 +43,12 @@ NODES = """nodes AS MATERIALIZED (
 GRAPH = (*NORMALIZED, PAIRS)
 
 
-@query("j11_pair_distances", with_ctes("SELECT sample_id, i, count(*) AS n, round(sum(d), 6) AS total FROM pairs WHERE d <= 64 GROUP BY 1, 2", *GRAPH))
+@query("j11_pair_distances", with_ctes("SELECT sample_id, i, count(*) AS n, round(sum(d), 6) AS total FROM pairs GROUP BY 1, 2", *GRAPH))
 def pair_distances(spark, d):
-    """Ordered pairs within 64 pixels; cells of that size keep far pairs from being formed."""
+    """All ordered pairs of every sample."""
     points = normal_form(spark, d).points
-    reach = points.select("sample_id").distinct().withColumn("radius", F.lit(64.0))
-    return G.within_radius(points, reach).groupBy("sample_id", "i").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d"), "total"))
+    reach = points.select("sample_id").distinct().withColumn("radius", F.lit(float("inf")))
+    return pairs_within(points, reach).groupBy("sample_id", "i").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("d"), "total"))
 
 
 @query("w4_nearest_ranks", with_ctes("SELECT sample_id, i, j, round(d, 6) AS d, rank FROM pairs WHERE rank <= 8", *GRAPH))
@@ -57,8 +58,8 @@ def nearest_ranks(spark, d):
 
 @query("w4_nearest_ranks_grid", with_ctes("SELECT sample_id, i, j, round(d, 6) AS d, rank FROM pairs WHERE rank <= 8", *GRAPH))
 def nearest_ranks_grid(spark, d):
-    """The grid search that large samples take, on all samples."""
-    return G.nearest_grid(materialize(normal_form(spark, d).points, "points"), 8).withColumn("d", r6("d"))
+    """The search that large samples take, on all samples."""
+    return nearest_tiled(materialize(normal_form(spark, d).points, "points"), 8).withColumn("d", r6("d"))
 
 
 @query("w5_nearest_and_mean3", with_ctes("SELECT sample_id, i, round(nearest, 6) AS nearest, round(mean3, 6) AS mean3 FROM near", *GRAPH))
@@ -91,12 +92,12 @@ def neighbour_candidates(spark, d):
     return G.candidate_edges(pairs).drop("label")
 
 
-@query("j12_neighbour_candidates_grid", with_ctes("SELECT DISTINCT p.sample_id, least(i, j) AS u, greatest(i, j) AS v FROM pairs p JOIN gaps USING (sample_id) WHERE d <= spacing * 1.1 OR rank <= 2", *GRAPH))
+@query("j12_neighbour_candidates_grid", with_ctes("SELECT DISTINCT p.sample_id, least(i, j) AS u, greatest(i, j) AS v FROM pairs p JOIN gaps USING (sample_id) WHERE d <= spacing * 2.5 OR rank <= 8", *GRAPH))
 def neighbour_candidates_grid(spark, d):
-    """Cells of the search radius instead of all pairs, on all samples (k = 2, radius 1.1)."""
+    """The form that large samples take, on all samples."""
     points = normal_form(spark, d).points
     more = points.join(points.where("id = 1").select("sample_id"), "sample_id", "left_semi")
-    _, pairs = G.neighbour_graph(more, k=2, radius_multiplier=1.1, limit=0)
+    _, pairs = G.neighbour_graph(more, limit=0)
     return G.candidate_edges(pairs).drop("label")
 
 

@@ -1,16 +1,17 @@
 """Graph features: neighbour pairs, spacing, candidate links, node and link features, splits and summaries.
 
 Points come normalised: ids of a sample are 0..n-1. Samples of at most PAIR_LIMIT points compare all their points (the
-k nearest alone already name most pairs there). Larger samples use a grid and touch neighbouring cells only.
+k nearest alone already name most pairs there). Larger samples are searched by tiles and leaves (`space`).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from annograph.operators.normalize import let
+from annograph.operators.space import nearest_tiled, pairs_within
 from annograph.plans.session import materialize
 from annograph.plans.skew import running, split_hot
 from annograph.schemas import DEFAULT_SIDE, DEFAULT_SPACING
@@ -55,7 +56,7 @@ def nearest_points(points: DataFrame, k: int = 8, limit: int = PAIR_LIMIT) -> Da
     near = let(F.array_sort("p"), lambda p: F.transform(p, lambda a: F.struct(a["id"].alias("i"), F.slice(_near_of(a, p), 1, k).alias("near"))))
     each = packed.select("sample_id", F.inline(near)).select("sample_id", "i", F.posexplode("near").alias("r", "n"))
     ranked = each.select("sample_id", "i", F.col("n.j").alias("j"), F.col("n.d").alias("d"), (F.col("r") + 1).alias("rank"))
-    return ranked if large is None else ranked.unionByName(nearest_grid(materialize(large, "points"), k))
+    return ranked if large is None else ranked.unionByName(nearest_tiled(materialize(large, "points"), k))
 
 
 def spacing(points: DataFrame, default: float = DEFAULT_SPACING, limit: int = PAIR_LIMIT) -> DataFrame:
@@ -67,7 +68,7 @@ def spacing(points: DataFrame, default: float = DEFAULT_SPACING, limit: int = PA
     out = packed.select("sample_id", F.coalesce(known, F.lit(float(default))).alias("spacing"))
     if large is None:
         return out
-    return out.unionByName(spacing_large(nearest_stats(nearest_grid(materialize(large, "points"), NEAR))))
+    return out.unionByName(spacing_large(nearest_stats(nearest_tiled(materialize(large, "points"), NEAR))))
 
 
 def _near_of(a: Column, p: Column) -> Column:
@@ -106,74 +107,6 @@ def spacing_large(stats: DataFrame) -> DataFrame:
     return _weighted_quantiles(kept.select("sample_id", "v"), {"spacing": 0.5})
 
 
-def _around(cells: DataFrame) -> DataFrame:
-    """Each row once for every cell of its 3 by 3 neighbourhood, under the neighbour's cell key."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    near = cells.withColumn("s", F.explode(steps))
-    return near.withColumn("cx", F.col("cx") + F.col("s.a")).withColumn("cy", F.col("cy") + F.col("s.b")).drop("s")
-
-
-def nearest_grid(points: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest (sample_id, i, j, d, rank) for samples of any size.
-
-    Points at one spot are interchangeable but for their index, so a spot offers its k+1 lowest indices only. The cell
-    side doubles until k neighbours lie within one cell side, which the 3 by 3 block is sure to cover.
-    """
-    spot_rank = W.partitionBy("sample_id", "x", "y").orderBy("id")
-    offered = points.select("sample_id", "id", "x", "y").withColumn("r", F.row_number().over(spot_rank)).where(F.col("r") <= k + 1).drop("r")
-    spots = offered.groupBy("sample_id", "x", "y").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    box = points.groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-6)).alias("side"),
-    )
-    spots = materialize(spots.join(box, "sample_id").withColumn("cell", F.col("side") / F.sqrt("n") * 2), "spots")
-    # a source spot needs k neighbours besides the asking point itself, hence k+1 entries with itself included
-    waiting, found, scale = spots, [], 1.0
-    while True:
-        size = F.col("cell") * scale
-        place = lambda t: t.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-        sources = place(waiting).select("sample_id", "cx", "cy", "x", "y", size.alias("reach"), "side")
-        targets = _around(place(spots).select("sample_id", "cx", "cy", F.col("x").alias("tx"), F.col("y").alias("ty"), "ids"))
-        dx, dy = F.col("x") - F.col("tx"), F.col("y") - F.col("ty")
-        near = sources.join(targets, ["sample_id", "cx", "cy"]).select(
-            "sample_id", "x", "y", "reach", "side", F.sqrt(dx * dx + dy * dy).alias("d"), F.explode("ids").alias("j")
-        )
-        order = W.partitionBy("sample_id", "x", "y").orderBy("d", "j")
-        best = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-        lists = materialize(
-            best.groupBy("sample_id", "x", "y").agg(
-                F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"), F.first("reach").alias("reach"), F.first("side").alias("side")
-            ),
-            "near",
-        )
-        sure = ((F.size("near") == k + 1) & (F.get(F.col("near"), F.lit(k))["d"] <= F.col("reach"))) | (F.col("reach") > F.col("side"))
-        found.append(lists.where(sure).select("sample_id", "x", "y", "near"))
-        open_spots = lists.where(~sure).select("sample_id", "x", "y")
-        if not open_spots.limit(1).count():
-            break
-        waiting = materialize(spots.join(open_spots, ["sample_id", "x", "y"], "left_semi"), "spots")
-        scale *= 2
-    known = found[0]
-    for part in found[1:]:
-        known = known.unionByName(part)
-    own = points.select("sample_id", F.col("id").alias("i"), "x", "y").join(known, ["sample_id", "x", "y"])
-    others = F.slice(F.filter("near", lambda n: n["j"] != F.col("i")), 1, k)
-    return own.select("sample_id", "i", F.posexplode(others).alias("r", "n")).select(
-        "sample_id", "i", F.col("n.j").alias("j"), F.col("n.d").alias("d"), (F.col("r") + 1).alias("rank")
-    )
-
-
-def within_radius(points: DataFrame, radius: DataFrame) -> DataFrame:
-    """Ordered pairs (sample_id, i, j, d) with d <= radius of the sample, through cells of that size."""
-    placed = points.join(radius, "sample_id")
-    placed = placed.withColumn("cx", F.floor(F.col("x") / F.greatest("radius", F.lit(1e-6)))).withColumn("cy", F.floor(F.col("y") / F.greatest("radius", F.lit(1e-6))))
-    a = placed.select("sample_id", "cx", "cy", F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), "radius")
-    b = _around(placed.select("sample_id", "cx", "cy", F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")))
-    dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-    joined = a.join(b, ["sample_id", "cx", "cy"]).where("i <> j").withColumn("d", F.sqrt(dx * dx + dy * dy))
-    return joined.where("d <= radius").select("sample_id", "i", "j", "d")
-
-
 # ---------------------------------------------------------------- nodes, candidates, features
 
 
@@ -228,12 +161,12 @@ def _small_graph(points: DataFrame, radius_multiplier: float, k: int) -> tuple[D
 
 def _large_graph(points: DataFrame, radius_multiplier: float, k: int) -> tuple[DataFrame, DataFrame]:
     points = materialize(points, "points")
-    near = materialize(nearest_grid(points, max(k, NEAR)), "near")
+    near = materialize(nearest_tiled(points, max(k, NEAR)), "near")
     stats = nearest_stats(near)
     sizes = points.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
     space = materialize(spacing_large(stats), "spacing")
     reach = max(radius_multiplier, RING_2)
-    wide = materialize(within_radius(points, space.select("sample_id", (F.col("spacing") * reach).alias("radius"))), "radius")
+    wide = materialize(pairs_within(points, space.select("sample_id", (F.col("spacing") * reach).alias("radius"))), "radius")
     wide = wide.join(space, "sample_id")
     rings = wide.groupBy("sample_id", "i").agg(
         F.count_if(F.col("d") <= F.col("spacing") * RING_1).cast("int").alias("ring1"),

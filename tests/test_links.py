@@ -142,18 +142,6 @@ def test_merge_forms_agree_with_ties_and_equal_spots(spark):
     assert len(a) == len(b) > 20
 
 
-def test_grid_search_equals_brute_force(spark):
-    rng = random.Random(2)
-    spots = [(float(rng.randint(0, 40)), float(rng.randint(0, 40))) for _ in range(150)] + [(500.0, 500.0)] + [(7.0, 7.0)] * 30
-    df = spark.createDataFrame([(1, i, x, y, 1.0) for i, (x, y) in enumerate(spots)], "sample_id long, id int, x double, y double, score double")
-    got = {}
-    for r in G.nearest_grid(df, 8).collect():
-        got.setdefault(r.i, []).append((r.d, r.j))
-    for i, a in enumerate(spots):
-        expected = sorted((math.dist(a, b), j) for j, b in enumerate(spots) if j != i)[:8]
-        assert [j for _, j in sorted(got[i])] == [j for _, j in expected]
-
-
 def test_large_features_equal_small_ones(spark):
     rng = random.Random(6)
     rows = [(s, i, rng.uniform(0, 200), rng.uniform(0, 200), rng.random()) for s in range(4) for i in range(40)]
