@@ -1,14 +1,17 @@
 """Quality rules: how far a document's character classes and common words diverge from those of its language.
 
-References are the summed histograms of each language's documents that pass the base rules. A document is rejected if
-its Jensen-Shannon distance to every reference is too large; short documents are not judged by histograms.
+References are the summed histograms of each language's documents that pass the base rules. Words listed for a language are
+the fixed ones below or, for every other language with at least `REFERENCE_DOCS` documents, its own most frequent words. A
+document is rejected if its Jensen-Shannon distance to every reference is too large; short documents, and those of a
+language without a reference, are not judged by histograms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annograph.llm.common import BETWEEN_VISIBLE, SPACE, let, stored, unpack, words_of
 
@@ -20,6 +23,8 @@ COMMON_WORDS = {
     "fr": "de la le et les des en un du une que est pour qui dans par sur pas au avec",
 }
 LISTED = sorted({w for words in COMMON_WORDS.values() for w in words.split()})
+#: Documents from which a language outside the fixed lists gets a reference, and the words listed for it.
+REFERENCE_DOCS, REFERENCE_WORDS = 20, 24
 CLASSES = ("space", "upper", "lower", "digit", "symbol", "other")
 #: Words from which a histogram is judged, and the largest distances (0 to 1) to the nearest language.
 MIN_WORDS = 50
@@ -54,10 +59,27 @@ def repeated_words(words: Column, size: int = 5) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) <= size, 0).otherwise(let(windows(h), covered))).cast("long")
 
 
-def _tally(words: Column) -> Column:
-    """Sorted structs of (number in `LISTED`, count) of the listed words."""
-    listed = F.array(*[F.lit(w) for w in LISTED])
-    numbers = F.array_sort(F.transform(F.filter(words, lambda w: w.isin(*LISTED)), lambda w: F.array_position(listed, w).cast("int")))
+def frequent_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
+    """The most frequent words of every language that has documents enough and no fixed list: `REFERENCE_WORDS` a language
+    reach the driver. Of equally frequent words the first in code-point order is taken."""
+    lang = F.col(lang_col).cast("string")
+    counts = docs.groupBy(lang.alias("language")).count().where(F.col("language").isNotNull() & ~F.col("language").isin(*COMMON_WORDS) & (F.col("count") >= REFERENCE_DOCS))
+    others = [r["language"] for r in counts.collect()]
+    if not others:
+        return {}
+    words = docs.where(lang.isin(*others)).select(lang.alias("language"), F.explode(words_of(F.col(text_col))).alias("word"))
+    place = F.row_number().over(W.partitionBy("language").orderBy(F.desc("count"), "word"))
+    top = words.groupBy("language", "word").count().withColumn("place", place).where(F.col("place") <= REFERENCE_WORDS)
+    found: dict[str, list[str]] = {}
+    for r in top.collect():
+        found.setdefault(r["language"], []).append(r["word"])
+    return found
+
+
+def _tally(words: Column, listed: Sequence[str]) -> Column:
+    """Sorted structs of (number in `listed`, count) of the listed words."""
+    every = F.array(*[F.lit(w) for w in listed])
+    numbers = F.array_sort(F.transform(F.filter(words, lambda w: w.isin(*listed)), lambda w: F.array_position(every, w).cast("int")))
 
     def runs(s: Column) -> Column:
         ends = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
@@ -66,7 +88,7 @@ def _tally(words: Column) -> Column:
     return let(numbers, runs)
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text_col: str = "text", listed: Sequence[str] = LISTED) -> DataFrame:
     """Packed rows of `docs` with the base counts, `base_failed` and the two histograms."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, BETWEEN_VISIBLE), lambda w: w != "")
@@ -77,7 +99,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")
         ),
     )
-    by_common = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_plain"), _tally(w).alias("tally")))
+    by_common = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_plain"), _tally(w, listed).alias("tally")))
     counted = docs.select(
         F.struct("*").alias("row"), by_words.alias("a"), by_common.alias("b"), F.char_length(text).cast("long").alias("chars"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -89,17 +111,17 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counted.withColumns({"n_symbols": F.col("symbol"), "space": space, "other": other, "base_failed": failed}).drop("chars")
 
 
-def references(measured: DataFrame, lang: Column) -> dict[str, tuple[list[float], list[float]]]:
-    """(class shares, listed word shares and the rest) of each language of `COMMON_WORDS` that has text: at most one row
-    a language and one a listed word reach the driver."""
-    good = measured.where(~F.col("base_failed") & lang.isin(*COMMON_WORDS)).withColumn("language", lang)
+def references(measured: DataFrame, lang: Column, languages: Sequence[str] = tuple(COMMON_WORDS), listed: Sequence[str] = LISTED) -> dict[str, tuple[list[float], list[float]]]:
+    """(class shares, listed word shares and the rest) of each of the languages that has text: at most one row a language
+    and one a listed word reach the driver."""
+    good = measured.where(~F.col("base_failed") & lang.isin(*languages)).withColumn("language", lang)
     classes = good.groupBy("language").agg(*[F.sum(c).alias(c) for c in (*CLASSES, "n_plain")]).collect()
     words = good.select("language", F.explode("tally").alias("t")).groupBy("language", "t.w").agg(F.sum("t.n").alias("n")).collect()
     found = {}
     for row in classes:
         total, plain = sum(row[c] for c in CLASSES), row["n_plain"]
         if total and plain:
-            shares = [0.0] * len(LISTED)
+            shares = [0.0] * len(listed)
             for w in words:
                 if w["language"] == row["language"]:
                     shares[w["w"] - 1] = w["n"] / plain
@@ -148,12 +170,16 @@ def judge(
 
     Base rules fail a document of under 10 words, or with over a fifth of its words in repeated five-word windows. Of
     the others, those of at least `min_words` words are kept if both distances are within their bounds; shorter ones are
-    kept without that test, as are all where no language has a reference. Null and empty texts have no words and fail.
-    `lang_col` only chooses what a reference is made from; null or unlisted languages make none. Equal rows are judged
-    alike; existing columns of the added names are replaced.
+    kept without that test, as are those of a language without a reference, and all where no language has one. Null and
+    empty texts have no words and fail. `lang_col` only chooses what a reference is made from and whether there is one; a
+    null language makes none, and its documents are compared with all. Equal rows are judged alike; existing columns of
+    the added names are replaced.
     """
-    measured = stored(measure(docs, text_col), "measured")
-    known = references(measured, F.col("row")[lang_col])
+    lists = {**{x: words.split() for x, words in COMMON_WORDS.items()}, **frequent_words(docs, text_col, lang_col)}
+    listed = sorted({w for words in lists.values() for w in words})
+    measured = stored(measure(docs, text_col, listed), "measured")
+    lang = F.col("row")[lang_col].cast("string")
+    known = references(measured, lang, tuple(lists), listed)
     far = {"class_distance": F.lit(None).cast("double"), "word_distance": F.lit(None).cast("double")}
     if known:
         worded = F.col("n_plain") > 0
@@ -163,6 +189,8 @@ def judge(
         }
     near = (F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)
     kept = ~F.col("base_failed") & ((F.col("n_words") < min_words) | F.coalesce(near, F.lit(True)))
+    if known:
+        kept = kept | (~F.col("base_failed") & F.coalesce(~lang.isin(*known), F.lit(False)))
     judged = measured.withColumns(far).withColumn("kept", kept)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
     return unpack(judged, {n: F.col(n) for n in names})

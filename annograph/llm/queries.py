@@ -156,10 +156,13 @@ LANGS_SQL = ", ".join(f"'{x}'" for x in quality.COMMON_WORDS)
 @query(
     "op7_quality_rules",
     rf"""
-WITH listed(word) AS (VALUES {LISTED_SQL}),
-t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
   list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS plain FROM t),
+others AS (SELECT lang, word FROM (
+  SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM (SELECT lang, unnest(plain) AS word FROM w)
+  WHERE lang IN (SELECT lang FROM t GROUP BY lang HAVING count(*) >= {quality.REFERENCE_DOCS}) AND lang NOT IN ({LANGS_SQL}) GROUP BY lang, word) WHERE place <= {quality.REFERENCE_WORDS}),
+listed AS (SELECT word FROM (VALUES {LISTED_SQL}) fixed(word) UNION SELECT word FROM others),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
@@ -172,7 +175,7 @@ m AS (
 bins AS (
   SELECT doc_id, bin, n FROM (SELECT doc_id, chars - word_chars AS c1, upper AS c2, lower AS c3, digit AS c4, n_symbols AS c5, word_chars - n_symbols - upper - lower - digit AS c6 FROM m)
   UNPIVOT (n FOR bin IN (c1, c2, c3, c4, c5, c6))),
-good AS (SELECT doc_id, lang FROM m WHERE NOT base_failed AND lang IN ({LANGS_SQL})),
+good AS (SELECT doc_id, lang FROM m WHERE NOT base_failed AND (lang IN ({LANGS_SQL}) OR lang IN (SELECT lang FROM others))),
 qc AS (SELECT lang, bin, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM bins JOIN good USING (doc_id) GROUP BY lang, bin),
 class AS (
   SELECT doc_id, min(d) AS d FROM (
@@ -192,7 +195,7 @@ word AS (
         FROM m CROSS JOIN rest LEFT JOIN near ON near.doc_id = m.doc_id AND near.lang = rest.lang WHERE n_plain > 0)
   GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (n_words < {quality.MIN_WORDS} OR (coalesce(class.d, 0) <= {quality.MAX_CLASS_DISTANCE} AND CASE WHEN n_plain = 0 THEN 1 ELSE coalesce(word.d, 0) END <= {quality.MAX_WORD_DISTANCE})) AS kept
+  NOT base_failed AND (n_words < {quality.MIN_WORDS} OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM total)) OR (coalesce(class.d, 0) <= {quality.MAX_CLASS_DISTANCE} AND CASE WHEN n_plain = 0 THEN 1 ELSE coalesce(word.d, 0) END <= {quality.MAX_WORD_DISTANCE})) AS kept
 FROM m LEFT JOIN class USING (doc_id) LEFT JOIN word USING (doc_id)
 """,
 )

@@ -129,7 +129,23 @@ def test_quality(spark):
         near = (r["class_distance"] or 0) <= quality.MAX_CLASS_DISTANCE and (r["word_distance"] or 0) <= quality.MAX_WORD_DISTANCE
         assert r["kept"] == (not r["base_failed"] and (r["n_words"] < 50 or near))
     assert quality.judge(df.where("false")).count() == 0
-    assert quality.judge(df.withColumn("lang", df["kept"])).where("kept <> (not base_failed)").count() == 0
+    assert quality.judge(df.withColumn("lang", df["doc_id"].cast("string"))).where("kept <> (not base_failed)").count() == 0
+
+
+def test_quality_of_other_languages(spark):
+    """Languages without a fixed list get their own words; rare ones are not judged; their junk still goes."""
+    rng = random.Random(9)
+    script = {"ru": "абвгдежзиклмнопрст", "ar": "ابتثجحخدذرزسشصض", "ko": "가나다라마바사아자차", "en": "abcdefghijklmno"}
+    words = {x: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(60)] for x, letters in script.items()}
+    text = lambda x: " ".join(rng.choices(words[x], [1 / (k + 1) for k in range(60)], k=rng.randint(60, 150)))
+    docs = [(n, text(x), x) for n, x in enumerate(["ru"] * 40 + ["ar"] * 40 + ["ko"] * 5)]
+    docs += [(200 + n, " ".join("the of and to in a is that for".split()[rng.randrange(9)] if rng.random() < 0.4 else rng.choice(words["en"]) for _ in range(90)), "en") for n in range(30)]
+    docs += [(300, " ".join("".join(rng.choice("#$%0123") for _ in range(6)) for _ in range(90)), "ru")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(docs, "doc_id bigint, text string, lang string")).collect()}
+    assert {i for i, r in got.items() if not r["kept"]} == {300} | {i for i, r in got.items() if r["base_failed"]}
+    assert sum(r["base_failed"] for r in got.values()) < 5
+    found = quality.frequent_words(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert set(found) == {"ru", "ar"} and all(len(w) == quality.REFERENCE_WORDS for w in found.values())
 
 
 def test_quality_keeps_good_rows(spark):
