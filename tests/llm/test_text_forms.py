@@ -3,6 +3,7 @@
 import html
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
@@ -116,6 +117,57 @@ def test_all_stretches_of_a_page(page, text):
     assert html_text.extract(page) == text
 
 
+SENTENCE = "A sentence of the article with words enough to count as text, and a few more of them. "
+WHOLE = SENTENCE.strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h2>Teaser</h2></article><div><p>{SENTENCE * 3}</p><p>{SENTENCE * 4}</p></div>", f"{(SENTENCE * 3).strip()}\n{(SENTENCE * 4).strip()}"),
+        (f"<p class='notice'>Cookie<p>{SENTENCE}", WHOLE),
+        (f"<ul><li class='share'>Tweet<li>item</ul><div><p>{SENTENCE}", f"item\n{WHOLE}"),
+        (f"<div class='layout-sidebar'><p>{SENTENCE}</p></div>", WHOLE),
+        (f"<div class='sidebar'><div class=menu><p>x</p></div><p>{SENTENCE}</p></div>", WHOLE),
+        (f"<div class='sidebar'><p>short</p></div><p>{SENTENCE}</p>", WHOLE),
+        (f"<div class='entry-header'><h1>Headline</h1></div><p>{SENTENCE}</p>", f"Headline\n{WHOLE}"),
+        (f"<div><div><div><p>{SENTENCE * 3}</p></div></div></div><div><div><div><p>Copyright</p></div></div></div>", (SENTENCE * 3).strip()),
+        (f"<div><a>Home</a> | <a>News</a> | <a>Sports</a></div><div><p>{SENTENCE}</p></div>", WHOLE),
+        ("<table><tr class=ad><td>x<td>y<tr><td>a<td>b</table>", "a\nb"),
+        ("<dl><dt>t<dd class=promo>buy<dd>d</dl>", "t\nd"),
+        ("<div><form><p>x</div><p>y", "y"),
+    ],
+)
+def test_weights_of_lines(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_stretches_by_definition():
+    """Window sums and stretches stated anew, on pages of random parts."""
+    draw = random.Random(5)
+    pieces_of = ["<div>", "</div>", "<section>", "</section>", "<p>", "</p>", "<ul><li>", "</ul>", "<article>", "</article>", "<a>link</a>", "x", "some words here ", SENTENCE * 2]
+    for _ in range(500):
+        page = "".join(draw.choice(pieces_of) for _ in range(draw.randint(1, 60)))
+        lines = html_text.lines_of(page)
+        window = lambda i: [x for x in lines[max(0, i - html_text.WINDOW + 1) : i + 1]]
+        sums = [sum(x.weight for x in window(i)) for i in range(len(lines) + html_text.WINDOW)]
+        peak = sums.index(max(sums))
+        factor = html_text.ARTICLE_WEIGHT if any(x.weight > len(x.text) for x in window(peak)) else 1
+        threshold = html_text.SHARE * min(max(sums), html_text.ENOUGH * factor)
+        out = []
+        for _, run in itertools.groupby(range(len(sums)), lambda i: sums[i] > 0):
+            run = list(run)
+            if sums[run[0]] > 0 and max(sums[i] for i in run) >= threshold:
+                last = max(i for i in run if i < len(lines) and lines[i].weight)
+                behind = list(itertools.takewhile(lambda x: x.text, lines[last + 1 : last + html_text.WINDOW]))
+                out += [x.text for x in lines[run[0] : last + 1] + behind if x.text]
+        assert html_text.extract(page) == "\n".join(out), page
+
+
+def test_deep_page():
+    assert html_text.extract("<div>" * 20_000 + "x" + "</section>" * 20_000) == "x"
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, "old"), (1, None, "old"), (2, "<p>" + "word " * 100_000, "old")], "page_id bigint, html string, text string")
     assert sorted(r["n_chars"] for r in html_text.extract_pages(df).collect()) == [0, 0, 499_999]
