@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annograph.functions.text import half_even, stem_of, suffix_of
@@ -157,15 +158,15 @@ def duplicate_groups(hashed: DataFrame, path: str = "path") -> DataFrame:
 def unique_names(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Collision-free destination names: `x.png`, then `x_1.png`, `x_2.png`, ... first free one, in `seq` order.
 
-    `incoming`: seq (32-bit, unique), name. `existing`: name. The r-th file of a name takes the r-th free number: with the
+    `incoming`: seq (unique), name. `existing`: name. The r-th file of a name takes the r-th free number: with the
     taken numbers t sorted, number i of them lies below it when t_i - i <= r, so one running count over the merged
     numbers gives the answer and a very frequent name is never gathered. A new name may spell like a numbered form of
     another incoming name; such clashes are settled in `seq` order by repeating with the earlier results as taken.
     """
-    files = materialize(incoming.select(F.col("seq").cast("int").alias("seq"), "name", stem_of(F.col("name")).alias("stem"), suffix_of(F.col("name")).alias("suffix")), "names")
+    files = materialize(incoming.select(F.col("seq").cast("bigint").alias("seq"), "name", stem_of(F.col("name")).alias("stem"), suffix_of(F.col("name")).alias("suffix")), "names")
     ranked = materialize(rank_rows(files, ["name"], ["seq"], "r").withColumn("r", F.col("r") - 1), "names")
     wanted = ranked.select("name", "stem", "suffix").distinct()
-    outside = existing.select(F.col("name").alias("target"), F.lit(-1).alias("since"), F.lit(None).cast("string").alias("owner")).distinct()
+    outside = existing.select(F.col("name").alias("target"), F.lit(-1).cast("bigint").alias("since"), F.lit(None).cast("string").alias("owner")).distinct()
     taken = outside
     previous = None
     while True:
@@ -223,16 +224,29 @@ def _thresholds(ranked: DataFrame, numbers: DataFrame) -> DataFrame:
     marks = numbers.join(timed, "name", "left_semi").select("name", F.col("since").alias("k"), F.lit(1).alias("kind"), F.col("t").alias("seq"))
     files = ranked.join(timed, "name", "left_semi").select("name", F.col("seq").alias("k"), F.lit(0).alias("kind"), F.lit(0).alias("seq"))
     aged = _running_by_name(marks.unionByName(files), F.col("kind") == 0).where("kind = 1")
-    each = aged.groupBy("name").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("t"), F.col("below").cast("int").alias("late")))).alias("ts"))
-    start = F.struct(F.lit(0).alias("i"), F.expr("cast(array() as array<int>)").alias("ks"))
+    return first.unionByName(_reached(aged.select("name", F.col("seq").alias("t"), F.col("below").alias("late"))))
 
-    def step(state: Column, taken: Column) -> Column:
-        k = taken["t"] - state["i"]
-        return F.when(
-            k >= taken["late"], F.struct((state["i"] + 1).alias("i"), F.concat(state["ks"], F.array(k)).alias("ks"))
-        ).otherwise(state)
 
-    return first.unionByName(each.select("name", F.explode(F.aggregate("ts", start, step)["ks"]).alias("k")))
+def _reached(marks: DataFrame) -> DataFrame:
+    """(name, k) of the marks that count, by t: of the i marks that count before it, k = t - i must be at least `late`.
+
+    The marks stream through a task in order and only the count of the current name is held, so a name may have any number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, i = None, 0
+        for batch in batches:
+            out: list[tuple[str, int]] = []
+            for name, t, late in zip(*[batch.column(c).to_pylist() for c in ("name", "t", "late")]):
+                if name != current:
+                    current, i = name, 0
+                if t - i >= late:
+                    out.append((name, t - i))
+                    i += 1
+            names, ks = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(ks, pa.int64())], names=["name", "k"])
+
+    return marks.repartition("name").sortWithinPartitions("name", "t").mapInArrow(run, "name string, k bigint")
 
 
 def _running_by_name(merged: DataFrame, counted: Column) -> DataFrame:

@@ -82,12 +82,9 @@ def _near_of(a: Column, p: Column) -> Column:
 
 def _weighted_quantiles(values: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Exact linear quantiles of (sample_id, v) without gathering a sample: distinct values with counts, ranked by scan."""
-    counts = values.groupBy("sample_id", "v").agg(F.count(F.lit(1)).alias("c"))
-    spans = counts.groupBy("sample_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    keyed = counts.join(spans, "sample_id").withColumn(
-        "key", F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 2147483000).otherwise(0).cast("int")
-    )
-    ranked = running(materialize(keyed, "quantile"), ["sample_id"], "key", [("upto", "sum", F.col("c"), True)], ["v"])
+    counts = materialize(values.groupBy("sample_id", "v").agg(F.count(F.lit(1)).alias("c")), "quantile")
+    ranked = running(counts, ["sample_id"], "v", [("upto", "sum", F.col("c"), True)])
+    ranked = ranked.join(counts.groupBy("sample_id").agg(F.sum("c").alias("n")), "sample_id")
     out = []
     for name, share in shares.items():
         at = (F.col("n") - 1) * F.lit(share)
@@ -340,7 +337,7 @@ def validation_count(n: int, ratio: float, kind: str = "edges") -> int:
 def split_samples(samples: DataFrame, ratio: float = 0.2, seed: int = 42, kind: str = "edges") -> DataFrame:
     """Add `part` ('train' / 'val') to distinct samples, with the exact validation count.
 
-    Samples are ranked by a seeded 32-bit digest through bucketed totals, so no single task ranks the corpus. One sample
+    Samples are ranked by a seeded 32-bit digest through running totals, so no single task ranks the corpus. One sample
     alone belongs to both parts in the link model and is labelled 'both'.
     """
     n = samples.count()

@@ -422,11 +422,9 @@ def _numbered_links(picked: DataFrame) -> DataFrame:
 
 
 def _numbered_large(picked: DataFrame) -> DataFrame:
-    """The same numbering through running counts over the score range of each sample."""
-    top = picked.groupBy("sample_id").agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
-    share = (F.col("hi") - F.col("score")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))
-    keyed = picked.join(top, "sample_id").withColumn("k", (share * 2147483000).cast("int")).withColumn("s", -F.col("score")).withColumn("f", -F.col("floor"))
-    ranked = running(materialize(keyed, "select"), ["sample_id"], "k", [("n", "sum", F.lit(1), True)], ["s", "f", "at", "turn"])
+    """The same numbering through running counts."""
+    keyed = picked.withColumn("s", -F.col("score")).withColumn("f", -F.col("floor"))
+    ranked = running(keyed, ["sample_id"], "s", [("n", "sum", F.lit(1), True)], ["f", "at", "turn"])
     return _link_rows(ranked.withColumn("n", F.col("n").cast("int")))
 
 

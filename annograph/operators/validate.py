@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annograph.operators.normalize import Normalized, issue, let
-from annograph.plans.skew import BUCKET_BITS
 from annograph.schemas import FINDING_ORDER, ISSUE_TEXT
 
 HISTOGRAM_CAP = 20
@@ -55,12 +54,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("sample_id", "id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+ID_BUCKET_BITS = 16  # consecutive ids that are searched together
+
+
 def overflow_points(edges: DataFrame) -> DataFrame:
     """Per sample: number of points above the degree limit and the first ten ids, as text.
 
     The ten smallest are picked per id bucket first, so a sample with very many of them is never gathered.
     """
-    over = degrees(edges).where(F.col("degree") > MAX_DEGREE).withColumn("b", F.shiftright("id", BUCKET_BITS))
+    over = degrees(edges).where(F.col("degree") > MAX_DEGREE).withColumn("b", F.shiftright("id", ID_BUCKET_BITS))
     counts = over.groupBy("sample_id").agg(F.count(F.lit(1)).cast("int").alias("overflow_count"))
     near = over.withColumn("r", F.row_number().over(W.partitionBy("sample_id", "b").orderBy("id"))).where(F.col("r") <= OVERFLOW_SHOWN)
     near = near.withColumn("r", F.row_number().over(W.partitionBy("sample_id").orderBy("id"))).where(F.col("r") <= OVERFLOW_SHOWN)

@@ -1,20 +1,20 @@
 """Splitting hot groups and running totals that never place a whole group in one task.
 
-Keys used for ordering are integers (array positions, point ids). A group is cut into buckets of 2^16 consecutive key
-values, so one bucket holds at most 65,536 distinct keys and 32-bit keys make at most 65,536 buckets of a group. Wider
-keys are right as well, but far apart they make as many buckets as rows.
+Rows are range-sorted by group and key, and rows equal in both by a number of their own, so a range holds about as many
+rows as any other, whatever the keys: one key may hold all rows, and one value may lie far from the rest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annograph.plans.session import materialize
 
 HOT_ROWS = 100_000
-BUCKET_BITS = 16
+RANGE_ROWS = 250_000  # rows of one range, give or take the sampling of its bounds
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
@@ -44,28 +44,39 @@ def running(
     specs: Sequence[tuple[str, str, Column, bool]],
     extra: Sequence[str] = (),
 ) -> DataFrame:
-    """Exact running aggregates of each group in `key` order.
+    """Exact running aggregates of each group in `key`, then `extra` order. Keys are of any type that sorts.
 
-    `specs` holds (name, "sum" | "max", expression, inclusive). The bucket-local window is combined with the totals
-    of the earlier buckets. An exclusive max without earlier rows is null, an exclusive sum is 0.
+    `specs` holds (name, "sum" | "max", expression, inclusive). The window of a range is combined with the totals of the
+    group's earlier ranges; fewer rows than a range holds need one window only. An exclusive max without earlier rows is null, an exclusive sum is 0. The ranges are a written
+    table, since a range partitioning that is worked out again may cut elsewhere.
     """
     aggregate = {"sum": F.sum, "max": F.max}
-    bucketed = df.withColumn("__b", F.shiftright(F.col(key).cast("bigint"), BUCKET_BITS))
-    cell = [*group, "__b"]
-    ordered = W.partitionBy(*cell).orderBy(key, *extra)
-    local = bucketed.select(
+    order = [key, *extra, "__no"]
+    rows = materialize(df.withColumn("__no", F.monotonically_increasing_id()), "rows")
+    count = rows.count()  # from the table's footers
+    if count <= RANGE_ROWS:  # then one range holds any group
+        whole = W.partitionBy(*group).orderBy(*order)
+        frames = [whole.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1) for *_, inclusive in specs]
+        windowed = [aggregate[kind](expr).over(frame) for (_, kind, expr, _), frame in zip(specs, frames)]
+        return rows.select(*df.columns, *[(F.coalesce(w, F.lit(0)) if s[1] == "sum" else w).alias(s[0]) for w, s in zip(windowed, specs)])
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS))
+    ranges = materialize(rows.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    cell = ["__range", *group]
+    ordered = W.partitionBy(*cell).orderBy(*order)
+    local = ranges.select(
         "*",
         *[
             aggregate[kind](expr).over(ordered.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)).alias(f"__l_{name}")
             for name, kind, expr, inclusive in specs
         ],
     )
-    totals = bucketed.groupBy(*cell).agg(*[aggregate[kind](expr).alias(f"__t_{name}") for name, kind, expr, _ in specs])
-    before = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranges.groupBy(*cell).agg(*[aggregate[kind](expr).alias(f"__t_{name}") for name, kind, expr, _ in specs])
+    before = W.partitionBy(*group).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *cell, *[aggregate[kind](f"__t_{name}").over(before).alias(f"__o_{name}") for name, kind, _, _ in specs]
+        *[F.col(c).alias(f"__c{i}") for i, c in enumerate(cell)],
+        *[aggregate[kind](f"__t_{name}").over(before).alias(f"__o_{name}") for name, kind, _, _ in specs],
     )
-    joined = local.join(offsets, cell)
+    joined = local.join(offsets, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(cell)]))
     merged = []
     for name, kind, _, _ in specs:
         inner, outer = F.col(f"__l_{name}"), F.col(f"__o_{name}")
@@ -86,8 +97,8 @@ def rank_rows(
 ) -> DataFrame:
     """1-based row number of each group as `name`.
 
-    Ordinary groups use one window. Groups with more than `limit` rows go through `running`, bucketed on the first
-    order column, which must fit 32 bits. `check` may name a narrower table for counting.
+    Ordinary groups use one window. Groups with more than `limit` rows go through `running`. `check` may name a narrower
+    table for counting.
     """
     heavy = hot_groups(check if check is not None else df, group, limit)
     window = W.partitionBy(*group).orderBy(*order)

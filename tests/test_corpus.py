@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from annograph.functions.text import output_path, stem_of, suffix_of
 from annograph.operators import corpus as C, pairing
 from annograph.operators.edits import nearest_point
+from annograph.plans import skew
 from annograph.plans.skew import rank_rows, running
 from annograph.sinks import writers
 from annograph.sources import annotations as S, images as I
@@ -90,13 +91,47 @@ def test_unique_names_equal_a_fold(spark, seed):
 
 
 def test_running_totals_cross_buckets(spark):
-    rows = spark.range(150_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("int").alias("k"), (F.col("id") % 7).alias("v"))
+    rows = spark.range(300_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("int").alias("k"), (F.col("id") % 7).alias("v"))
     out = running(rows, ["g"], "k", [("total", "sum", F.col("v"), True), ("before", "max", F.col("v"), False)])
-    last = out.where("k = 149999").first()
-    assert last.total == sum(i % 7 for i in range(1, 150_000, 2)) and last.before == 6
+    last = out.where("k = 299999").first()
+    assert last.total == sum(i % 7 for i in range(1, 300_000, 2)) and last.before == 6
     assert out.where("k = 0").first().before is None
     ranked = rank_rows(rows, ["g"], ["k"], "n", limit=10)
-    assert ranked.where("n <> shiftright(k, 1) + 1").count() == 0 and ranked.count() == 150_000
+    assert ranked.where("n <> shiftright(k, 1) + 1").count() == 0 and ranked.count() == 300_000
+
+
+def test_running_totals_of_one_key_and_of_an_outlier(spark, monkeypatch):
+    """Neither rows of one key and no other difference nor a far value put more rows into a range than the others hold."""
+    monkeypatch.setattr(skew, "RANGE_ROWS", 5_000)
+    sizes = []
+    kept = skew.materialize
+
+    def watched(df, label):
+        out = kept(df, label)
+        if label == "ranges":
+            sizes.extend(r["count"] for r in out.groupBy("__range").count().collect())
+        return out
+
+    monkeypatch.setattr(skew, "materialize", watched)
+    same = spark.range(60_000).select(F.lit("g").alias("g"), F.lit(None).cast("int").alias("k"))
+    ranked = rank_rows(same, ["g"], ["k"], "n", limit=10)
+    assert ranked.agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()[:] == (1, 60_000, 60_000)
+    far = spark.range(60_000).select(F.lit(None).cast("string").alias("g"), F.when(F.col("id") == 7, 1e300).otherwise(F.col("id") / 1e6).alias("k"))
+    got = skew.running(far, ["g"], "k", [("n", "sum", F.lit(1), True), ("before", "max", F.col("k"), False)])
+    assert got.where("n <> round(k * 1e6) + if(k < 7e-6, 1, 0) and k < 1").count() == 0
+    last = got.where("k > 1").first()
+    assert last.n == 60_000 and last.before == 0.059999
+    assert len(sizes) >= 20 and max(sizes) < 10_000
+    assert rank_rows(same.where("false"), ["g"], ["k"], "n").count() == 0
+
+
+def test_many_taken_numbers_of_one_name(spark):
+    """A name whose numbered forms arrive as names of their own, before and after it, equals the fold."""
+    rng = random.Random(11)
+    names = ["x.png" if rng.random() < 0.6 else f"x_{rng.randint(1, 30)}.png" for _ in range(60)]
+    incoming = spark.createDataFrame([((1 << 40) + i, n) for i, n in enumerate(names)], "seq bigint, name string")
+    got = C.unique_names(incoming, spark.createDataFrame([("x_2.png",)], "name string"))
+    assert [r.target for r in got.orderBy("seq").collect()] == name_fold(names, ["x_2.png"])
 
 
 def test_nearest_point(spark):
