@@ -226,7 +226,7 @@ AUGMENT = f"""par AS MATERIALIZED (
     {_u('hflip?')} > 0.5 AS hflip, {_u('vflip?')} > 0.5 AS vflip, CASE WHEN {_u('shift?')} > 0.3 THEN ({_u('tx')} * 0.4 - 0.2) * width ELSE 0.0 END AS tx,
     CASE WHEN {_u('shift?')} > 0.3 THEN ({_u('ty')} * 0.4 - 0.2) * height ELSE 0.0 END AS ty, CASE WHEN {_u('scale?')} > 0.3 THEN 0.8 + {_u('scale')} * 0.4 ELSE 1.0 END AS scale,
     CASE WHEN {_u('crop?')} > 0.3 THEN 0.7 + {_u('crop')} * 0.3 ELSE 1.0 END AS crop
-  FROM (SELECT o_orderkey AS sample_id, CAST(200 + o_custkey % 60 AS INTEGER) AS width, 240 AS height, unnest([1, 2]) AS copy FROM orders)))),
+  FROM (SELECT o_orderkey AS sample_id, CAST(200 + o_custkey % 60 AS INTEGER) AS width, 240 AS height, unnest(range(1, 7)) AS copy FROM orders)))),
 a1 AS (SELECT p.* EXCLUDE (x, y), q.*, p.x + pad - px AS x, p.y + pad - py AS y FROM raw_points p JOIN par q USING (sample_id)),
 a2 AS (SELECT * EXCLUDE (x, y), cos(angle) * (x - width / 2) + sin(angle) * (y - height / 2) + width / 2 AS x, -sin(angle) * (x - width / 2) + cos(angle) * (y - height / 2) + height / 2 AS y FROM a1),
 a3 AS (SELECT * EXCLUDE (x, y), CASE WHEN hflip THEN width - 1 - x ELSE x END + tx AS x, CASE WHEN vflip THEN height - 1 - y ELSE y END + ty AS y FROM a2),
@@ -236,17 +236,17 @@ a5 AS (SELECT * EXCLUDE (x, y), (x - cx0) * (width / cw) AS x, (y - cy0) * (heig
 
 @query("g10_augmented_points", with_ctes("SELECT sample_id, copy, pos AS id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM a5 WHERE x >= 0 AND x < width AND y >= 0 AND y < height", *BASE, AUGMENT))
 def augmented_points(spark, d):
-    out = A.augment_points(placed_points(spark, d), sample_sizes(spark, d), copies=2)
+    out = A.augment_points(placed_points(spark, d), sample_sizes(spark, d))
     return out.select("sample_id", "copy", "id", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
 @query("a19_heatmap_targets", with_ctes("""SELECT sample_id, count(*) AS pixels, round(sum(v), 4) AS mass, max(x) AS right_edge, max(y) AS low_edge FROM (
-  SELECT sample_id, px + dx AS x, py + dy AS y, max(exp(-(dx * dx + dy * dy) / 2.0)) AS v FROM (
+  SELECT sample_id, px + dx AS x, py + dy AS y, max(exp(-(dx * dx + dy * dy) / 8.0)) AS v FROM (
   SELECT DISTINCT sample_id, CAST(x AS INTEGER) AS px, CAST(y AS INTEGER) AS py, CAST(200 + o_custkey % 60 AS INTEGER) AS width FROM raw_points JOIN orders ON o_orderkey = sample_id),
-  (SELECT CAST(unnest(range(-3, 4)) AS INTEGER) AS dx) a, (SELECT CAST(unnest(range(-3, 4)) AS INTEGER) AS dy) b
+  (SELECT CAST(unnest(range(-6, 7)) AS INTEGER) AS dx) a, (SELECT CAST(unnest(range(-6, 7)) AS INTEGER) AS dy) b
   WHERE px + dx >= 0 AND px + dx < width AND py + dy >= 0 AND py + dy < 240 GROUP BY 1, 2, 3) GROUP BY 1""", *BASE))
 def heatmap_targets(spark, d):
     points = placed_points(spark, d).join(sample_sizes(spark, d), "sample_id")
-    return A.heatmap_targets(points, sigma=1.0).groupBy("sample_id").agg(
+    return A.heatmap_targets(points).groupBy("sample_id").agg(
         F.count(F.lit(1)).alias("pixels"), F.round(F.sum("v"), 4).alias("mass"), F.max("x").alias("right_edge"), F.max("y").alias("low_edge")
     )
