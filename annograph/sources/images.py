@@ -8,13 +8,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from annograph.functions.text import stem_of, suffix_of
 from annograph.operators.corpus import image_files
 from annograph.schemas import IMAGE_SUFFIXES
+from annograph.sinks.files import locate
 
 HEAD_BYTES = 65_536  # what is read of a file first; a header that lies behind it takes the whole file
+PAGE, PAGES_HELD = 4096, 64  # of a file that is read by ranges
+SHORT = 16  # bytes that a slice of such a file reads at once; no format's mark is longer
 #: Samples a pixel of the PNG colour types.
 PNG_CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
@@ -36,22 +40,80 @@ def read_images(
 
 
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Decoded width, height and channels; an unreadable file keeps its row with null sizes.
+    """Width, height and channels of every file of a folder as its header states them; null where none of the known formats does.
 
-    Files that the JVM cannot decode take their sizes from their headers.
+    Files are listed without their content, and tasks read the ranges that the headers lie in (`ranged_headers`).
     """
-    i = F.col("image")
-    known = lambda c: F.when(i[c] >= 0, i[c])
-    out = spark.read.format("image").option("dropInvalid", "false").load(folder)
-    out = out.select(_decoded(i["origin"]).alias("path"), known("width").alias("width"), known("height").alias("height"), known("nChannels").alias("channels"))
-    foreign = image_headers(read_images(spark, folder, suffixes=HEADER_ONLY, content=True)).where("width is not null")
-    # The two readers write the slashes behind the scheme differently.
-    place = F.regexp_replace("path", r"^(\w+):/*", "$1:/").alias("_place")
-    foreign = foreign.select(place, *[F.col(c).alias(f"_{c}") for c in ("width", "height", "channels")])
-    out = out.select("*", place).join(foreign, "_place", "left").select("path", *[F.coalesce(c, f"_{c}").alias(c) for c in ("width", "height", "channels")])
+    files = spark.read.format("binaryFile").load(folder).select(_decoded(F.col("path")).alias("path"))
+    out = ranged_headers(files).select("path", "width", "height", "channels")
     return out.withColumn("stem", stem_of(F.col("path"))).withColumn("suffix", suffix_of(F.col("path")))
 
 
+def ranged_headers(files: DataFrame) -> DataFrame:
+    """`files` plus width, height, channels, orientation and `bytes_read`. `path`: of any file system that Arrow knows.
+
+    Only pages that the header or the way to it lies in are read: the first one for most formats, one for each segment of a
+    JPEG file before its frame, the directory of a TIFF file wherever it lies.
+    """
+    added = T.StructType([*HEADER.fields, T.StructField("bytes_read", T.LongType())])
+    schema = T.StructType([f for f in files.schema.fields if f.name not in added.names] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                system, place = locate(path)
+                with system.open_input_file(place) as file:
+                    data = _Pages(file).view()
+                    rows.append((*(header_info(data) or (None,) * 3), exif_orientation(data), data.pages.read))
+            columns = list(zip(*rows)) if rows else [()] * len(added)
+            kinds = [pa.int32()] * len(HEADER) + [pa.int64()]
+            kept = [(n, batch.column(n)) for n in schema.names if n not in added.names]
+            new = [(n, pa.array(c, k)) for n, c, k in zip(added.names, columns, kinds)]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept + new], names=schema.names)
+
+    return files.mapInArrow(run, schema)
+
+
+class _Pages:
+    """A file read by pages; the last few stay."""
+
+    def __init__(self, file: pa.NativeFile) -> None:
+        self.file, self.size, self.read = file, file.size(), 0
+        self.held: dict[int, bytes] = {}
+
+    def view(self) -> _View:
+        return _View(self, 0, self.size)
+
+    def bytes_of(self, begin: int, end: int) -> bytes:
+        out = b""
+        for page in range(begin // PAGE, -(-end // PAGE)):
+            if page not in self.held:
+                if len(self.held) >= PAGES_HELD:
+                    self.held.clear()
+                self.held[page] = self.file.read_at(min(PAGE, self.size - page * PAGE), page * PAGE)
+                self.read += len(self.held[page])
+            out += self.held[page]
+        skip = begin - begin // PAGE * PAGE
+        return out[skip : skip + end - begin]
+
+
+class _View:
+    """A range of a file that slices as bytes do: short slices are bytes, longer ones are views and read nothing."""
+
+    def __init__(self, pages: _Pages, begin: int, end: int) -> None:
+        self.pages, self.begin, self.end = pages, begin, end
+
+    def __len__(self) -> int:
+        return self.end - self.begin
+
+    def __getitem__(self, part: slice) -> bytes | _View:
+        a, b, _ = part.indices(len(self))
+        b = max(a, b)
+        make = self.pages.bytes_of if b - a <= SHORT else lambda x, y: _View(self.pages, x, y)
+        return make(self.begin + a, self.begin + b)
+
+
 class _Reader:
     """Numbers at offsets of a byte string in one byte order; offsets outside raise."""
 
@@ -71,7 +133,9 @@ def jpeg_segments(data: bytes) -> Iterator[tuple[int, _Reader]]:
     source, at = _Reader(data, "big"), 2
     with contextlib.suppress(IndexError):
         while True:
-            at = data.index(0xFF, at) if 0xFF in data[at:] else len(data)
+            while at < len(data) and 0xFF not in data[at : at + SHORT]:
+                at += SHORT
+            at += max(0, data[at : at + SHORT].find(0xFF))
             while source.at(at, 1) == 0xFF:
                 at += 1
             marker, at = source.at(at, 1), at + 1
@@ -101,8 +165,8 @@ def tiff_tags(data: bytes) -> dict[int, int]:
 
 def exif_orientation(data: bytes) -> int:
     """Orientation tag of a JPEG, 0 when there is none. Only the first application segment of kind 1 counts."""
-    first = next((s.data for marker, s in jpeg_segments(data) if marker == 0xE1), b"") if data.startswith(b"\xff\xd8") else b""
-    return tiff_tags(first[6:]).get(0x0112, 0) if first.startswith(b"Exif\0\0") else 0
+    first = next((s.data for marker, s in jpeg_segments(data) if marker == 0xE1), b"") if data[:2] == b"\xff\xd8" else b""
+    return tiff_tags(first[6:]).get(0x0112, 0) if first[:6] == b"Exif\0\0" else 0
 
 
 def _png(source: _Reader) -> tuple[int, int, int]:
@@ -133,6 +197,11 @@ def _bmp(source: _Reader) -> tuple[int, int, int]:
     return little.at(18, 4), abs(little.at(22, 4, signed=True)), 4 if little.at(28, 2) == 32 else 3
 
 
+def _gif(source: _Reader) -> tuple[int, int, int]:
+    little = _Reader(source.data, "little")
+    return little.at(6, 2), little.at(8, 2), 3
+
+
 def _tiff(source: _Reader) -> tuple[int, int, int]:
     tags = tiff_tags(source.data)
     if not {256, 257} <= tags.keys():
@@ -143,14 +212,13 @@ def _tiff(source: _Reader) -> tuple[int, int, int]:
 #: Readers by the first bytes of a file, from the formats' specifications.
 HEADERS = (
     (re.compile(rb"\x89PNG\r\n\x1a\n", re.S), _png), (re.compile(rb"\xff\xd8", re.S), _jpeg), (re.compile(rb"RIFF....WEBPVP8", re.S), _webp),
-    (re.compile(rb"BM", re.S), _bmp), (re.compile(rb"II\*\0|MM\0\*", re.S), _tiff),
+    (re.compile(rb"BM", re.S), _bmp), (re.compile(rb"GIF8[79]a", re.S), _gif), (re.compile(rb"II\*\0|MM\0\*", re.S), _tiff),
 )
-HEADER_ONLY = (".webp", ".tif", ".tiff")
 
 
 def header_info(data: bytes) -> tuple[int, int, int] | None:
-    """(width, height, channels) from the first bytes of a PNG, JPEG, WEBP, BMP or TIFF file, None if they don't hold them."""
-    reader = next((read for magic, read in HEADERS if magic.match(data)), None)
+    """(width, height, channels) from the first bytes of a PNG, JPEG, WEBP, BMP, GIF or TIFF file, None if they don't hold them."""
+    reader = next((read for magic, read in HEADERS if magic.match(data[:SHORT])), None)
     try:
         return reader(_Reader(data, "big")) if reader else None
     except IndexError:

@@ -294,3 +294,25 @@ def test_header_behind_the_head(spark):
 def test_sizes_of_files_without_a_decoder(spark, tmp_path):
     (tmp_path / "w.webp").write_bytes(b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\x10\0\0\0" + WIDE)
     assert [(r.stem, r.width, r.height, r.channels) for r in I.image_sizes(spark, str(tmp_path)).collect()] == [("w", 300, 150, 4)]
+
+
+def test_only_ranges_of_files_are_read(spark, tmp_path):
+    """Headers at the front, behind long segments and at the end of files of 5 MB."""
+    directory = b"\0\2" + b"\1\0\0\3\0\0\0\1\0\x11\0\0" + b"\1\1\0\4\0\0\0\1\0\0\0\x21"
+    long = {
+        "far.jpg": jpeg(*[(0xE2, b"p" * 60_000)] * 8, (0xC0, FRAME)) + b"\0" * 5_000_000,
+        "end.tif": b"MM\0*" + (5_000_008).to_bytes(4, "big") + b"\0" * 5_000_000 + directory,
+        "g.gif": b"GIF89a" + (9).to_bytes(2, "little") + (8).to_bytes(2, "little") + b"\0" * 5_000_000,
+        "cut.png": png_bytes(pixels(80, 120))[:40],
+        "none.png": b"no image" * 600_000,
+        "short.bmp": b"BM",
+    }
+    for name, data in long.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/")[-1]: r for r in I.ranged_headers(I.read_images(spark, str(tmp_path), suffixes=(".jpg", ".tif", ".gif", ".png", ".bmp")).drop("modificationTime")).collect()}
+    size = lambda n: (got[n].width, got[n].height, got[n].channels)
+    assert [size(n) for n in long] == [(64, 48, 3), (17, 33, 1), (9, 8, 3), (120, 80, 3), (None,) * 3, (None,) * 3]
+    assert all(r.bytes_read <= 10 * I.PAGE for r in got.values()) and got["none.png"].bytes_read == I.PAGE
+    whole = I.image_headers(I.read_images(spark, str(tmp_path), suffixes=(".jpg", ".tif"), content=True))
+    assert sorted((r.width, r.height) for r in whole.collect()) == [(17, 33), (64, 48)]
+    assert sorted((r.stem, r.width) for r in I.image_sizes(spark, str(tmp_path)).where("suffix <> '.jpg'").collect()) == [("cut", 120), ("end", 17), ("g", 9), ("none", None), ("short", None)]
