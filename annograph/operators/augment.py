@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def uniform(seed: int, name: str) -> Column:
@@ -50,17 +53,71 @@ def augment_points(points: DataFrame, samples: DataFrame, copies: int = 6, seed:
     return j.where("x >= 0 and x < width and y >= 0 and y < height").select("sample_id", "copy", "id", "x", "y", "width", "height")
 
 
+#: Side of the squares of pixels that are worked out at once; a square has at most as many centres as pixels in reach.
+SQUARE = 128
+
+
 def heatmap_targets(points: DataFrame, sigma: float = 2.0) -> DataFrame:
     """Sparse target map (sample_id, x, y, v): the largest Gaussian stamp at each pixel, stamps clipped at the border.
 
-    `points`: sample_id, x, y, width, height. Equal centres are stamped once, and the maximum is taken before the shuffle.
+    `points`: sample_id, x, y, width, height. Equal centres are stamped once. Centres travel to the squares that their
+    stamps reach and are stamped there, so no pixel is shuffled. The largest stamp is that of the nearest centre.
     """
     half = int(6 * sigma + 1) // 2
     span = int(6 * sigma + 1)
-    centres = points.select("sample_id", "width", "height", F.rint("x").cast("int").alias("px"), F.rint("y").cast("int").alias("py")).distinct()
-    steps = F.sequence(F.lit(-half), F.lit(span - half - 1))
-    stamped = centres.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    x, y = F.col("px") + F.col("dx"), F.col("py") + F.col("dy")
-    v = F.exp(-(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) / F.lit(2.0 * sigma * sigma))
-    stamped = stamped.where((x >= 0) & (x < F.col("width")) & (y >= 0) & (y < F.col("height")))
-    return stamped.groupBy("sample_id", x.alias("x"), y.alias("y")).agg(F.max(v).alias("v"))
+    centres = points.select("sample_id", "width", "height", F.rint("x").cast("int").alias("px"), F.rint("y").cast("int").alias("py"))
+    centres = centres.dropna(subset=["width", "height", "px", "py"]).distinct()
+
+    def squares(at: str, side: str) -> Column:
+        low, high = F.greatest(F.col(at).cast("long") - half, F.lit(0)), F.least(F.col(at).cast("long") + (span - half - 1), F.col(side).cast("long") - 1)
+        return F.when(low <= high, F.sequence(F.floor(low / SQUARE), F.floor(high / SQUARE)))
+
+    reached = centres.withColumn("sx", F.explode(squares("px", "width"))).withColumn("sy", F.explode(squares("py", "height")))
+    key = ["sample_id", "sx", "sy"]
+    dealt = reached.repartition(*key).sortWithinPartitions(*key)
+    dx, dy = (g.ravel() for g in np.meshgrid(np.arange(-half, span - half), np.arange(-half, span - half)))
+    gap = dx * dx + dy * dy
+    top = int(gap.max()) + 1
+    kind = points.schema["sample_id"].dataType
+    schema = pa.schema([("sample_id", to_arrow_type(kind)), ("x", pa.int32()), ("y", pa.int32()), ("gap", pa.int32())])
+
+    def stamped(rows: pa.Table) -> pa.RecordBatch:
+        """The pixels of whole squares: sorted by square, pixel and distance, the first of each pixel stays."""
+        names = rows.column("sample_id").combine_chunks()
+        sx, sy, px, py, width, height = (rows.column(n).to_numpy() for n in ("sx", "sy", "px", "py", "width", "height"))
+        group = np.concatenate([[0], np.cumsum(_changes(names, sx, sy))])
+        x, y = px[:, None].astype(np.int64) + dx - (sx * SQUARE)[:, None], py[:, None].astype(np.int64) + dy - (sy * SQUARE)[:, None]
+        right, low = np.minimum(width - sx * SQUARE, SQUARE), np.minimum(height - sy * SQUARE, SQUARE)
+        inside = (x >= 0) & (x < right[:, None]) & (y >= 0) & (y < low[:, None])
+        code = (((group[:, None] * SQUARE + y) * SQUARE + x) * top + gap)[inside]
+        code.sort()
+        pixel = code // top
+        first = np.concatenate([[True], pixel[1:] != pixel[:-1]]) if len(pixel) else np.zeros(0, bool)
+        code, pixel = code[first], pixel[first]
+        at = np.searchsorted(group, pixel // (SQUARE * SQUARE))
+        x, y = sx[at] * SQUARE + pixel % SQUARE, sy[at] * SQUARE + pixel // SQUARE % SQUARE
+        arrays = [names.take(pa.array(at)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array((code % top).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, batch])
+            changes = np.flatnonzero(_changes(rows.column("sample_id").combine_chunks(), rows.column("sx").to_numpy(), rows.column("sy").to_numpy()))
+            done = int(changes[-1]) + 1 if len(changes) else 0  # the last square may go on
+            if done:
+                yield stamped(rows.slice(0, done))
+            held = rows.slice(done).to_batches()
+        if held:
+            yield stamped(pa.Table.from_batches(held))
+
+    pixels = dealt.mapInArrow(run, f"sample_id {kind.simpleString()}, x int, y int, gap int")
+    return pixels.select("sample_id", "x", "y", F.exp(-F.col("gap") / F.lit(2.0 * sigma * sigma)).alias("v"))
+
+
+def _changes(names: pa.Array, *numbers: np.ndarray) -> np.ndarray:
+    """Whether each row but the first has another key than the row before."""
+    codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return np.any([c[1:] != c[:-1] for c in (codes, *numbers)], axis=0)
