@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from annograph.plans.groups import whole_groups
+
 
 def uniform(seed: int, name: str) -> Column:
     """Number in [0, 1) fixed by (sample, copy, seed, name)."""
@@ -81,11 +83,9 @@ def heatmap_targets(points: DataFrame, sigma: float = 2.0) -> DataFrame:
     kind = points.schema["sample_id"].dataType
     schema = pa.schema([("sample_id", to_arrow_type(kind)), ("x", pa.int32()), ("y", pa.int32()), ("gap", pa.int32())])
 
-    def stamped(rows: pa.Table) -> pa.RecordBatch:
+    def stamped(rows: pa.Table, group: np.ndarray) -> pa.RecordBatch:
         """The pixels of whole squares: sorted by square, pixel and distance, the first of each pixel stays."""
-        names = rows.column("sample_id").combine_chunks()
         sx, sy, px, py, width, height = (rows.column(n).to_numpy() for n in ("sx", "sy", "px", "py", "width", "height"))
-        group = np.concatenate([[0], np.cumsum(_changes(names, sx, sy))])
         x, y = px[:, None].astype(np.int64) + dx - (sx * SQUARE)[:, None], py[:, None].astype(np.int64) + dy - (sy * SQUARE)[:, None]
         right, low = np.minimum(width - sx * SQUARE, SQUARE), np.minimum(height - sy * SQUARE, SQUARE)
         inside = (x >= 0) & (x < right[:, None]) & (y >= 0) & (y < low[:, None])
@@ -96,28 +96,13 @@ def heatmap_targets(points: DataFrame, sigma: float = 2.0) -> DataFrame:
         code, pixel = code[first], pixel[first]
         at = np.searchsorted(group, pixel // (SQUARE * SQUARE))
         x, y = sx[at] * SQUARE + pixel % SQUARE, sy[at] * SQUARE + pixel // SQUARE % SQUARE
-        arrays = [names.take(pa.array(at)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array((code % top).astype(np.int32))]
+        arrays = [rows.column("sample_id").combine_chunks().take(pa.array(at)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array((code % top).astype(np.int32))]
         return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([*held, batch])
-            changes = np.flatnonzero(_changes(rows.column("sample_id").combine_chunks(), rows.column("sx").to_numpy(), rows.column("sy").to_numpy()))
-            done = int(changes[-1]) + 1 if len(changes) else 0  # the last square may go on
-            if done:
-                yield stamped(rows.slice(0, done))
-            held = rows.slice(done).to_batches()
-        if held:
-            yield stamped(pa.Table.from_batches(held))
+        for rows, group in whole_groups(batches, key):
+            yield stamped(rows, group)
 
     pixels = dealt.mapInArrow(run, f"sample_id {kind.simpleString()}, x int, y int, gap int")
     return pixels.select("sample_id", "x", "y", F.exp(-F.col("gap") / F.lit(2.0 * sigma * sigma)).alias("v"))
 
-
-def _changes(names: pa.Array, *numbers: np.ndarray) -> np.ndarray:
-    """Whether each row but the first has another key than the row before."""
-    codes = names.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    return np.any([c[1:] != c[:-1] for c in (codes, *numbers)], axis=0)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from annograph.functions.text import numbered
-from annograph.plans.groups import map_groups
+from annograph.operators import pick_arrays
+from annograph.plans.groups import map_groups, whole_groups
 from annograph.plans.session import materialize
 from annograph.plans.skew import hot_groups, rank_rows, running, split_hot
 from annograph.schemas import LINK_SOURCE, POSTPROCESS_PRESETS
@@ -403,16 +406,54 @@ def _pick(links: DataFrame, points: DataFrame | None, keys: list[str], p: dict)
         spots = points.select(*keys, F.lit(0).alias("kind"), F.lit(0).alias("pos"), F.col("id").alias("src"), F.lit(0).alias("dst"), F.lit(0.0).alias("score"), "x", "y")
         rows = rows.unionByName(spots)
     with_points = points is not None
+    kind = links.schema["sample_id"].dataType
+    schema = pa.schema([("sample_id", to_arrow_type(kind)), ("pos", pa.int32()), ("src", pa.int32()), ("dst", pa.int32()), ("score", pa.float64()), ("floor", pa.float64()), ("at", pa.int32()), ("turn", pa.int32())])
+
+    def one_by_one(rows: pa.Table, group: np.ndarray) -> Iterator[tuple]:
+        """Picks of the groups that do not fit arrays."""
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+        for begin, end in zip(starts, [*starts[1:], len(group)]):
+            c = rows.slice(begin, end - begin).to_pydict()
+            first = c["kind"].index(1) if 1 in c["kind"] else len(c["kind"])
+            xy = {i: (x, y) for i, x, y in zip(c["src"][:first], c["x"][:first], c["y"][:first])} if with_points else None
+            src, dst, score, pos = (c[n][first:] for n in ("src", "dst", "score", "pos"))
+            for turn, (i, floor, at) in enumerate(pick_links(src, dst, score, xy, degree, cycle, weight)):
+                yield c["sample_id"][0], pos[i], src[i], dst[i], score[i], floor, pos[at], turn
 
-    def run(key, c):
-        first = c["kind"].index(1) if 1 in c["kind"] else len(c["kind"])
-        xy = {i: (x, y) for i, x, y in zip(c["src"][:first], c["x"][:first], c["y"][:first])} if with_points else None
-        src, dst, score, pos = (c[n][first:] for n in ("src", "dst", "score", "pos"))
-        for turn, (i, floor, at) in enumerate(pick_links(src, dst, score, xy, degree, cycle, weight)):
-            yield key[0], pos[i], src[i], dst[i], score[i], floor, pos[at], turn
-
-    kind = links.schema["sample_id"].dataType.simpleString()
-    return map_groups(rows, keys, ["kind", "pos"], run, f"sample_id {kind}, pos int, src int, dst int, score double, floor double, at int, turn int")
+    def run(batches):
+        for rows, group in whole_groups(batches, keys):
+            is_link = rows.column("kind").to_numpy() == 1
+            plain = np.ones(group[-1] + 1, bool)
+            for name, where in (("pos", is_link), ("src", is_link), ("dst", is_link), ("score", is_link), ("src", ~is_link), ("x", ~is_link), ("y", ~is_link)):
+                if rows.column(name).null_count:
+                    plain[group[where & rows.column(name).is_null().to_numpy()]] = False
+            fits = plain[group]
+            at = np.flatnonzero(fits & is_link)
+            number = lambda name, rows_: rows.column(name).take(pa.array(rows_)).to_numpy()
+            names, dense = np.unique(group[at], return_inverse=True)
+            spots = None
+            if with_points:
+                place = np.searchsorted(names, group)
+                here = np.flatnonzero(fits & ~is_link & (place < len(names)))
+                here = here[names[place[here]] == group[here]]
+                spots = (place[here], number("src", here), number("x", here), number("y", here))
+            done, (link, floor, low, turn) = pick_arrays.pick(dense, number("src", at), number("dst", at), number("score", at), spots, degree, cycle, weight)
+            picked, lowest = at[link.astype(np.int64)], at[low.astype(np.int64)]
+            if len(picked):
+                chosen = rows.select(["sample_id", "pos", "src", "dst", "score"]).take(pa.array(picked)).combine_chunks()
+                arrays = [*(c.combine_chunks() for c in chosen.columns), pa.array(floor), pa.array(number("pos", lowest)), pa.array(turn.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            finished = np.zeros(group[-1] + 1, bool)
+            finished[names[done]] = True
+            rest = np.flatnonzero(~finished[group])
+            rest = rest[np.isin(group[rest], group[is_link])]
+            if len(rest):
+                listed = list(one_by_one(rows.take(pa.array(rest)), group[rest]))
+                if listed:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*listed), schema)], schema=schema)
+
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "kind", "pos")
+    return ordered.mapInArrow(run, f"sample_id {kind.simpleString()}, pos int, src int, dst int, score double, floor double, at int, turn int")
 
 
 def _numbered_links(picked: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ to the function as plain lists. Callers must have moved unbounded groups to anot
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,3 +58,32 @@ def map_groups(
                 yield out
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, target)
+
+
+def changes(*columns: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Whether each row but the first differs from the row before in any of the columns; null is a value of its own."""
+    codes = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in columns]
+    return np.any([c[1:] != c[:-1] for c in codes], axis=0)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, group number of each row, from 0) of batches sorted by `keys`; many groups at once, none of them cut."""
+    held: list[pa.RecordBatch] = []
+
+    def closed(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        rows = rows.combine_chunks()
+        return rows, np.concatenate([[0], np.cumsum(changes(*[rows.column(k) for k in keys]))])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        joint = [*([held[-1].slice(held[-1].num_rows - 1)] if held else []), batch]
+        cuts = np.flatnonzero(changes(*[pa.chunked_array([b.column(b.schema.get_field_index(k)) for b in joint]) for k in keys]))
+        if len(cuts):
+            done = int(cuts[-1]) + 1 - (len(joint) - 1)
+            yield closed(pa.Table.from_batches([*held, batch.slice(0, done)]))
+            held = [batch.slice(done)]
+        else:
+            held.append(batch)
+    if held:
+        yield closed(pa.Table.from_batches(held))

@@ -173,3 +173,40 @@ def test_chain_when_there_are_no_neighbours(spark):
     points = spark.createDataFrame([(0, i, 100.0 * i, 0.0, 1.0) for i in range(3)], "sample_id long, id int, x double, y double, score double")
     _, edges = G.graph_features(points, k=0, radius_multiplier=0.1)
     assert sorted((r.u, r.v) for r in edges.collect()) == [(0, 1), (1, 2)]
+
+
+@pytest.mark.parametrize("step", [0, 0.01])
+@pytest.mark.parametrize("rules", [(2, 5, 0.3), (2, 3, 0.1), (3, 4, 0.2), (1, 4, 0.2), (2, 0, 0.0)])
+def test_groups_at_once_equal_groups_one_by_one(step, rules):
+    links, points, expected = link_rows(5, 300, 14, step)
+    sample, _, src, dst, score = (np.array(c) for c in zip(*links))
+    names, group = np.unique(sample, return_inverse=True)
+    own, ids, x, y = (np.array(c) for c in zip(*[p for p in points if p[1] != 2 and p[0] in expected and p[0] in names]))
+    own = np.searchsorted(names, own)
+    for spots in (None, (own, ids, x, y)):
+        done, (row, floor, low, turn) = P.pick_arrays.pick(group, src, dst, score, spots, *rules)
+        assert done.all()
+        for g in range(len(names)):
+            at = np.flatnonzero(group == g)
+            xy = None if spots is None else {i: (a, b) for o, i, a, b in zip(own, ids, x, y) if o == g}
+            wanted = [(at[i], f, at[k]) for i, f, k in P.pick_links(src[at].tolist(), dst[at].tolist(), score[at].tolist(), xy, *rules)]
+            mine = np.flatnonzero(group[row.astype(int)] == g)
+            mine = mine[np.argsort(turn[mine])]
+            assert [(row[m], floor[m], low[m]) for m in mine] == wanted
+
+
+def test_odd_groups_are_picked_too(spark):
+    odd = [(400, 0, 3, 3, 0.5), (400, 1, 3, 4, 0.4), (403, 0, 1, 2, 0.9), (403, 1, 2, 3, 0.7), (None, 0, 1, 2, 0.9), (None, 1, 2, 5, 0.8)]
+    df = spark.createDataFrame(odd, "sample_id long, pos int, src int, dst int, score double")
+    xy = spark.createDataFrame([(None, 1, 0.0, 0.0), (402, 0, 1.0, 1.0), (403, 2, float("nan"), 0.0)], "sample_id long, id int, x double, y double")
+    for spots in (None, xy):
+        found = [(r.sample_id, r.src, r.dst) for r in P.select_links(df, spots).collect()]
+        assert sorted(map(str, found)) == sorted(map(str, [(s, a, b) for s, _, a, b, _ in odd if (a, b) != (3, 3)]))
+
+
+def test_small_groups_are_picked_together():
+    links, _, _ = link_rows(3, 100, 9, 0)
+    sample, _, src, dst, score = (np.array(c) for c in zip(*links))
+    _, group = np.unique(sample, return_inverse=True)
+    done, _ = P.pick_arrays.pick(group, src, dst, score, None, 2, 4, 0.2)
+    assert done.all()
