@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from annograph.plans.groups import whole_groups
 from annograph.plans.session import materialize
 from annograph.plans.skew import hot_groups
 
@@ -158,6 +159,22 @@ def _groups(batches, names: list[str]) -> Iterator[tuple[pa.Scalar, dict[str, np
         yield closed()
 
 
+def _abreast(group: np.ndarray, ids: np.ndarray, chosen: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (group, point in id order) of the chosen groups, equally large groups together."""
+    order, sizes = np.lexsort((ids, group)), np.bincount(group)
+    first = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[chosen]):
+        same = np.flatnonzero(chosen & (sizes == n))
+        for part in np.array_split(same, -(-len(same) * n * n // PAIRS)):
+            yield order[first[part][:, None] + np.arange(n)]
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(group, point, other point) of coordinates (group, point)."""
+    dx, dy = x[:, :, None] - x[:, None, :], y[:, :, None] - y[:, None, :]
+    return np.sqrt(dx * dx + dy * dy)
+
+
 def _by_tile(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(work, schema)
 
@@ -209,7 +226,28 @@ def nearest_tiled(points: DataFrame, k: int, tile: int = TILE) -> DataFrame:
 
     schema = f"sample_id {named}, x double, y double, tile int, near array<struct<d:double,j:bigint>>"
 
+    def leaf_lists(names: pa.Array, c: dict[str, np.ndarray], at: np.ndarray) -> pa.RecordBatch:
+        """The lists of groups of one leaf, one for each spot."""
+        x, y, ids = c["x"][at], c["y"][at], c["id"][at]
+        d = _distances(x, y)
+        near = np.argsort(d, axis=2, kind="stable")[:, :, : k + 1]
+        spot = np.tril((x[:, :, None] == x[:, None, :]) & (y[:, :, None] == y[:, None, :]), -1)
+        g, p = np.nonzero(~spot.any(2))
+        some, there = np.take_along_axis(d, near, 2)[g, p], ids[g[:, None], near[g, p]]
+        entries = pa.StructArray.from_arrays([pa.array(some.ravel()), pa.array(there.ravel())], fields=list(entry))
+        found = pa.ListArray.from_arrays(pa.array((np.arange(len(g) + 1) * near.shape[2]).astype(np.int32)), entries)
+        row = at[g, p]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(c["x"][row]), pa.array(c["y"][row]), pa.array(c["tile"][row].astype(np.int32)), found], names=["sample_id", "x", "y", "tile", "near"])
+
     def inside(batches):
+        for rows, group in whole_groups(batches, _KEY):
+            small = np.bincount(group) <= LEAF
+            c = {n: rows.column(n).to_numpy() for n in ("tile", "x", "y", "id")}
+            for at in _abreast(group, c["id"], small):
+                yield leaf_lists(rows.column("sample_id").combine_chunks(), c, at)
+            yield from searched(rows.filter(pa.array(~small[group])).to_batches())
+
+    def searched(batches):
         for sample, c in _groups(batches, ["tile", "x", "y", "id"]):
             spots = np.unique(np.stack([c["x"], c["y"]]), axis=1)
             yield lists(sample, *spots, np.full(spots.shape[1], c["tile"][0], np.int32), Leaves(c["x"], c["y"], c["id"]).nearest(*spots, k + 1))
@@ -252,6 +290,18 @@ def pairs_within(points: DataFrame, radius: DataFrame, tile: int = TILE) -> Data
     named, kind = _sample_type(points)
 
     def work(batches):
+        for rows, group in whole_groups(batches, _KEY):
+            c = {n: rows.column(n).to_numpy() for n in ("x", "y", "id", "radius", "here")}
+            small = np.bincount(group) <= LEAF
+            small[group[~c["here"].astype(bool)]] = False
+            for at in _abreast(group, c["id"], small):
+                i, d = c["id"][at], _distances(c["x"][at], c["y"][at])
+                g, a, b = np.nonzero((d <= c["radius"][at[:, 0]][:, None, None]) & (i[:, :, None] != i[:, None, :]))
+                names_ = rows.column("sample_id").combine_chunks().take(pa.array(at[g, 0]))
+                yield pa.RecordBatch.from_arrays([names_, pa.array(i[g, a]), pa.array(i[g, b]), pa.array(d[g, a, b])], names=["sample_id", "i", "j", "d"])
+            yield from searched(rows.filter(pa.array(~small[group])).to_batches())
+
+    def searched(batches):
         for sample, c in _groups(batches, ["tile", "x", "y", "id", "radius", "here"]):
             here = c["here"].astype(bool)
             held = Leaves(c["x"][here], c["y"][here], c["id"][here])

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annograph.operators import space
 
@@ -88,3 +89,27 @@ def test_empty(spark):
     none = frame(spark, {"a": [(1.0, 2.0)]}).where("false")
     assert space.nearest_tiled(none, 3).count() == 0
     assert space.pairs_within(none, none.selectExpr("sample_id", "1d as radius")).count() == 0
+
+
+def test_small_samples_are_searched_together(spark):
+    """Samples of one leaf, of several and of several tiles in one call, with equal spots, against all pairs."""
+    import math
+    import random
+
+    from annograph.operators.space import nearest_tiled, pairs_within
+
+    rng = random.Random(2)
+    rows = [(s, i, float(rng.randint(0, 9)), float(rng.randint(0, 9))) for s, n in enumerate([1, 2, 3, 3, 7, 32, 33, 90]) for i in range(n)] + [(None, i, float(i), 0.0) for i in range(4)]
+    named = spark.createDataFrame([r for r in rows if r[0] is not None], "sample_id long, id int, x double, y double")
+    wanted = {}
+    for s, i, x, y in rows:
+        if s is not None:
+            wanted[s, i] = sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), j) for t, j, u, v in rows if t == s and j != i)
+    for tile in (20_000, 40):
+        found = {}
+        for r in nearest_tiled(named, 4, tile).collect():
+            found.setdefault((r.sample_id, r.i), []).append((r.rank, r.d, r.j))
+        assert {k: [x[1:] for x in sorted(v)] for k, v in found.items()} == {k: v[:4] for k, v in wanted.items() if v}
+        radius = named.select("sample_id").distinct().withColumn("radius", F.lit(3.0))
+        pairs = sorted((r.sample_id, r.i, r.j, r.d) for r in pairs_within(named, radius, tile).collect())
+        assert pairs == sorted((*k, j, d) for k, v in wanted.items() for d, j in v if d <= 3.0)
