@@ -97,7 +97,7 @@ def strip_pixels(spark, d):
     n = normal_form(spark, d)
     space = G.neighbour_graph(n.points)[0].select("sample_id", "spacing").distinct()
     strips = G.link_strips(n.points, n.edges.select("sample_id", F.col("src").alias("u"), F.col("dst").alias("v")), space)
-    strips = strips.withColumn("path", F.col("sample_id").cast("string"))
+    strips = materialize(strips.withColumn("path", F.col("sample_id").cast("string")), "strips")
     pixels = materialize(strips.select("path").distinct(), "paths").withColumn("data", F.unhex(F.repeat(F.md5("path"), 12)))
     images = pixels.select("path", F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), "data")
     out = I.strip_pixels(images, strips, 24, 6)

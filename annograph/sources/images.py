@@ -296,35 +296,57 @@ def _mirror(index: np.ndarray, n: int) -> np.ndarray:
     return np.where(folded >= n, 2 * (n - 1) - folded, folded)
 
 
-def sample_strip(pixels: np.ndarray, x0, y0, x1, y1, x2, y2, width: int, height: int) -> np.ndarray:
-    """Bilinear height x width samples of the parallelogram with corners 0 (origin), 1 (far right), 2 (far down), in 0..1."""
+def sample_strips(pixels: np.ndarray, corners: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bilinear (strip, height, width, channel) samples of parallelograms with corners 0 (origin), 1 (far right), 2 (far
+    down), in 0..1. `pixels`: (strip, y, x, channel); `corners`: x0, y0, x1, y1, x2, y2 of each strip."""
     across, down = np.meshgrid(np.arange(width) / (width - 1), np.arange(height) / (height - 1))
+    x0, y0, x1, y1, x2, y2 = (c[:, None, None] for c in np.asarray(corners, np.float64).T)
     px = x0 + across * (x1 - x0) + down * (x2 - x0)
     py = y0 + across * (y1 - y0) + down * (y2 - y0)
     left, top = np.floor(px).astype(np.int64), np.floor(py).astype(np.int64)
     fx, fy = (px - left)[..., None], (py - top)[..., None]
-    h, w = pixels.shape[:2]
-    at = lambda yy, xx: pixels[_mirror(yy, h), _mirror(xx, w)].astype(np.float64)
+    h, w = pixels.shape[1:3]
+    row = np.arange(len(pixels))[:, None, None]
+    at = lambda yy, xx: pixels[row, _mirror(yy, h), _mirror(xx, w)].astype(np.float64)
     upper = at(top, left) * (1 - fx) + at(top, left + 1) * fx
     lower = at(top + 1, left) * (1 - fx) + at(top + 1, left + 1) * fx
     return ((upper * (1 - fy) + lower * fy) / 255.0).astype(np.float32)
 
 
+def sample_strip(pixels: np.ndarray, x0, y0, x1, y1, x2, y2, width: int, height: int) -> np.ndarray:
+    """`sample_strips` of one image."""
+    return sample_strips(pixels[None], np.array([[x0, y0, x1, y1, x2, y2]]), width, height)[0]
+
+
+#: Bytes of image pixels, and sampled values, worked on at once.
+STRIP_BYTES, STRIP_VALUES = 1 << 26, 400_000
+
+
 def strip_pixels(images: DataFrame, strips: DataFrame, width: int = 96, height: int = 24) -> DataFrame:
     """Channel-first pixel strip (array<float>) along every link. `strips`: path, u, v and the corners of `link_strips`.
 
-    One row per link; the image row is joined to its strips by path, and AQE may split a path with very many links.
+    One row per link; the image row is joined to its strips by path, and AQE may split a path with very many links. Links
+    on images of one size are sampled together.
     """
-    corners = ("x0", "y0", "x1", "y1", "x2", "y2")
-    joined = strips.select("path", "u", "v", *corners).join(images.select("path", F.col("height").alias("ih"), F.col("width").alias("iw"), "channels", "data"), "path")
+    corners = ["x0", "y0", "x1", "y1", "x2", "y2"]
+    joined = strips.select("path", "u", "v", *[F.col(c).cast("double").alias(c) for c in corners]).join(
+        images.select("path", F.col("height").cast("int").alias("ih"), F.col("width").cast("int").alias("iw"), F.col("channels").cast("int").alias("channels"), "data"), "path"
+    )
+    schema = pa.schema([("path", pa.string()), ("u", pa.int32()), ("v", pa.int32()), ("patch", pa.list_(pa.float32()))])
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                pixels = np.frombuffer(r.data, np.uint8).reshape(r.ih, r.iw, r.channels)
-                patch = sample_strip(pixels, *[getattr(r, c) for c in corners], width, height)
-                rows.append((r.path, r.u, r.v, patch.transpose(2, 0, 1).ravel()))
-            yield pd.DataFrame(rows, columns=["path", "u", "v", "patch"])
-
-    return joined.mapInPandas(run, "path string, u int, v int, patch array<float>")
+            shapes = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("ih", "iw", "channels")], axis=1)
+            places = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in corners], axis=1)
+            data, keys = batch.column(batch.schema.get_field_index("data")), batch.select(["path", "u", "v"])
+            for shape in np.unique(shapes, axis=0):
+                same, (ih, iw, channels) = np.flatnonzero((shapes == shape).all(1)), shape.tolist()
+                step = max(1, min(STRIP_BYTES // max(ih * iw * channels, 1), STRIP_VALUES // (width * height * channels)))
+                for begin in range(0, len(same), step):
+                    rows = same[begin : begin + step]
+                    pixels = np.stack([np.frombuffer(data[r].as_buffer(), np.uint8).reshape(ih, iw, channels) for r in rows.tolist()])
+                    patch = sample_strips(pixels, places[rows], width, height).transpose(0, 3, 1, 2)
+                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * (channels * width * height)), pa.array(patch.ravel()))
+                    yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(keys.take(pa.array(rows)).columns, schema)), listed], schema=schema)
+
+    return joined.mapInArrow(run, "path string, u int, v int, patch array<float>")

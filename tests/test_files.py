@@ -74,3 +74,32 @@ def test_copies(spark, tmp_path):
 
 def test_paths_of_file_systems():
     assert files.locate("file:///a/b c%20")[1] == files.locate("file:/a/b c%20")[1] == files.locate("/a/b c%20")[1] == "/a/b c%20"
+
+
+def test_strips_of_images_of_several_sizes(spark):
+    import numpy as np
+
+    from annograph.sources import images as I
+
+    rng = np.random.default_rng(4)
+    shapes = {"a": (8, 8, 3), "b": (5, 9, 1), "c": (8, 8, 3), "d": (1, 1, 4)}
+    data = {p: rng.integers(0, 256, s, np.uint8) for p, s in shapes.items()}
+    images = spark.createDataFrame([(p, *s, bytes(data[p].tobytes())) for p, s in shapes.items()], "path string, height int, width int, channels int, data binary")
+    links = [(p, u, u + 1, *rng.uniform(-9, 20, 6).tolist()) for u in range(30) for p in shapes]
+    strips = spark.createDataFrame(links, "path string, u int, v int, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double")
+    found = {(r.path, r.u): r.patch for r in I.strip_pixels(images, strips, 7, 4).collect()}
+    assert len(found) == len(links)
+    mirror = lambda i, n: 0 if n == 1 else (n - 1) - abs((n - 1) - i % (2 * (n - 1)))
+    for p, u, _, x0, y0, x1, y1, x2, y2 in links:
+        h, w, c = shapes[p]
+        wanted = np.zeros((c, 4, 7))
+        for down in range(4):
+            for across in range(7):
+                x, y = (o + across / 6 * (a - o) + down / 3 * (b - o) for o, a, b in ((x0, x1, x2), (y0, y1, y2)))
+                l, t = int(np.floor(x)), int(np.floor(y))
+                at = lambda j, i: data[p][mirror(t + j, h), mirror(l + i, w)].astype(float)
+                fx, fy = x - l, y - t
+                wanted[:, down, across] = ((at(0, 0) * (1 - fx) + at(0, 1) * fx) * (1 - fy) + (at(1, 0) * (1 - fx) + at(1, 1) * fx) * fy) / 255
+        assert np.allclose(found[p, u], wanted.ravel(), atol=1e-6)
+    I_sample = I.sample_strips(np.stack([data["a"], data["c"]]), np.array([links[0][3:], links[2][3:]]), 7, 4)
+    assert I_sample.shape == (2, 4, 7, 3)
