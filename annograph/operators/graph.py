@@ -8,8 +8,12 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
+from annograph.operators import feature_arrays
 from annograph.operators.normalize import let
 from annograph.operators.space import nearest_tiled, pairs_within
 from annograph.plans.session import materialize
@@ -110,7 +114,8 @@ def spacing_large(stats: DataFrame) -> DataFrame:
 def sample_rows(points: DataFrame, radius_multiplier: float, k: int) -> DataFrame:
     """One row per bounded sample: nodes with their statistics, the sample's spacing and the neighbours in reach.
 
-    Points are shuffled once, by sample; everything else happens inside the row.
+    Points are shuffled once, by sample; everything else happens inside the row, for many samples at once. Samples with
+    points that cannot be measured take column expressions.
     """
     packed = points.groupBy("sample_id").agg(F.collect_list(F.struct("id", "x", "y", "score")).alias("p")).where("size(p) >= 2")
 
@@ -143,7 +148,17 @@ def sample_rows(points: DataFrame, radius_multiplier: float, k: int) -> DataFram
 
         return let(let(F.array_sort(F.transform(nodes, lambda n: n["nearest"])), _fenced_median), with_spacing)
 
-    return packed.select("sample_id", let(let(F.array_sort("p"), measured), finished).alias("nodes"))
+    types = {f.name: f.dataType.simpleString() for f in points.schema}
+    kind = "array<struct<" + ",".join(f"{c}:{types[c]}" for c in ("id", "x", "y", "score")) + f",nearest:double,mean3:double,spacing:double,ring1:int,ring2:int,others:int,reach:array<{types['id']}>>>"
+    listed = to_arrow_type(_parse_datatype_string(kind))
+
+    def many(p: pa.Array) -> pa.Array:
+        return feature_arrays.nodes(p, listed, NEAR, (RING_1, RING_2), radius_multiplier, k)
+
+    whole = packed.select("sample_id", F.array_sort("p").alias("p"))
+    whole = whole.select("sample_id", "p", F.arrow_udf(many, kind)("p").alias("whole"))
+    odd = F.when(F.col("whole").isNull(), F.col("p"))
+    return whole.select("sample_id", F.coalesce("whole", F.when(F.col("whole").isNull(), let(let(odd, measured), finished))).alias("nodes"))
 
 
 NODE_STATS = ("nearest", "mean3", "spacing", "ring1", "ring2", "others")

@@ -210,3 +210,20 @@ def test_small_groups_are_picked_together():
     _, group = np.unique(sample, return_inverse=True)
     done, _ = P.pick_arrays.pick(group, src, dst, score, None, 2, 4, 0.2)
     assert done.all()
+
+
+def test_samples_measured_at_once_equal_the_column_form(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(s, i, float(rng.randint(0, 30)), rng.uniform(0, 30), rng.random()) for s in range(80) for i in range(rng.randint(1, 20))]
+    rows += [(90, i, 1.0, float("nan") if i == 2 else float(i), 1.0) for i in range(5)] + [(91, 3, 0.0, 0.0, 1.0), (91, 3, 4.0, 3.0, 1.0), (91, 5, 4.0, 0.0, None), (None, 0, 1.0, 1.0, 1.0), (None, 1, 1.0, 1.0, 1.0)]
+    points = spark.createDataFrame(rows, "sample_id long, id int, x double, y double, score double")
+    flat = lambda: sorted(str(r) for r in G.sample_rows(points, 2.5, 8).collect())
+    found = flat()
+    calls = []
+
+    def by_columns(function, kind):
+        calls.append(function)
+        return lambda column: F.lit(None).cast(kind)
+
+    monkeypatch.setattr(G.F, "arrow_udf", by_columns)
+    assert found == flat() and len(calls) == 1
