@@ -10,11 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from annograph.operators import graph_arrays
 from annograph.plans.session import materialize
-from annograph.plans.skew import rank_rows, running, split_hot
+from annograph.plans.skew import RANGE_ROWS, rank_rows, running, split_hot, split_large
 from annograph.functions.text import numbered
 from annograph.schemas import EDGE, ISSUE, ISSUE_TEXT, POINT, RAW_EDGE, RAW_POINT, SCHEMA_VERSION
 
@@ -258,17 +258,64 @@ def explode_documents(docs: DataFrame) -> Normalized:
     )
 
 
-def assign_ids_by_scan(points: DataFrame) -> DataFrame:
+def assign_ids_by_scan(points: DataFrame, limit: int = RANGE_ROWS) -> DataFrame:
     """Duplicate-id rule on rows (sample_id, pos, id, ...) without gathering a sample; adds `given`.
 
     Let m be the largest id given so far. Every repeat gives m+1, and an id above m gives itself, so with the raise
     flags known m is a running count plus a running maximum. A first occurrence at or below m is a repeat exactly
     when an earlier repeat was given that number. The flags start from a guess and are corrected until none changes;
     each round fixes at least the first wrong row of every sample, so the end state is the sequential one.
+    Samples of at most `limit` rows take windows, the others ranges and joins.
     """
+    rows = points.select("sample_id", "pos", F.col("id").cast("bigint").alias("id"))
+    (cold,), hot = split_large([rows], ["sample_id"], limit)
+    given = _scan_windows(cold)
+    return given if hot is None else given.unionByName(_scan_ranges(hot[0]))
+
+
+def _scan_windows(rows: DataFrame) -> DataFrame:
+    """The rounds as windows of one sample each. Rows are sent once a round, and settled samples leave after it."""
+    upto = W.partitionBy("sample_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy("sample_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    # a null names nothing, so it is never a first occurrence
+    first = F.col("sample_id").isNotNull() & F.col("id").isNotNull() & (F.rank().over(W.partitionBy("sample_id", "id").orderBy("pos")) == 1)
+    state = rows.select("sample_id", "pos", "id", first.alias("is_first"))
+    raises = ~F.col("is_first") | (F.col("id") > F.coalesce(F.max("id").over(before), F.lit(-1)))
+    state = state.withColumn("raises", F.when(raises, 1).otherwise(0))
+    done = None
+    while True:
+        counted = state.withColumn("raised", F.sum("raises").over(upto))
+        lifted = F.when(F.col("raises") == 1, F.col("id") - F.col("raised"))
+        counted = counted.withColumn("top", F.max(lifted).over(upto)).withColumn("top_before", F.max(lifted).over(before))
+        level = F.col("raised") + F.greatest(F.col("top"), F.lit(-1))
+        level_before = F.col("raised") - F.col("raises") + F.greatest(F.col("top_before"), F.lit(-1))
+        scanned = counted.select("sample_id", "pos", "id", "is_first", "raises", level.alias("level"), level_before.alias("level_before"))
+        repeat = ~F.col("is_first") | ((F.col("raises") == 1) & (F.col("id") <= F.col("level_before")))
+        # each row asks for its own id; a repeat also tells the number it was given
+        asks = lambda own, value: F.struct(F.lit(own).alias("own"), F.col(value).alias("value"))
+        told = scanned.select("*", repeat.alias("repeat")).select(
+            "*", F.inline(F.when(F.col("repeat"), F.array(asks(True, "id"), asks(False, "level"))).otherwise(F.array(asks(True, "id"))))
+        )
+        earlier = W.partitionBy("sample_id", "value").orderBy("pos").rangeBetween(W.unboundedPreceding, -1)
+        taken = F.coalesce(F.max(~F.col("own")).over(earlier), F.lit(False))
+        wanted = F.when(~F.col("is_first") | (F.col("id") > F.col("level_before")) | F.col("taken"), 1).otherwise(0)
+        checked = told.withColumn("taken", taken).where("own").select(
+            "sample_id", "pos", "id", "is_first", wanted.alias("raises"), (wanted != F.col("raises")).alias("changed"),
+            F.when(F.col("repeat"), F.col("level")).otherwise(F.col("id")).alias("given"),
+        )
+        checked = materialize(checked.withColumn("open", F.max("changed").over(W.partitionBy("sample_id"))), "ids")
+        settled = checked.where("not open").select("sample_id", "pos", "given")
+        done = settled if done is None else done.unionByName(settled)
+        state = checked.where("open").select("sample_id", "pos", "id", "is_first", "raises")
+        if not state.limit(1).count():
+            return done
+
+
+def _scan_ranges(points: DataFrame) -> DataFrame:
+    """The rounds as running totals over ranges and joins, for samples of any size."""
     sample = ["sample_id"]
     first = points.groupBy("sample_id", "id").agg(F.min("pos").alias("pos")).withColumn("is_first", F.lit(True))
-    rows = points.select("sample_id", "pos", F.col("id").cast("bigint").alias("id")).join(first, ["sample_id", "id", "pos"], "left")
+    rows = points.join(first, ["sample_id", "id", "pos"], "left")
     rows = rows.withColumn("is_first", F.coalesce("is_first", F.lit(False)))
     rows = running(rows, sample, "pos", [("earlier", "max", F.col("id"), False)])
     state = materialize(
@@ -301,25 +348,57 @@ def assign_ids_by_scan(points: DataFrame) -> DataFrame:
         state = materialize(checked.drop("was").unionByName(repeats), "ids")
 
 
-def normalize_large(points: DataFrame, edges: DataFrame) -> Normalized:
-    """Table form of `normalize_documents` for samples of any size."""
+def _links_by_windows(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """Readable links with the ranks of their ends, whether they win and their number: points and links of a sample travel
+    together, so a link's ends are the points before it in the order of ids, and rows are sent once."""
+    spots = ranked.select("sample_id", F.lit(0).alias("kind"), F.col("given").alias("src"), F.col("given").alias("dst"), "new_id")
+    links = edges.withColumns({"kind": F.lit(1), "src": F.col("src").cast("bigint"), "dst": F.col("dst").cast("bigint")})
+    both = spots.unionByName(links, allowMissingColumns=True).repartition("sample_id")
+    known = lambda side: F.max(F.when(F.col("sample_id").isNotNull(), F.col("new_id"))).over(
+        W.partitionBy("sample_id", side).orderBy("kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    resolved = both.withColumn("new_src", known("src")).withColumn("new_dst", known("dst")).where("kind = 1").drop("kind", "new_id")
+    u, v = F.least("new_src", "new_dst"), F.greatest("new_src", "new_dst")
+    proper = F.col("new_src").isNotNull() & F.col("new_dst").isNotNull() & (F.col("new_src") != F.col("new_dst"))
+    resolved = resolved.withColumns({"u": u, "v": v, "proper": proper})
+    nth = F.rank().over(W.partitionBy("sample_id", "u", "v", "proper").orderBy("pos"))
+    decided = resolved.withColumn("wins", F.when(F.col("proper") & (nth == 1), True))
+    count = F.sum(F.when(F.col("wins"), 1)).over(W.partitionBy("sample_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return decided.drop("proper").withColumn("number", F.when(F.col("wins"), count))
+
+
+def _links_by_joins(ranked: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same for samples of any size."""
+    known = lambda side: ranked.select("sample_id", F.col("given").alias(side), F.col("new_id").alias(f"new_{side}"))
+    resolved = edges.join(known("src"), ["sample_id", "src"], "left").join(known("dst"), ["sample_id", "dst"], "left")
+    resolved = materialize(resolved.withColumn("u", F.least("new_src", "new_dst")).withColumn("v", F.greatest("new_src", "new_dst")), "links")
+    proper = F.col("new_src").isNotNull() & F.col("new_dst").isNotNull() & (F.col("new_src") != F.col("new_dst"))
+    winners = resolved.where(proper).groupBy("sample_id", "u", "v").agg(F.min("pos").alias("pos")).withColumn("wins", F.lit(True))
+    decided = materialize(resolved.where(proper).join(winners, ["sample_id", "u", "v", "pos"], "left"), "links")
+    links = running(decided.where("wins"), ["sample_id"], "pos", [("number", "sum", F.lit(1), True)])
+    rest = decided.where("wins is null").unionByName(resolved.where(~F.coalesce(proper, F.lit(False))), allowMissingColumns=True)
+    return links.unionByName(rest, allowMissingColumns=True)
+
+
+def normalize_large(points: DataFrame, edges: DataFrame, limit: int = RANGE_ROWS) -> Normalized:
+    """Table form of `normalize_documents` for samples of any size. Those of at most `limit` elements have their links resolved by
+    windows."""
     valid = F.col("is_object") & F.col("id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()
     good = points.where(valid)
-    given = assign_ids_by_scan(good)
+    given = assign_ids_by_scan(good, limit)
     ranked = running(given, ["sample_id"], "given", [("rank", "sum", F.lit(1), True)])
     ranked = materialize(ranked.select("sample_id", "pos", "given", (F.col("rank") - 1).cast("int").alias("new_id")), "ids")
     kept = good.join(ranked, ["sample_id", "pos"])
 
-    known = lambda side: ranked.select("sample_id", F.col("given").alias(side), F.col("new_id").alias(f"new_{side}"))
     readable = F.col("is_object") & F.col("src").isNotNull() & F.col("dst").isNotNull()
-    resolved = edges.where(readable).join(known("src"), ["sample_id", "src"], "left").join(known("dst"), ["sample_id", "dst"], "left")
-    resolved = resolved.withColumn("u", F.least("new_src", "new_dst")).withColumn("v", F.greatest("new_src", "new_dst"))
+    cold, hot = split_large([ranked, edges.where(readable)], ["sample_id"], limit)
+    decided = _links_by_windows(*cold)
+    if hot is not None:
+        decided = decided.unionByName(_links_by_joins(*hot))
+    decided = materialize(decided, "links")
+    links = decided.where("wins")
     dangling = F.col("new_src").isNull() | F.col("new_dst").isNull()
     loop = F.col("new_src") == F.col("new_dst")
-    proper = resolved.where(~dangling & ~loop)
-    winners = proper.groupBy("sample_id", "u", "v").agg(F.min("pos").alias("pos")).withColumn("wins", F.lit(True))
-    decided = materialize(proper.join(winners, ["sample_id", "u", "v", "pos"], "left"), "links")
-    links = running(decided.where("wins"), ["sample_id"], "pos", [("number", "sum", F.lit(1), True)])
 
     def found(rows: DataFrame, part: int, code: str, *args: str, pos: str = "pos") -> DataFrame:
         return rows.select("sample_id", F.inline(F.array(issue(part, F.col(pos), code, *[F.col(a) for a in args]))))
@@ -331,9 +410,9 @@ def normalize_large(points: DataFrame, edges: DataFrame) -> Normalized:
         found(kept.where(F.col("given") != F.col("id")), 1, "POINT_ID_DUP", "id"),
         found(edges.where(~F.col("is_object")), 2, "EDGE_NOT_OBJECT", "pos"),
         found(edges.where(F.col("is_object") & ~readable), 2, "EDGE_INVALID", "pos"),
-        found(resolved.where(dangling), 2, "EDGE_DANGLING", "pos", "src", "dst"),
-        found(resolved.where(~dangling & loop), 2, "EDGE_SELF_LOOP", "pos"),
-        found(decided.where("wins is null"), 2, "EDGE_DUP", "pos"),
+        found(decided.where(dangling), 2, "EDGE_DANGLING", "pos", "src", "dst"),
+        found(decided.where(~dangling & loop), 2, "EDGE_SELF_LOOP", "pos"),
+        found(decided.where(~dangling & ~loop & F.col("wins").isNull()), 2, "EDGE_DUP", "pos"),
         found(decided.where("wins and label is null"), 2, "VALUE_INVALID", "pos"),
     ]
     merged = issues[0]

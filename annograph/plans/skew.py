@@ -37,6 +37,17 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> tupl
     return df.join(heavy, list(keys), "left_anti"), df.join(heavy, list(keys), "left_semi")
 
 
+def split_large(tables: Sequence[DataFrame], group: Sequence[str], limit: int) -> tuple[list[DataFrame], list[DataFrame] | None]:
+    """The tables' rows of groups of at most `limit` rows in all of them, and the rest or None. Null is a group of its own."""
+    keys = reduce(DataFrame.unionByName, [t.select(*group) for t in tables])
+    heavy = hot_groups(keys, group, limit)
+    if heavy is None:
+        return list(tables), None
+    named = heavy.select(*[F.col(g).alias(f"__h{i}") for i, g in enumerate(group)])
+    same = lambda t: reduce(lambda x, y: x & y, [t[g].eqNullSafe(named[f"__h{i}"]) for i, g in enumerate(group)])
+    return [t.join(named, same(t), "left_anti") for t in tables], [t.join(named, same(t), "left_semi") for t in tables]
+
+
 def running(
     df: DataFrame,
     group: Sequence[str],
@@ -46,19 +57,34 @@ def running(
 ) -> DataFrame:
     """Exact running aggregates of each group in `key`, then `extra` order. Keys are of any type that sorts.
 
-    `specs` holds (name, "sum" | "max", expression, inclusive). The window of a range is combined with the totals of the
-    group's earlier ranges; fewer rows than a range holds need one window only. An exclusive max without earlier rows is null, an exclusive sum is 0. The ranges are a written
-    table, since a range partitioning that is worked out again may cut elsewhere.
+    `specs` holds (name, "sum" | "max", expression, inclusive). Groups that a range could hold take one window, which sends each
+    row once. For larger ones, the window of a range is combined with the totals of the group's earlier ranges. An exclusive max
+    without earlier rows is null, an exclusive sum is 0.
     """
+    if not group:
+        return _running_ranges(df, group, key, specs, extra)
+    (cold,), hot = split_large([df], group, RANGE_ROWS)
+    out = _running_window(cold, group, key, specs, extra)
+    return out if hot is None else out.unionByName(_running_ranges(hot[0], group, key, specs, extra))
+
+
+def _running_window(df: DataFrame, group, key, specs, extra) -> DataFrame:
+    aggregate = {"sum": F.sum, "max": F.max}
+    whole = W.partitionBy(*group).orderBy(key, *extra)
+    frames = [whole.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1) for *_, inclusive in specs]
+    windowed = [aggregate[kind](expr).over(frame) for (_, kind, expr, _), frame in zip(specs, frames)]
+    return df.select("*", *[(F.coalesce(w, F.lit(0)) if s[1] == "sum" else w).alias(s[0]) for w, s in zip(windowed, specs)])
+
+
+def _running_ranges(df: DataFrame, group, key, specs, extra) -> DataFrame:
+    """`running` for groups of any size. The ranges are a written table, since a range partitioning that is worked out again
+    may cut elsewhere."""
     aggregate = {"sum": F.sum, "max": F.max}
     order = [key, *extra, "__no"]
     rows = materialize(df.withColumn("__no", F.monotonically_increasing_id()), "rows")
     count = rows.count()  # from the table's footers
     if count <= RANGE_ROWS:  # then one range holds any group
-        whole = W.partitionBy(*group).orderBy(*order)
-        frames = [whole.rowsBetween(W.unboundedPreceding, 0 if inclusive else -1) for *_, inclusive in specs]
-        windowed = [aggregate[kind](expr).over(frame) for (_, kind, expr, _), frame in zip(specs, frames)]
-        return rows.select(*df.columns, *[(F.coalesce(w, F.lit(0)) if s[1] == "sum" else w).alias(s[0]) for w, s in zip(windowed, specs)])
+        return _running_window(rows, group, key, specs, [*extra, "__no"]).drop("__no")
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // RANGE_ROWS))
     ranges = materialize(rows.repartitionByRange(parts, *group, *order).withColumn("__range", F.spark_partition_id()), "ranges")
     cell = ["__range", *group]

@@ -100,6 +100,17 @@ def test_running_totals_cross_buckets(spark):
     assert ranked.where("n <> shiftright(k, 1) + 1").count() == 0 and ranked.count() == 300_000
 
 
+def test_running_totals_of_small_and_large_groups(spark, monkeypatch):
+    """Groups that fit a range and groups that do not, a null group among either."""
+    monkeypatch.setattr(skew, "RANGE_ROWS", 100)
+    for null_rows in (30, 400):
+        sizes = {None: null_rows, "a": 20, "b": 1000, "c": 100, "d": 101}
+        rows = spark.createDataFrame([(g, k) for g, n in sizes.items() for k in range(n)], "g string, k int")
+        got = skew.running(rows, ["g"], "k", [("n", "sum", F.lit(1), True), ("before", "max", F.col("k"), False)])
+        assert got.where("n <> k + 1 or not before <=> if(k = 0, null, k - 1)").count() == 0
+        assert {r.g: r["count"] for r in got.groupBy("g").count().collect()} == sizes
+
+
 def test_running_totals_of_one_key_and_of_an_outlier(spark, monkeypatch):
     """Neither rows of one key and no other difference nor a far value put more rows into a range than the others hold."""
     monkeypatch.setattr(skew, "RANGE_ROWS", 5_000)

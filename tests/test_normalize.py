@@ -83,6 +83,33 @@ def test_table_form_equals_fold(spark):
     check(N.normalize_large(points, edges), raw)
 
 
+@pytest.mark.parametrize("limit", [0, 12, 30])
+def test_table_form_of_samples_above_and_below_a_range_equals_fold(spark, limit):
+    """Windows for the samples that a range could hold, ranges and joins for the others."""
+    points, edges, raw = random_tables(spark, seed=13, samples=40)
+    check(N.normalize_large(points, edges, limit), raw)
+
+
+def test_table_form_sends_rows_of_small_samples_once_a_step(spark, monkeypatch):
+    """No step of many small samples is range-partitioned, and links meet the ids of their ends without a join."""
+    from annograph.plans import skew
+
+    monkeypatch.setattr(skew, "RANGE_ROWS", 50)
+    written = []
+    kept = N.materialize
+
+    def watched(df, label="stage"):
+        written.append((label, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df, label)
+
+    monkeypatch.setattr(N, "materialize", watched)
+    monkeypatch.setattr(skew, "materialize", watched)
+    points, edges, raw = random_tables(spark, seed=17, samples=30)
+    check(N.normalize_large(points, edges), raw)
+    assert not any(label in ("rows", "ranges") for label, _ in written)
+    assert not any("Join" in plan for _, plan in written)
+
+
 def test_large_samples_take_the_table_form_and_nothing_is_lost(spark):
     points, edges, raw = random_tables(spark, seed=3, samples=40)
     check(N.normalize_tables(points, edges, limit=20), raw)
