@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,11 +15,12 @@ from annograph.functions.text import numbered
 from annograph.operators import pick_arrays
 from annograph.plans.groups import map_groups, whole_groups
 from annograph.plans.session import materialize
-from annograph.plans.skew import hot_groups, rank_rows, running, split_hot
+from annograph.plans.skew import RANGE_ROWS, hot_groups, rank_rows, running, split_hot, split_large
 from annograph.schemas import LINK_SOURCE, POSTPROCESS_PRESETS
 
 MERGE_LIMIT = 512    # points of one image merged inside one task call
 SELECT_LIMIT = 50_000  # links of one sample selected inside one task call
+WINDOW_ROUNDS = 4  # rounds of three steps along links before long groups are left to jumps
 
 
 # ---------------------------------------------------------------- scoring
@@ -348,8 +350,38 @@ def pick_links(src, dst, score, xy, max_degree: int, max_cycle: int, weight: flo
     return kept
 
 
-def connected_groups(links: DataFrame) -> DataFrame:
-    """(sample_id, node, component) with the least node id as component, by repeated neighbour minima and jumps."""
+def connected_groups(links: DataFrame, limit: int = RANGE_ROWS) -> DataFrame:
+    """(sample_id, node, component) with the least node id as component.
+
+    Samples of at most `limit` links take windows, which send each link once a round; larger ones, and those whose groups are
+    too long to settle in a few rounds, take joins with jumps.
+    """
+    named = links.select("sample_id", "src", "dst").dropna()
+    (cold,), hot = split_large([named], ["sample_id"], limit)
+    u, v = F.least("src", "dst"), F.greatest("src", "dst")
+    state = cold.select("sample_id", u.alias("u"), v.alias("v"), F.explode(F.array("src", "dst")).alias("node"), u.alias("c"))
+    settled, rest = [], [] if hot is None else hot
+    for _ in range(WINDOW_ROUNDS):
+        spread = state.repartition("sample_id")
+        for _ in range(3):
+            at_node = F.min("c").over(W.partitionBy("sample_id", "node"))
+            spread = spread.withColumn("was", F.col("c")).withColumn("c", at_node)
+            spread = spread.withColumn("c", F.min("c").over(W.partitionBy("sample_id", "u", "v")))
+        moved = F.max(F.col("c") != F.col("was")).over(W.partitionBy("sample_id"))
+        state = materialize(spread.withColumn("open", moved).drop("was"), "component")
+        settled.append(state.where("not open").groupBy("sample_id", "node").agg(F.min("c").alias("component")))
+        state = state.where("open").drop("open")
+        if not state.limit(1).count():
+            break
+    else:
+        rest = [*rest, state.select("sample_id", F.col("u").alias("src"), F.col("v").alias("dst"))]
+    if rest:
+        settled.append(_groups_by_joins(reduce(DataFrame.unionByName, rest)))
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _groups_by_joins(links: DataFrame) -> DataFrame:
+    """The same by repeated neighbour minima and jumps, for groups of any size and length."""
     both = materialize(
         links.select("sample_id", F.col("src").alias("node"), F.col("dst").alias("other"))
         .unionByName(links.select("sample_id", F.col("dst").alias("node"), F.col("src").alias("other"))).distinct(),

@@ -227,3 +227,22 @@ def test_samples_measured_at_once_equal_the_column_form(spark, monkeypatch):
 
     monkeypatch.setattr(G.F, "arrow_udf", by_columns)
     assert found == flat() and len(calls) == 1
+
+
+def test_connected_groups_of_windows_equal_those_of_joins(spark, monkeypatch):
+    """Short and long groups, repeated links, loops and nulls; small samples settle without a join."""
+    rng = random.Random(5)
+    short = [(s, rng.randint(0, 20), rng.randint(0, 20)) for s in range(30) for _ in range(rng.randint(1, 15))]
+    chain = [(99, n, n + 1) for n in range(60)]
+    shape = "sample_id int, src int, dst int"
+    df = spark.createDataFrame([*short, *chain, (None, 1, 2), (98, 3, None)], shape)
+    listed = lambda out: sorted(tuple(r) for r in out.select("sample_id", "node", "component").collect())
+    expected = listed(P._groups_by_joins(df.dropna()))
+    assert listed(P.connected_groups(df)) == listed(P.connected_groups(df, limit=10)) == expected
+    assert {c for s, _, c in expected if s == 99} == {0}
+    written = []
+    kept = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda t, label: written.append(t._jdf.queryExecution().optimizedPlan().toString()) or kept(t, label))
+    pairs = spark.createDataFrame([(s, 0, 1) for s in range(40)], shape)
+    assert len(listed(P.connected_groups(pairs))) == 80
+    assert len(written) == 1 and "Join" not in written[0]
