@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from annograph.functions.text import numbered
-from annograph.plans.skew import rank_rows
+from annograph.plans.session import materialize
+from annograph.plans.skew import rank_rows, split_large
 from annograph.schemas import METADATA_LINK_REVIEW, METADATA_POINT_REVIEW
 
+NEAR_LIMIT = 64  # points of a sample that a click is compared with one by one
+
 
 def add_points(points: DataFrame, added: DataFrame) -> DataFrame:
     """Append (sample_id, seq, x, y) with ids after the largest one of the sample (0 when it has none)."""
@@ -113,20 +116,31 @@ def load_precedence(images: DataFrame, output: DataFrame, source: DataFrame) ->
     )
 
 
-def nearest_point(points: DataFrame, clicks: DataFrame, radius: float) -> DataFrame:
+def nearest_point(points: DataFrame, clicks: DataFrame, radius: float, limit: int = NEAR_LIMIT) -> DataFrame:
     """Closest point of the clicked sample within `radius`; first id on equal distance.
 
-    `clicks`: sample_id, click, qx, qy. The minimum is aggregated before the shuffle, so a sample is never gathered.
+    `clicks`: sample_id, click, qx, qy. In samples of at most `limit` points each click meets all points, so it is sent once;
+    in the others it is sent to the nine cells around it, so a sample is never gathered.
     """
-    dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+    points, clicks = points.select("sample_id", "id", "x", "y"), clicks.select("sample_id", "click", "qx", "qy")
+    (near,), far = split_large([points.where(F.col("sample_id").isNotNull())], ["sample_id"], limit)
+    found = _closest(clicks.join(near, "sample_id"), radius)
+    if far is None:
+        return found
+    heavy = materialize(far[0].select("sample_id").distinct(), "hot")
     cell = lambda c: F.floor(F.col(c) / radius)
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    placed = points.select("sample_id", "id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    asked = clicks.select("sample_id", "click", "qx", "qy", cell("qx").alias("qcx"), cell("qy").alias("qcy"))
-    asked = asked.withColumn("a", F.explode(near)).withColumn("b", F.explode(near))
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    placed = far[0].withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    asked = clicks.join(heavy, "sample_id", "left_semi").select("sample_id", "click", "qx", "qy", cell("qx").alias("qcx"), cell("qy").alias("qcy"))
+    asked = asked.withColumn("a", F.explode(steps)).withColumn("b", F.explode(steps))
     asked = asked.select("sample_id", "click", "qx", "qy", (F.col("qcx") + F.col("a")).alias("cx"), (F.col("qcy") + F.col("b")).alias("cy"))
-    joined = asked.join(placed, ["sample_id", "cx", "cy"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)
-    return joined.groupBy("sample_id", "click").agg(F.min(F.struct("d", "id")).alias("m")).select(
+    return found.unionByName(_closest(asked.join(placed, ["sample_id", "cx", "cy"]), radius))
+
+
+def _closest(joined: DataFrame, radius: float) -> DataFrame:
+    dx, dy = F.col("x") - F.col("qx"), F.col("y") - F.col("qy")
+    within = joined.withColumn("d", F.sqrt(dx * dx + dy * dy)).where(F.col("d") <= radius)
+    return within.groupBy("sample_id", "click").agg(F.min(F.struct("d", "id")).alias("m")).select(
         "sample_id", "click", F.col("m.id").alias("id"), F.col("m.d").alias("d")
     )
 
