@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from annograph.operators.normalize import edge_set
+from annograph.operators.normalize import edge_set, proper_links
 from annograph.schemas import METRIC_FIELDS
 
 
 def classify_edges(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(sample_id, u, v, class) with class TP, FP or FN; both sides become distinct undirected links first."""
-    p = edge_set(predicted).withColumn("p", F.lit(True))
-    t = edge_set(truth).withColumn("t", F.lit(True))
-    label = F.when(F.col("p").isNull(), "FN").when(F.col("t").isNull(), "FP").otherwise("TP")
-    return p.join(t, ["sample_id", "u", "v"], "full").select("sample_id", "u", "v", label.alias("class"))
+    side = lambda links, p: proper_links(links).withColumn("p", F.lit(p))
+    # a link without a sample equals none of the other side
+    alone = F.when(F.col("sample_id").isNull(), F.col("p")).alias("alone")
+    both = side(predicted, True).unionByName(side(truth, False)).groupBy("sample_id", "u", "v", alone)
+    label = F.when(F.col("p") & F.col("t"), "TP").when(F.col("p"), "FP").otherwise("FN")
+    return both.agg(F.max("p").alias("p"), F.max(~F.col("p")).alias("t")).select("sample_id", "u", "v", label.alias("class"))
 
 
 def edge_classes_by_sets(predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -510,15 +510,19 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def edge_set(edges: DataFrame) -> DataFrame:
-    """Distinct undirected links (sample_id, u, v); unreadable ones and self-loops skipped."""
+def proper_links(edges: DataFrame) -> DataFrame:
+    """Undirected links (sample_id, u, v); unreadable ones and self-loops skipped."""
     return (
         edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
         .select("sample_id", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
-        .distinct()
     )
 
 
+def edge_set(edges: DataFrame) -> DataFrame:
+    """`proper_links`, each once."""
+    return proper_links(edges).distinct()
+
+
 def rounded_points(points: DataFrame) -> DataFrame:
     """Integer coordinates (halves to even); of equal ids the last position wins."""
     return (

@@ -2,6 +2,7 @@
 
 import json
 import os
+import math
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from annograph.functions.text import output_path, stem_of, suffix_of
 from annograph.operators import corpus as C, pairing
 from annograph.operators.edits import nearest_point
+from annograph.operators.evaluate import classify_edges
 from annograph.plans import skew
 from annograph.plans.skew import rank_rows, running
 from annograph.sinks import writers
@@ -151,6 +153,34 @@ def test_nearest_point(spark):
     assert [(r.click, r.id, r.d) for r in nearest_point(points, clicks, 14.0).collect()] == [(0, 1, 1.0)]
 
 
+def test_nearest_point_sends_clicks_of_small_samples_once(spark):
+    """Samples below and above the limit equal brute force; clicks of the former are not multiplied."""
+    rng = random.Random(3)
+    spots = [(s, i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for s in range(6) for i in range(3 + 10 * (s % 2))]
+    asked = [(s, c, rng.uniform(-50, 50), rng.uniform(-50, 50)) for s in range(7) for c in range(20)]
+    points = spark.createDataFrame([*spots, (None, 0, 0.0, 0.0)], "sample_id int, id int, x double, y double")
+    clicks = spark.createDataFrame([*asked, (None, 0, 0.0, 0.0)], "sample_id int, click int, qx double, qy double")
+    best = {}
+    for s, c, qx, qy in asked:
+        near = [(math.hypot(x - qx, y - qy), i) for t, i, x, y in spots if t == s and math.hypot(x - qx, y - qy) <= 15.0]
+        if near:
+            best[s, c] = min(near)[1]
+    for limit in (0, 5, 64):
+        assert {(r.sample_id, r.click): r.id for r in nearest_point(points, clicks, 15.0, limit).collect()} == best
+    assert "Generate" not in nearest_point(points, clicks, 15.0)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edge_classes_need_one_shuffle(spark):
+    """Both sides meet in one aggregate; links without a sample equal nothing."""
+    shape = "sample_id int, src int, dst int"
+    predicted = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (1, 2, 3), (1, 4, 4), (1, None, 2), (None, 0, 1), (None, 1, 0)], shape)
+    truth = spark.createDataFrame([(1, 1, 0), (1, 5, 6), (None, 0, 1)], shape)
+    out = classify_edges(predicted, truth)
+    got = sorted((r.sample_id or 0, r.u, r.v, r["class"]) for r in out.collect())
+    assert got == [(0, 0, 1, "FN"), (0, 0, 1, "FP"), (1, 0, 1, "TP"), (1, 2, 3, "FP"), (1, 5, 6, "FN")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_review_items(spark):
     images = spark.createDataFrame([("keep", "i/keep.png"), ("skip", "i/skip.png")], "stem string, path string")
     labels = spark.createDataFrame([("keep", "i/keep.json")], "stem string, path string")
