@@ -49,26 +49,34 @@ def raw_points(v: Column, items: Column | None = None) -> Column:
     def element(p: Column, i: Column) -> Column:
         pos = i.cast("int")
         return F.struct(
-            pos.alias("pos"), is_object(p).alias("is_object"),
-            F.when(has_key(p, "id"), field(p, "$.id", "bigint")).otherwise(pos.cast("bigint")).alias("id"),
-            field(p, "$.x", "double").alias("x"), field(p, "$.y", "double").alias("y"),
-            F.when(has_key(p, "score"), field(p, "$.score", "double")).otherwise(1.0).alias("score"),
-            F.when(has_key(p, "source"), field(p, "$.source", "string")).otherwise("manual").alias("source"),
+            pos.alias("pos"), p.isNotNull().alias("is_object"),
+            _given(p["id"], "bigint", pos.cast("bigint")).alias("id"), p["x"].alias("x"), p["y"].alias("y"),
+            _given(p["score"], "double", F.lit(1.0)).alias("score"), _given(p["source"], "string", F.lit("manual")).alias("source"),
         )
 
-    return F.transform(_elements(v, "points", items), element)
+    return F.transform(_objects(v, "points", items, "struct<id:variant,x:double,y:double,score:variant,source:variant>"), element)
 
 
 def raw_edges(v: Column, items: Column | None = None) -> Column:
     def element(e: Column, i: Column) -> Column:
         return F.struct(
-            i.cast("int").alias("pos"), is_object(e).alias("is_object"), field(e, "$.edge_id", "string").alias("edge_id"),
-            field(e, "$.src", "bigint").alias("src"), field(e, "$.dst", "bigint").alias("dst"),
-            F.when(has_key(e, "label"), field(e, "$.label", "int")).otherwise(1).alias("label"),
-            F.when(has_key(e, "source"), field(e, "$.source", "string")).otherwise("manual").alias("source"),
+            i.cast("int").alias("pos"), e.isNotNull().alias("is_object"), e["edge_id"].alias("edge_id"),
+            e["src"].alias("src"), e["dst"].alias("dst"),
+            _given(e["label"], "int", F.lit(1)).alias("label"), _given(e["source"], "string", F.lit("manual")).alias("source"),
         )
 
-    return F.transform(_elements(v, "edges", items), element)
+    return F.transform(_objects(v, "edges", items, "struct<edge_id:string,src:bigint,dst:bigint,label:variant,source:variant>"), element)
+
+
+def _given(value: Column, kind: str, default: Column) -> Column:
+    """A VARIANT member as `kind`, the default where the member is absent; a JSON null is not absent."""
+    return F.when(value.isNotNull(), field(value, "$", kind)).otherwise(default)
+
+
+def _objects(v: Column, name: str, items: Column | None, kind: str) -> Column:
+    """The array under `name` with its objects read as `kind` in one go, null for elements of other kinds."""
+    given = () if items is None else (F.transform(items, lambda item: field(item, "$", kind)),)
+    return F.coalesce(*given, field(v, f"$.{name}", f"array<{kind}>"), F.expr(f"cast(array() as array<{kind}>)"))
 
 
 def _elements(v: Column, name: str, items: Column | None) -> Column:

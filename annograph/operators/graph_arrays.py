@@ -1,7 +1,7 @@
-"""Graph rules of one long document on its columns: ids sorted once, ends of links looked up in them, repeats by key.
+"""Graph rules of many documents at once on their columns: ids sorted once, ends of links looked up in them, repeats by key.
 
-Takes the raw elements of a document as Arrow arrays and gives what `normalize` gives for them. Linear in the elements but
-for the sorting, and only ids of documents with repeated ids are gone through one by one.
+Takes the raw elements of a batch of documents as Arrow list arrays and gives what the column expressions of `normalize` give
+for each. Linear in the elements but for the sorting, and only ids of documents with repeated ids are gone through one by one.
 """
 
 from __future__ import annotations
@@ -19,72 +19,126 @@ _ISSUE = pa.struct([("part", pa.int32()), ("pos", pa.int32()), ("level", pa.stri
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values (0 for null) and where they are."""
-    return column.fill_null(0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), _flags(column.is_valid())
 
 
-def _flags(column: pa.Array) -> np.ndarray:
-    return column.fill_null(False).to_numpy(zero_copy_only=False)
+def _flags(column: pa.Array, null: bool = False) -> np.ndarray:
+    return column.fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def assigned(ids: np.ndarray) -> np.ndarray:
-    """Ids after a repeated one took the next number above all given so far (and at least 0)."""
-    if len(np.unique(ids)) == len(ids):
+def _firsts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Whether each row of sorted keys differs from the row before."""
+    out = np.ones(len(sorted_keys[0]), bool)
+    out[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return out
+
+
+def _within(doc: np.ndarray) -> np.ndarray:
+    """Number of each row in its document, from 0; rows come document by document."""
+    start = np.maximum.accumulate(np.where(_firsts(doc), np.arange(len(doc)), 0))
+    return np.arange(len(doc)) - start
+
+
+def assigned(doc: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ids after a repeated one took the next number above all its document gave so far (and at least 0)."""
+    order = np.lexsort((ids, doc))
+    repeated = doc[order][~_firsts(doc[order], ids[order])]
+    if not len(repeated):
         return ids
-    given, used, top = ids.copy(), set(), 0
-    for k, i in enumerate(ids.tolist()):
+    given = ids.copy()
+    rows = np.flatnonzero(np.isin(doc, repeated))
+    now, used, top, changed, values = -1, set(), 0, [], []
+    for k, d, i in zip(rows.tolist(), doc[rows].tolist(), ids[rows].tolist()):
+        if d != now:
+            now, used, top = d, set(), 0
         if i in used:
-            given[k] = i = top
+            i = top
+            changed.append(k)
+            values.append(i)
         used.add(i)
-        top = max(top, i + 1)
+        if i >= top:
+            top = i + 1
+    given[changed] = values
     return given
 
 
 class _Issues:
+    """Issues of a batch, gathered rule by rule and put in order at the end."""
+
     def __init__(self, detail: str):
-        self.detail, self.rows = detail, []
+        self.detail, self.parts = detail, []
 
-    def add(self, part: int, pos: np.ndarray, code: str, *args: np.ndarray) -> None:
-        if self.detail == "none":
+    def add(self, part: int, rows: np.ndarray, doc: np.ndarray, pos: pa.Array, code: str, *args: pa.Array) -> None:
+        if self.detail == "none" or not len(rows):
             return
-        told = self.detail == "messages"
-        text = ISSUE_TEXT[code]
-        for p, *values in zip(pos.tolist(), *[a.tolist() for a in args]):
-            self.rows.append((part, p, "error", code, (text % tuple(values) if values else text) if told else None))
-
-    def array(self) -> pa.Array:
-        names = [f.name for f in _ISSUE]
-        return pa.array([dict(zip(names, r)) for r in sorted(self.rows, key=lambda r: r[:4])], _ISSUE)
+        at = pa.array(rows)
+        pos, n = pos.take(at).cast(pa.int32()), len(rows)
+        if self.detail == "messages":
+            text = ISSUE_TEXT[code].replace("%d", "%s")
+            values = zip(*[["null" if v is None else v for v in a.take(at).to_pylist()] for a in (args or (pos,))])
+            messages = pa.array([text % v for v in values] if args else [text] * n, pa.string())
+        else:
+            messages = pa.nulls(n, pa.string())
+        columns = [pa.array(doc[rows]), pa.repeat(pa.scalar(part, pa.int32()), n), pos, pa.repeat("error", n), pa.repeat(code, n), messages]
+        self.parts.append(pa.table(columns, names=["doc", *[f.name for f in _ISSUE]]))
+
+    def array(self) -> tuple[np.ndarray, pa.Array]:
+        """(document of each issue, issues)"""
+        if not self.parts:
+            return np.zeros(0, np.int64), pa.array([], _ISSUE)
+        found = pa.concat_tables(self.parts)
+        keys = [(name, "ascending") for name in ("doc", "part", "pos", "code", "message")]
+        found = found.take(pc.sort_indices(found, sort_keys=keys, null_placement="at_start")).combine_chunks()
+        whole = lambda name: found.column(name).combine_chunks()
+        return whole("doc").to_numpy(), pa.StructArray.from_arrays([whole(f.name) for f in _ISSUE], fields=list(_ISSUE))
+
+
+def _elements(lists: pa.Array) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(document of each element, fields of the elements) of a list array."""
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    elements = lists.flatten()
+    return np.repeat(np.arange(len(lists)), sizes), dict(zip([f.name for f in elements.type], elements.flatten()))
 
 
-def graph(points: pa.StructArray, edges: pa.StructArray, detail: str) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(points, edges, issues) of one document."""
+def graphs(points: pa.Array, edges: pa.Array, detail: str) -> pa.Array:
+    """struct<points, edges, issues> of each document of two list arrays, null where `points` is null. Where only `edges` is
+    null, so are its links and issues."""
     issues = _Issues(detail)
-    pos, is_object = _numbers(points.field("pos"))[0], _flags(points.field("is_object"))
-    ids, has_id = _numbers(points.field("id"))
-    readable = is_object & has_id & _flags(points.field("x").is_valid()) & _flags(points.field("y").is_valid())
+    doc, p = _elements(points)
+    is_object, not_object = _flags(p["is_object"]), ~_flags(p["is_object"], True)
+    ids, has_id = _numbers(p["id"])
+    readable = is_object & has_id & _flags(p["x"].is_valid()) & _flags(p["y"].is_valid())
     rows = np.flatnonzero(readable)
-    given = assigned(ids[rows])
-    order = np.argsort(given, kind="stable")
-    known = given[order]
-    kept = points.take(pa.array(rows[order]))
-    issues.add(1, pos[~is_object], "POINT_NOT_OBJECT", pos[~is_object])
-    issues.add(1, pos[is_object & ~readable], "POINT_INVALID", pos[is_object & ~readable])
-    unscored = rows[_flags(points.field("score").is_null())[rows]]
-    issues.add(1, pos[unscored], "VALUE_INVALID", pos[unscored])
-    moved = rows[given != ids[rows]]
-    issues.add(1, pos[moved], "POINT_ID_DUP", ids[moved])
+    given = assigned(doc[rows], ids[rows])
+    order = np.lexsort((given, doc[rows]))
+    known_doc, known = doc[rows][order], given[order]
+    kept = {name: column.take(pa.array(rows[order])) for name, column in p.items()}
+    new_ids = _within(known_doc)
+    issues.add(1, np.flatnonzero(not_object), doc, p["pos"], "POINT_NOT_OBJECT", p["pos"])
+    issues.add(1, np.flatnonzero(is_object & ~readable), doc, p["pos"], "POINT_INVALID", p["pos"])
+    issues.add(1, rows[_flags(p["score"].is_null())[rows]], doc, p["pos"], "VALUE_INVALID", p["pos"])
+    issues.add(1, rows[given != ids[rows]], doc, p["pos"], "POINT_ID_DUP", p["id"])
     new_points = pa.StructArray.from_arrays(
-        [pa.array(np.arange(len(rows), dtype=np.int32)), kept.field("x"), kept.field("y"), kept.field("score").fill_null(1.0), kept.field("source")], fields=list(_POINT)
+        [pa.array(new_ids.astype(np.int32)), *[kept[n].cast(pa.float64()) for n in ("x", "y")], kept["score"].cast(pa.float64()).fill_null(1.0), kept["source"]],
+        fields=list(_POINT),
     )
 
-    pos, is_object = _numbers(edges.field("pos"))[0], _flags(edges.field("is_object"))
-    (src, has_src), (dst, has_dst) = _numbers(edges.field("src")), _numbers(edges.field("dst"))
-    readable = is_object & has_src & has_dst
+    link_doc, e = _elements(edges)
+    not_object = ~_flags(e["is_object"], True)
+    (src, has_src), (dst, has_dst) = _numbers(e["src"]), _numbers(e["dst"])
+    readable = ~not_object & has_src & has_dst
+    numbers, codes = np.unique(known, return_inverse=True)
+    key = known_doc * len(numbers) + codes
 
     def place(end: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(known, end)
-        found = at < len(known)
-        found[found] = known[at[found]] == end[found]
+        """Row of an end among the kept points of the batch, -1 for none."""
+        code = np.searchsorted(numbers, end)
+        found = code < len(numbers)
+        found[found] = numbers[code[found]] == end[found]
+        asked = link_doc * len(numbers) + code
+        at = np.searchsorted(key, asked)
+        found &= at < len(key)
+        found[found] = key[at[found]] == asked[found]
         return np.where(found, at, -1)
 
     a, b = place(src), place(dst)
@@ -92,35 +146,30 @@ def graph(points: pa.StructArray, edges: pa.StructArray, detail: str) -> tuple[p
     dangling, loop = readable & (low < 0), readable & (low >= 0) & (low == high)
     proper = np.flatnonzero(readable & (low >= 0) & (low != high))
     _, first = np.unique(low[proper] << 32 | high[proper], return_index=True)
-    links = proper[np.sort(first)]
-    repeats = np.setdiff1d(proper, links)
-    issues.add(2, pos[~is_object], "EDGE_NOT_OBJECT", pos[~is_object])
-    issues.add(2, pos[is_object & ~readable], "EDGE_INVALID", pos[is_object & ~readable])
-    issues.add(2, pos[dangling], "EDGE_DANGLING", pos[dangling], src[dangling], dst[dangling])
-    issues.add(2, pos[loop], "EDGE_SELF_LOOP", pos[loop])
-    issues.add(2, pos[repeats], "EDGE_DUP", pos[repeats])
-    unlabelled = links[_flags(edges.field("label").is_null())[links]]
-    issues.add(2, pos[unlabelled], "VALUE_INVALID", pos[unlabelled])
-    taken = edges.take(pa.array(links))
-    numbers = pa.array([f"edge_{n + 1:04d}" for n in range(len(links))], pa.string())
-    named = pc.fill_null(pc.not_equal(taken.field("edge_id"), ""), False)
+    wins = np.zeros(len(proper), bool)
+    wins[first] = True
+    links = proper[wins]
+    issues.add(2, np.flatnonzero(not_object), link_doc, e["pos"], "EDGE_NOT_OBJECT", e["pos"])
+    issues.add(2, np.flatnonzero(~not_object & ~readable), link_doc, e["pos"], "EDGE_INVALID", e["pos"])
+    issues.add(2, np.flatnonzero(dangling), link_doc, e["pos"], "EDGE_DANGLING", e["pos"], e["src"], e["dst"])
+    issues.add(2, np.flatnonzero(loop), link_doc, e["pos"], "EDGE_SELF_LOOP", e["pos"])
+    issues.add(2, proper[~wins], link_doc, e["pos"], "EDGE_DUP", e["pos"])
+    issues.add(2, links[_flags(e["label"].is_null())[links]], link_doc, e["pos"], "VALUE_INVALID", e["pos"])
+    taken = {name: column.take(pa.array(links)) for name, column in e.items()}
+    places = _within(link_doc[links])
+    names = pa.array([f"edge_{n + 1:04d}" for n in range(places.max(initial=-1) + 1)], pa.string()).take(pa.array(places))
+    edge_ids = taken["edge_id"].cast(pa.string())
+    named = pc.fill_null(pc.not_equal(edge_ids, ""), False)
+    ends = [pa.array(new_ids[end[links]].astype(np.int32)) for end in (low, high)]
     new_edges = pa.StructArray.from_arrays(
-        [pc.if_else(named, taken.field("edge_id"), numbers), pa.array(low[links].astype(np.int32)), pa.array(high[links].astype(np.int32)), taken.field("label").fill_null(1), taken.field("source")],
-        fields=list(_EDGE),
+        [pc.if_else(named, edge_ids, names), *ends, taken["label"].cast(pa.int32()).fill_null(1), taken["source"]], fields=list(_EDGE)
     )
-    return new_points, new_edges, issues.array()
 
+    def lists(owner: np.ndarray, values: pa.Array, unknown: pa.Array | None = None) -> pa.Array:
+        ends = np.cumsum(np.bincount(owner, minlength=len(points)))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), values, mask=unknown)
 
-def graphs(points: pa.Array, edges: pa.Array, detail: str) -> pa.Array:
-    """struct<points, edges, issues> of each document of two list arrays, null where `points` is null."""
-    valid = points.is_valid().to_numpy(zero_copy_only=False)
-    done = [graph(points[k].values, edges[k].values, detail) for k in np.flatnonzero(valid).tolist()]
-
-    def lists(part: int, kind: pa.DataType) -> pa.Array:
-        sizes = np.zeros(len(valid), np.int64)
-        sizes[valid] = [len(d[part]) for d in done]
-        values = pa.concat_arrays([d[part] for d in done]) if done else pa.array([], kind)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-
-    parts = [lists(n, kind) for n, kind in enumerate((_POINT, _EDGE, _ISSUE))]
-    return pa.StructArray.from_arrays(parts, names=["points", "edges", "issues"], mask=pa.array(~valid))
+    no_links = edges.is_null()
+    found = lists(*issues.array(), None if detail == "none" else no_links)
+    parts = [lists(known_doc, new_points), lists(link_doc[links], new_edges, no_links), found]
+    return pa.StructArray.from_arrays(parts, names=["points", "edges", "issues"], mask=points.is_null())

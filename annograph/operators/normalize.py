@@ -1,6 +1,6 @@
 """Normalisation of annotation graphs.
 
-Two equal forms. The document form works on one row per sample with array columns: no shuffle, JVM expressions only.
+Two equal forms. The document form works on one row per sample with array columns: no shuffle, many rows at once.
 The table form works on point and edge rows with joins and bucketed running totals; it takes the samples that are too
 large for one row. `normalize_tables` routes by size and the union of both parts is the result.
 """
@@ -18,7 +18,7 @@ from annograph.plans.skew import RANGE_ROWS, rank_rows, running, split_hot, spli
 from annograph.functions.text import numbered
 from annograph.schemas import EDGE, ISSUE, ISSUE_TEXT, POINT, RAW_EDGE, RAW_POINT, SCHEMA_VERSION
 
-DOCUMENT_LIMIT = 4096  # elements of one sample that column expressions compare with one another
+DOCUMENT_LIMIT = 4096  # elements of one sample that are gathered into a row
 
 
 @dataclass
@@ -190,8 +190,8 @@ def _graph_rules(raw_points: Column, raw_edges: Column, detail: str) -> Column:
     )
 
 
-def _long_graphs(raw_points: Column, raw_edges: Column, detail: str) -> Column:
-    """`_graph_rules` for documents of any length, null where `raw_points` is null."""
+def _array_graphs(raw_points: Column, raw_edges: Column, detail: str) -> Column:
+    """`_graph_rules` of many documents at once and of any length, null where `raw_points` is null."""
     kind = f"struct<points:array<{POINT}>,edges:array<{EDGE}>,issues:array<{ISSUE}>>"
 
     def rules(points: pa.Array, edges: pa.Array) -> pa.Array:
@@ -204,20 +204,20 @@ def normalize_documents(docs: DataFrame, detail: str = "messages", long: int | N
     """Add `points`, `edges` and `issues` to documents with `raw_points` and `raw_edges`.
 
     `detail` says how far issues are worked out: "messages", "codes" (no text, enough for counting) or "none" (empty).
-    The rules as column expressions compare each element with all others of its document. With `long`, documents of more
-    elements than that take the form that sorts them; callers whose documents have no bound pass it.
+    Batches of documents are worked out on arrays, which sort their elements. With `long`, only documents of more elements
+    than that are; the others take the rules as column expressions, which compare each element with all others of its document.
     """
     if detail not in ("messages", "codes", "none"):
         raise ValueError(f"unknown detail: {detail}")
     if long is None:
-        done = docs.withColumn("_graph", _graph_rules(F.col("raw_points"), F.col("raw_edges"), detail))
+        done = docs.withColumn("_graph", _array_graphs(F.col("raw_points"), F.col("raw_edges"), detail))
     else:
         is_long = F.greatest(F.size("raw_points"), F.size("raw_edges")) > long
         pick = lambda c: F.when(is_long, F.col(c))
-        sorted_form = docs.withColumn("_long", _long_graphs(pick("raw_points"), pick("raw_edges"), detail))
+        on_arrays = docs.withColumn("_long", _array_graphs(pick("raw_points"), pick("raw_edges"), detail))
         short = lambda c: F.when(~is_long, F.col(c))
         rules = F.when(~is_long, _graph_rules(short("raw_points"), short("raw_edges"), detail))
-        done = sorted_form.withColumn("_graph", F.coalesce("_long", rules))
+        done = on_arrays.withColumn("_graph", F.coalesce("_long", rules))
     return done.select(*docs.columns, "_graph.points", "_graph.edges", "_graph.issues")
 
 
@@ -238,10 +238,10 @@ def finish_documents(docs: DataFrame) -> DataFrame:
 def group_documents(points: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per sample from element rows. Callers bound the group size with `split_hot`."""
     packed_points = points.groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "is_object", "id", "x", "y", "score", "source"))).alias("raw_points")
+        F.sort_array(F.collect_list(F.struct("pos", "is_object", "id", "x", "y", "score", "source"))).alias("raw_points")
     )
     packed_edges = edges.groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "is_object", "edge_id", "src", "dst", "label", "source"))).alias("raw_edges")
+        F.sort_array(F.collect_list(F.struct("pos", "is_object", "edge_id", "src", "dst", "label", "source"))).alias("raw_edges")
     )
     return packed_points.join(packed_edges, "sample_id", "full").select(
         "sample_id",
@@ -531,7 +531,7 @@ def rounded_points(points: DataFrame) -> DataFrame:
     )
 
 
-def normalize_rows(docs: DataFrame, detail: str = "messages", long: int = DOCUMENT_LIMIT) -> DataFrame:
+def normalize_rows(docs: DataFrame, detail: str = "messages", long: int | None = None) -> DataFrame:
     """Document rows of any length in, finished documents out (graph rules, then whole-document rules)."""
     return finish_documents(normalize_documents(docs, detail, long))
 

@@ -249,6 +249,35 @@ def test_sorted_form_equals_the_column_form(spark, detail):
     assert detail == "none" or {i.code for r in one.values() for i in r[2]} >= {"POINT_NOT_OBJECT", "POINT_INVALID", "POINT_ID_DUP", "VALUE_INVALID", "EDGE_NOT_OBJECT", "EDGE_INVALID", "EDGE_DANGLING", "EDGE_SELF_LOOP", "EDGE_DUP"}
 
 
+@pytest.mark.parametrize("detail", ["messages", "codes", "none"])
+def test_batches_equal_the_column_form(spark, monkeypatch, detail):
+    """Documents of a batch do not meet one another; unknown links stay unknown. Without a bound no column expressions are used."""
+    docs = mixed_documents(spark, 31).select("sample_id", "raw_points", F.when(F.col("sample_id") != "7", F.col("raw_edges")).alias("raw_edges"))
+    rows = lambda long: {r.sample_id: (r.points, r.edges, r.issues) for r in N.normalize_documents(docs, detail, long).collect()}
+    columns = rows(10**6)
+
+    def refuse(*args):
+        raise AssertionError("column expressions")
+
+    monkeypatch.setattr(N, "_graph_rules", refuse)
+    assert rows(None) == columns
+    assert columns["7"][1] is None and (columns["7"][2] is None) == (detail != "none")
+
+
+def test_elements_are_read_in_one_go(spark):
+    """Absent, null, unreadable and foreign elements and members keep their readings."""
+    text = '{"points":[{"id":null,"x":"3","y":1,"score":null},{"X":1,"id":"q"},null,[1],{"x":{},"y":true,"source":5,"id":2.0}],"edges":[{"src":"1","dst":2,"label":null},"a",{"label":"z","edge_id":7}]}'
+    plan = parse_annotations(spark.createDataFrame([("p/s.json", "s", text)], "path string, stem string, raw string"))
+    row = plan.first()
+    assert [(p.pos, p.is_object, p.id, p.x, p.y, p.score, p.source) for p in row.raw_points] == [
+        (0, True, None, 3.0, 1.0, None, "manual"), (1, True, None, None, None, 1.0, "manual"), (2, False, 2, None, None, 1.0, "manual"),
+        (3, False, 3, None, None, 1.0, "manual"), (4, True, 2, None, 1.0, 1.0, "5"),
+    ]
+    assert [(e.pos, e.is_object, e.edge_id, e.src, e.dst, e.label, e.source) for e in row.raw_edges] == [
+        (0, True, None, 1, 2, None, "manual"), (1, False, None, None, None, 1, "manual"), (2, True, "7", None, None, None, "manual"),
+    ]
+
+
 def test_document_rows_have_all_sizes(spark):
     points, edges, raw = random_tables(spark, seed=5, samples=40)
     plain = {r.sample_id: (r.points, r.edges) for r in N.document_rows(points, edges).collect()}
