@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from annograph import bridge
 from annograph.catalog.planning import SIZES, sizes
 from annograph.catalog.registry import ISSUES, NORMALIZED, query, with_ctes
-from annograph.catalog.validation import FULL, STATS, annotations, image_facts, tables
+from annograph.catalog.validation import FULL, STATS, annotation_files, image_facts, normalized_documents, tables
 from annograph.functions import documents as D, json_text as J
 from annograph.operators import export as X, normalize as N, validate as V
 from annograph.plans.session import materialize, shared_dir
@@ -188,8 +188,9 @@ def json_round_trip(spark, d):
 
 def _written(spark, d, kind: str):
     """Documents of the accepted samples."""
-    docs = N.document_rows(*tables(spark, d)).withColumn("width", F.lit(256)).withColumn("height", F.lit(256))
-    seen = materialize(V.inspect(image_facts(spark, d), annotations(spark, d)), "inspected")
+    docs, stats = normalized_documents(spark, d)
+    docs = docs.withColumn("width", F.lit(256)).withColumn("height", F.lit(256))
+    seen = materialize(V.inspect(image_facts(spark, d), stats.join(annotation_files(spark, d), "sample_id")), "inspected")
     return X.export_documents(docs, X.export_manifest(seen, kind, "out"), kind)
 
 

@@ -33,6 +33,18 @@ def sample_stats(spark, d) -> DataFrame:
     return stats
 
 
+def normalized_documents(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(rows sample_id, points, edges; `sample_stats`) of one pass over the corpus, which is written in between."""
+    docs, large = N.split_by_size(*tables(spark, d))
+    docs = materialize(N.normalize_documents(docs, "codes").drop("raw_points", "raw_edges"), "normalized")
+    rows, stats = docs.drop("issues"), V.document_stats(docs)
+    if large is not None:
+        rest, names = N.normalize_large(*large), large_names(large)
+        rows = rows.unionByName(N.regroup_documents(rest, names))
+        stats = stats.unionByName(V.table_stats(rest, names))
+    return rows, stats
+
+
 def annotation_files(spark, d) -> DataFrame:
     """File facts of the annotations: unreadable text, non-objects and stated sizes."""
     o = bridge.table(spark, d, "orders")
