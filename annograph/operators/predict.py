@@ -19,6 +19,7 @@ from annograph.plans.skew import RANGE_ROWS, hot_groups, rank_rows, running, spl
 from annograph.schemas import LINK_SOURCE, POSTPROCESS_PRESETS
 
 MERGE_LIMIT = 512    # points of one image merged inside one task call
+MERGE_WINDOW = 2048  # points of one larger image whose pairs are held by one window
 SELECT_LIMIT = 50_000  # links of one sample selected inside one task call
 WINDOW_ROUNDS = 4  # rounds of three steps along links before long groups are left to jumps
 
@@ -141,10 +142,63 @@ def _merge_small(points: DataFrame, reach: float) -> DataFrame:
 
 
 def _merge_large(points: DataFrame, reach: float) -> DataFrame:
-    """The same rounds as joins on the pairs within reach; only those pairs can ever merge.
+    """The points with their `cluster`, by rounds on the pairs within reach; only those pairs can ever merge.
 
     Points at one spot merge first (distance 0), so the pair table starts from distinct spots.
     """
+    (held,), rest = split_large([points], ["image_id"], MERGE_WINDOW)
+    merged = _merge_windows(held, reach)
+    if rest is None:
+        return merged
+    return merged.unionByName(rest[0].join(_merge_joins(rest[0], reach), ["image_id", "idx"]))
+
+
+def _merge_windows(points: DataFrame, reach: float) -> DataFrame:
+    """The rounds as windows of one image each. Pairs are sent once a round, and only those that are left."""
+    placed = points.dropna(subset=["image_id", "idx", "x", "y"])
+    placed = materialize(placed.withColumn("spot", F.min("idx").over(W.partitionBy("image_id", "x", "y"))), "merge")
+    spots = placed.where("idx = spot").select("image_id", F.col("spot").alias("a"), "x", "y")
+    others = spots.select("image_id", F.col("a").alias("b"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
+    pairs = spots.join(others, "image_id").where("a <> b").select("image_id", "a", "b", F.sqrt(dx * dx + dy * dy).alias("d"))
+    pairs, moves = pairs.where(F.col("d") <= reach), []
+    while True:
+        done = materialize(_merge_round(pairs), "merge")
+        moves.append(done.where("a = b").select("image_id", "old", F.col("a").alias("new")))
+        pairs = done.where("a <> b").select("image_id", "a", "b", "d").repartition("image_id")
+        if not done.where("a <> b").limit(1).count():
+            break
+    ends = reduce(DataFrame.unionByName, moves).repartition("image_id")
+    for _ in range((len(moves) - 1).bit_length()):  # each step doubles how many rounds a move spans
+        told = F.struct(F.col("old").alias("key"), F.col("new").alias("end"), F.lit(None).cast(ends.schema["old"].dataType).alias("old"))
+        asks = F.struct(F.col("new").alias("key"), F.lit(None).cast(ends.schema["new"].dataType).alias("end"), F.col("old").alias("old"))
+        both = ends.select("image_id", F.inline(F.array(told, asks)))
+        found = both.withColumn("end", F.max("end").over(W.partitionBy("image_id", "key"))).where("old is not null")
+        ends = found.select("image_id", "old", F.coalesce("end", "key").alias("new"))
+    ends = ends.withColumnRenamed("old", "spot")
+    return placed.join(ends, ["image_id", "spot"], "left").select(*points.columns, F.coalesce("new", "spot").alias("cluster"))
+
+
+def _merge_round(pairs: DataFrame) -> DataFrame:
+    """Pairs (image_id, a, b, d), in both directions, after one round, and as rows with a = b the merged ones: `old` became `a`."""
+    of_a, of_pair = W.partitionBy("image_id", "a"), W.partitionBy("image_id", "low", "high")
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    near = F.min(F.struct("d", "b")).over(of_a)["b"] == F.col("b")
+    state = pairs.withColumns({"low": low, "high": high, "near": near}).withColumn("mutual", F.min("near").over(of_pair))
+    state = state.withColumn("new_a", F.max(F.when(F.col("mutual"), F.col("low"))).over(of_a))
+    end = lambda side: F.max(F.when(F.col("a") == F.col(side), F.col("new_a"))).over(of_pair)
+    state = state.withColumn("new_b", F.when(F.col("b") == F.col("low"), end("low")).otherwise(end("high")))
+    parts = F.when(F.col("new_a").isNull(), 1).otherwise(2) * F.when(F.col("new_b").isNull(), 1).otherwise(2)
+    renamed = state.select("image_id", F.coalesce("new_a", "a").alias("a"), F.coalesce("new_b", "b").alias("b"), "d", parts.alias("parts"), F.col("high").alias("old"))
+    # the merged distance is the largest one, and stays only if every part is within reach
+    merged = renamed.groupBy("image_id", "a", "b").agg(
+        F.max("d").alias("d"), F.count(F.lit(1)).alias("n"), F.max("parts").alias("parts"), F.max("old").alias("old")
+    )
+    return merged.where("a = b or n = parts").select("image_id", "a", "b", "d", "old")
+
+
+def _merge_joins(points: DataFrame, reach: float) -> DataFrame:
+    """The same rounds as joins, for images of any size: (image_id, idx, cluster)."""
     points = materialize(points.select("image_id", "idx", "x", "y"), "merge")
     spots = points.groupBy("image_id", "x", "y").agg(F.min("idx").alias("spot"))
     cell = max(reach, 1e-6)
@@ -187,11 +241,11 @@ def merge_near_points(points: DataFrame, reach: float = 15.0, limit: int = MERGE
 
     `points`: image_id, idx, x, y, score with idx unique per image.
     """
-    small, large = split_hot(points, ["image_id"], limit)
-    groups = _merge_small(small, reach)
+    small, large = split_hot(points, ["image_id"], limit) if limit > 0 else (None, points)
+    merged = [] if small is None else [small.join(_merge_small(small, reach), ["image_id", "idx"])]
     if large is not None:
-        groups = groups.unionByName(_merge_large(large, reach))
-    return best_per_cluster(points.join(groups, ["image_id", "idx"]))
+        merged.append(_merge_large(large.select("image_id", "idx", "x", "y", "score"), reach))
+    return best_per_cluster(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), merged))
 
 
 def best_per_cluster(points: DataFrame) -> DataFrame:

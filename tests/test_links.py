@@ -142,6 +142,24 @@ def test_merge_forms_agree_with_ties_and_equal_spots(spark):
     assert len(a) == len(b) > 20
 
 
+def test_merge_windows_equal_joins_and_write_one_table_a_round(spark, monkeypatch):
+    """Images that a window holds never take the joins; both forms give the same rows, also of ties, equal spots and long chains."""
+    rng = random.Random(12)
+    rows = [(im, i, float(rng.randint(0, 25)), float(rng.randint(0, 25)), rng.random()) for im in range(3) for i in range(25)]
+    rows += [(50, i, i * 1.5 + i * i * 0.01, 0.0, 0.5) for i in range(12)] + [(51, 0, 1.0, 1.0, 0.5), (None, 0, 1.0, 1.0, 0.5), (52, 0, None, 1.0, 0.5)]
+    df = spark.createDataFrame(rows, "image_id long, idx int, x double, y double, score double")
+    got, tables = {}, {}
+    for window in (2048, 0):
+        with monkeypatch.context() as m:
+            m.setattr(P, "MERGE_WINDOW", window)
+            written, plain = [], P.materialize
+            m.setattr(P, "materialize", lambda df, label="stage": written.append(label) or plain(df, label))
+            got[window] = sorted(map(tuple, P.merge_near_points(df, 6.0, limit=0).collect()))
+            tables[window] = len(written)
+    assert got[2048] == got[0]
+    assert tables[2048] < tables[0] / 2
+
+
 def test_large_features_equal_small_ones(spark):
     rng = random.Random(6)
     rows = [(s, i, rng.uniform(0, 200), rng.uniform(0, 200), rng.random()) for s in range(4) for i in range(40)]
